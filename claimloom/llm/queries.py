@@ -9,20 +9,51 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from claimloom.llm import lines, quality, sharding, sql, substrings, suffixes
 from claimloom.llm.common import table
-from claimloom.llm.quality import judge
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = judge(table(spark, sf_dir, "documents"))
+    judged = quality.judge(table(spark, sf_dir, "documents"))
     return judged.select(
         "row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         "base_failed", "kept",
     )
 
 
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sharded = sharding.shard_documents(table(spark, sf_dir, "documents"))
+    return sharded.select("doc_id", "shard", "shard_depth", "row_bytes")
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clean = lines.dedupe_lines(table(spark, sf_dir, "documents"))
+    return clean.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substrings.remove_repeated_windows(table(spark, sf_dir, "documents"), with_text=False)
+    return kept.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = suffixes.remove_repeated_bytes(table(spark, sf_dir, "documents"), with_text=False)
+    return kept.select(
+        "doc_id", "n_bytes", "n_removed", F.size("starts").cast("long").alias("n_spans"), "kept_sha256"
+    )
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_sharding": op2_sharding,
+    "op3_line_dedup": op3_line_dedup,
+    "op5_substring_dedup": op5_substring_dedup,
+    "op8_suffix_dedup": op8_suffix_dedup,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op2_sharding": sql.SHARDING,
+    "op3_line_dedup": sql.LINES,
+    "op5_substring_dedup": sql.SUBSTRINGS,
+    "op8_suffix_dedup": sql.SUFFIXES,
+}
