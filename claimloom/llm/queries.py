@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimloom.llm import lines, quality, sharding, sql, substrings, suffixes
+from claimloom.llm import lines, quality, sharding, simhash, sql, substrings, suffixes
 from claimloom.llm.common import table
 
 
@@ -31,6 +31,11 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = substrings.remove_repeated_windows(table(spark, sf_dir, "documents"), with_text=False)
     return kept.select("doc_id", "n_words", "n_removed", "kept_sha256")
@@ -47,6 +52,7 @@ QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_sharding": op2_sharding,
     "op3_line_dedup": op3_line_dedup,
+    "op4_simhash_dedup": op4_simhash_dedup,
     "op5_substring_dedup": op5_substring_dedup,
     "op8_suffix_dedup": op8_suffix_dedup,
 }

@@ -27,19 +27,19 @@ LINES = r"""
 WITH split AS (
   SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents
 ), windows AS (
-  SELECT doc_id, unnest(range(len(l) - 2)) AS at, l FROM split WHERE len(l) >= 3
+  SELECT doc_id, unnest(range(len(l) - 2)) AS pos, l FROM split WHERE len(l) >= 3
 ), keyed AS (
-  SELECT doc_id, at, l[at + 1 : at + 3] AS w FROM windows
-  WHERE regexp_matches(array_to_string(l[at + 1 : at + 3], chr(10)), '[^\x20\x09-\x0D]')
+  SELECT doc_id, pos, l[pos + 1 : pos + 3] AS w FROM windows
+  WHERE regexp_matches(array_to_string(l[pos + 1 : pos + 3], chr(10)), '[^\x20\x09-\x0D]')
 ), ranked AS (
-  SELECT doc_id, at, row_number() OVER (PARTITION BY w ORDER BY doc_id, at) AS nth FROM keyed
+  SELECT doc_id, pos, row_number() OVER (PARTITION BY w ORDER BY doc_id, pos) AS nth FROM keyed
 ), gone AS (
-  SELECT DISTINCT doc_id, at + k AS at FROM ranked, range(3) r(k) WHERE nth > 1
+  SELECT DISTINCT doc_id, pos + k AS pos FROM ranked, range(3) r(k) WHERE nth > 1
 ), numbered AS (
-  SELECT doc_id, unnest(l) AS line, unnest(range(len(l))) AS at FROM split
+  SELECT doc_id, unnest(l) AS line, unnest(range(len(l))) AS pos FROM split
 ), kept AS (
-  SELECT doc_id, string_agg(line, chr(10) ORDER BY at) AS body, count(*) AS n
-  FROM numbered ANTI JOIN gone USING (doc_id, at) GROUP BY doc_id
+  SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) AS body, count(*) AS n
+  FROM numbered ANTI JOIN gone USING (doc_id, pos) GROUP BY doc_id
 )
 SELECT doc_id, coalesce(len(l), 0)::BIGINT AS n_lines, (coalesce(len(l), 0) - coalesce(n, 0))::BIGINT AS n_removed,
        CASE WHEN text IS NOT NULL THEN sha256(coalesce(body, '')) END AS kept_sha256
@@ -50,17 +50,17 @@ SUBSTRINGS = r"""
 WITH split AS (
   SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
 ), windows AS (
-  SELECT doc_id, at, array_to_string(w[at + 1 : at + 20], ' ') AS k
-  FROM (SELECT doc_id, w, unnest(range(len(w) - 19)) AS at FROM split WHERE len(w) >= 20)
+  SELECT doc_id, pos, array_to_string(w[pos + 1 : pos + 20], ' ') AS k
+  FROM (SELECT doc_id, w, unnest(range(len(w) - 19)) AS pos FROM split WHERE len(w) >= 20)
 ), ranked AS (
-  SELECT doc_id, at, row_number() OVER (PARTITION BY k ORDER BY doc_id, at) AS nth FROM windows
+  SELECT doc_id, pos, row_number() OVER (PARTITION BY k ORDER BY doc_id, pos) AS nth FROM windows
 ), gone AS (
-  SELECT DISTINCT doc_id, at + j AS at FROM ranked, range(20) r(j) WHERE nth > 1
+  SELECT DISTINCT doc_id, pos + j AS pos FROM ranked, range(20) r(j) WHERE nth > 1
 ), numbered AS (
-  SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS at FROM split
+  SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS pos FROM split
 ), kept AS (
-  SELECT doc_id, string_agg(word, ' ' ORDER BY at) AS body, count(*) AS n
-  FROM numbered ANTI JOIN gone USING (doc_id, at) GROUP BY doc_id
+  SELECT doc_id, string_agg(word, ' ' ORDER BY pos) AS body, count(*) AS n
+  FROM numbered ANTI JOIN gone USING (doc_id, pos) GROUP BY doc_id
 )
 SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed,
        sha256(coalesce(body, '')) AS kept_sha256
@@ -71,20 +71,20 @@ SUFFIXES = """
 WITH bytes AS (
   SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, strlen(coalesce(text, '')) AS n FROM documents
 ), windows AS (
-  SELECT doc_id, at, md5_number(substr(x, (2 * at + 1)::BIGINT, 100)) AS k
-  FROM (SELECT doc_id, x, unnest(range(n - 49)) AS at FROM bytes WHERE n >= 50)
+  SELECT doc_id, pos, md5_number(substr(x, (2 * pos + 1)::BIGINT, 100)) AS k
+  FROM (SELECT doc_id, x, unnest(range(n - 49)) AS pos FROM bytes WHERE n >= 50)
 ), later AS (
-  SELECT doc_id, at FROM (SELECT doc_id, at, min(doc_id) OVER (PARTITION BY k) AS first FROM windows)
+  SELECT doc_id, pos FROM (SELECT doc_id, pos, min(doc_id) OVER (PARTITION BY k) AS first FROM windows)
   WHERE doc_id > first
 ), edges AS (
-  SELECT doc_id, at, lag(at) OVER o AS before, lead(at) OVER o AS after FROM later
-  WINDOW o AS (PARTITION BY doc_id ORDER BY at)
+  SELECT doc_id, pos, lag(pos) OVER o AS before, lead(pos) OVER o AS after FROM later
+  WINDOW o AS (PARTITION BY doc_id ORDER BY pos)
 ), starts AS (
-  SELECT doc_id, at AS a, row_number() OVER (PARTITION BY doc_id ORDER BY at) AS i FROM edges
-  WHERE before IS NULL OR at > before + 50
+  SELECT doc_id, pos AS a, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS i FROM edges
+  WHERE before IS NULL OR pos > before + 50
 ), ends AS (
-  SELECT doc_id, at + 50 AS b, row_number() OVER (PARTITION BY doc_id ORDER BY at) AS i FROM edges
-  WHERE after IS NULL OR after > at + 50
+  SELECT doc_id, pos + 50 AS b, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS i FROM edges
+  WHERE after IS NULL OR after > pos + 50
 ), spans AS (
   SELECT doc_id, a, b, i, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY i), 0) AS since
   FROM starts JOIN ends USING (doc_id, i)
