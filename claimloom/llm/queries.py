@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimloom.llm import lines, quality, sharding, simhash, sql, substrings, suffixes
+from claimloom.llm import lines, packing, quality, sharding, simhash, sql, substrings, suffixes
 from claimloom.llm.common import table
 
 
@@ -41,6 +41,11 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack_documents(table(spark, sf_dir, "documents"), with_ids=False)
+    return pieces.drop("ids")
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = suffixes.remove_repeated_bytes(table(spark, sf_dir, "documents"), with_text=False)
     return kept.select(
@@ -54,6 +59,7 @@ QUERIES = {
     "op3_line_dedup": op3_line_dedup,
     "op4_simhash_dedup": op4_simhash_dedup,
     "op5_substring_dedup": op5_substring_dedup,
+    "op6_packing": op6_packing,
     "op8_suffix_dedup": op8_suffix_dedup,
 }
 
