@@ -35,8 +35,8 @@ from claimloom.llm import blocks as B
 
 DEPTH = 50
 GRAM = 20
-BLOCK_BYTES = 2 << 20
-ANCHORS_PER_BUCKET = 400_000
+BLOCK_BYTES = 1 << 20
+ANCHORS_PER_BUCKET = 200_000
 PRINT_BYTES = 4
 #: Low bits of a packed (hash, position) value that hold the position in a block.
 POSITION_BITS = 30
