@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimloom.llm import lines, packing, quality, sharding, simhash, sql, substrings, suffixes
+from claimloom.llm import html, lines, packing, quality, sharding, simhash, sql, substrings, suffixes, urls
 from claimloom.llm.common import table
 
 
@@ -46,6 +46,11 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.drop("ids")
 
 
+def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = urls.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"))
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = suffixes.remove_repeated_bytes(table(spark, sf_dir, "documents"), with_text=False)
     return kept.select(
@@ -53,6 +58,11 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html.extract_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", "text", "n_chars")
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_sharding": op2_sharding,
@@ -60,7 +70,9 @@ QUERIES = {
     "op4_simhash_dedup": op4_simhash_dedup,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_packing": op6_packing,
+    "op7_url_filters": op7_url_filters,
     "op8_suffix_dedup": op8_suffix_dedup,
+    "op10_html_extraction": op10_html_extraction,
 }
 
 SQL: dict[str, str] = {
