@@ -95,7 +95,9 @@ def anchored_runs(hashes: np.ndarray, lengths: np.ndarray, depth: int, gram: int
     counts = np.diff(np.r_[starts, len(owner)])
     valid = inside[starts] == 1
     starts, counts = starts[valid], counts[valid]
-    return starts, counts, hashes[owner[starts]], np.searchsorted(ends, starts, side="right")
+    # the least hashes are small numbers: scramble them, for buckets are leading bits
+    anchors = B.mix(hashes[owner[starts]] ^ B.U64(B.ODD))
+    return starts, counts, anchors, np.searchsorted(ends, starts, side="right")
 
 
 def _digits(buf: np.ndarray) -> np.ndarray:
