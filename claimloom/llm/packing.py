@@ -12,7 +12,7 @@ padding. So each sequence is either full or has a power-of-two length. Nothing i
 another, and a lost task packs the same rows again.
 
 Words (by ASCII white space, which the tokenizer drops) are encoded once and kept in two
-generations of a bounded cache per task.
+generations of a bounded cache per worker process.
 
 Defined results: null text is empty and holds the end id alone; null doc_id is passed through;
 repeated rows are packed each; an empty table gives an empty result; other columns are not
@@ -22,11 +22,14 @@ carried.
 from __future__ import annotations
 
 import os
+import sys
+import types
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,10 +37,18 @@ from pyspark.sql import functions as F
 WINDOW = 2048
 END_ID = 1
 #: Words in one generation of the cache.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 400_000
 #: Bytes of text whose words are looked up at a time.
 CHUNK_BYTES = 1 << 20
 TASK_BITS = 40
+#: Words of printable ASCII without "<" (which may begin a special token) and Latin-1 letters: case and
+#: composition of these characters are settled one by one.
+PLAIN = regex.compile("[!-;=-~À-ÖØ-öø-ÿ]+")
+# Fixed by the tokenizer's file: how it parts lower-case text, and its letters for bytes
+# (printable Latin-1 characters stand for themselves, the others follow from U+0100 on).
+PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+_OTHER = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255)]
+BYTE_LETTERS = {b: 256 + i for i, b in enumerate(_OTHER)}
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids array<int>"
 PIECES_SCHEMA = pa.schema(
     [(c, pa.int64()) for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")]
@@ -46,39 +57,64 @@ PIECES_SCHEMA = pa.schema(
 
 
 class WordEncoder:
-    """Ids of texts as little-endian 32-bit bytes, word by word."""
+    """Ids of texts as little-endian 32-bit bytes, word by word.
+
+    Most words are Latin letters, digits and marks: their pieces (``PIECE``) go to the
+    tokenizer's BPE model directly, and each new piece once. All other words take the tokenizer's
+    whole path. Both give the ids of the whole text, since white space separates pieces.
+    """
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.limit = cache_words
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+
+    def _piece(self, piece: str) -> bytes:
+        ids = self.pieces.get(piece)
+        if ids is None:
+            if len(self.pieces) >= self.limit:
+                self.pieces.clear()
+            letters = piece.encode().decode("latin-1").translate(BYTE_LETTERS)
+            ids = self.pieces[piece] = np.array([t.id for t in self.model.tokenize(letters)], "<u4").tobytes()
+        return ids
 
     def encode(self, bodies: list[bytes]) -> list[bytes]:
         texts = [body.split() for body in bodies]
-        known, missing = {}, []
+        known, other = {}, []
         for word in set().union(*texts):
             ids = self.young.get(word)
             if ids is None:
                 ids = self.old.get(word)
                 if ids is None:
-                    missing.append(word)
-                    continue
+                    text = word.decode("utf-8", "replace")
+                    if not PLAIN.fullmatch(text):
+                        other.append((word, text))
+                        continue
+                    ids = b"".join(map(self._piece, PIECE.findall(text.lower())))
                 self.young[word] = ids
             known[word] = ids
-        found = self.tokenizer.encode_batch_fast(
-            [w.decode("utf-8", "replace") for w in missing], add_special_tokens=False
-        )
-        for word, encoding in zip(missing, found, strict=True):
+        found = self.tokenizer.encode_batch_fast([text for _, text in other], add_special_tokens=False)
+        for (word, _), encoding in zip(other, found, strict=True):
             known[word] = self.young[word] = np.array(encoding.ids, "<u4").tobytes()
         if len(self.young) > self.limit:
             self.old, self.young = self.young, {}
         return [b"".join(map(known.__getitem__, words)) for words in texts]
 
 
+def shared_encoder(path: str) -> WordEncoder:
+    """The worker process's encoder for a file, kept from one task to the next."""
+    kept = sys.modules.setdefault("claimloom_worker_state", types.ModuleType("claimloom_worker_state"))
+    if getattr(kept, "path", None) != path:
+        kept.path, kept.encoder = path, WordEncoder(path)
+    return kept.encoder
+
+
 class Packer:
     """Sum-of-squares placement. A window is a list of pieces (doc, start, ids, doc_tokens)."""
 
@@ -212,7 +248,7 @@ def pack_documents(
             import public_tokenizers
 
             path = public_tokenizers.path("word_bpe_49k.json")
-        yield from pack_partition(batches, WordEncoder(path), size, TaskContext.get().partitionId(), with_ids)
+        yield from pack_partition(batches, shared_encoder(path), size, TaskContext.get().partitionId(), with_ids)
 
     rows = docs.select(F.col(key).cast("long"), F.coalesce(F.col(text), F.lit("")).cast("binary"))
     packed = rows.mapInArrow(pack, PIECES)

@@ -49,6 +49,20 @@ def test_pieces_cover_every_id_once(spark):
         assert end <= 2048 and end & (end - 1) == 0
 
 
+def test_words_encode_as_in_whole_texts():
+    import pyarrow.parquet as pq
+
+    rows = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).to_pydict()["text"][:300]
+    rng = random.Random(8)
+    letters = [chr(c) for c in [*range(33, 127), *range(161, 256), 0x301, 0x3A3, 0x130, 0x2028, 0x1F600, 0xA0, 0x85, 0x1C, 0x149]]
+    rows += [" ".join("".join(rng.choices(letters, k=rng.randint(1, 9))) for _ in range(60)) for _ in range(60)]
+    rows += ["I'm they'll <|endoftext|> X<|startoftext|>y <|endoftext", "ÀÉ's 'S 'LL''re"]
+    tokenizer = Tokenizer.from_file(PATH)
+    expected = [tokenizer.encode(t, add_special_tokens=False).ids for t in rows]
+    got = [np.frombuffer(x, "<u4").tolist() for x in WordEncoder(PATH).encode([t.encode() for t in rows])]
+    assert got == expected
+
+
 def test_cache_generations_change_nothing():
     bodies = [t.encode() for t in texts() if t]
     small, large = WordEncoder(PATH, 5), WordEncoder(PATH)
