@@ -37,10 +37,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 K1, SLOPE = 1.2, 0.75
-THRESHOLD = 0.5
+THRESHOLD = 0.6
 OVERLAP = 0.5
 MIN_STRIDE, MAX_STRIDE = 64, 1024
-BLOCK = 16
+BLOCK = 4
 MAX_INDEX_BYTES = 16 << 20
 #: Words whose passages are bounded at a time.
 CHUNK_WORDS = 1 << 19
@@ -123,20 +123,25 @@ class Index:
         size = self.edges[terms + 1] - self.edges[terms]
         entry = np.repeat(self.edges[terms] - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
         cell = np.repeat(stretch, size) * self.n_blocks + self.blocks[entry]
-        cells, at = np.unique(cell, return_inverse=True)
-        sums = np.bincount(at.ravel(), self.maxima[entry])
-        keys = np.concatenate([cells, cells - self.n_blocks])  # a stretch also counts for the passage before it
-        cells, at = np.unique(keys, return_inverse=True)
-        bound = np.bincount(at.ravel(), np.concatenate([sums, sums]))
+        goal = self.threshold - 1e-9
+        if n * self.n_blocks <= 4 * len(cell):  # a full table is no larger than the list of its entries
+            sums = np.bincount(cell, self.maxima[entry], n * self.n_blocks).reshape(n, self.n_blocks)
+            sums[:-1] += sums[1:]  # a passage's second stretch
+            passages, blocks = np.nonzero(sums >= goal)
+        else:
+            cells, at = np.unique(np.concatenate([cell, cell - self.n_blocks]), return_inverse=True)
+            sums = np.bincount(at.ravel(), np.tile(self.maxima[entry], 2))
+            cells = cells[(sums >= goal) & (cells >= 0)]
+            passages, blocks = cells // self.n_blocks, cells % self.n_blocks
         out: dict[int, list[int]] = {}
-        for c in cells[(bound >= self.threshold - 1e-9) & (cells >= 0)].tolist():
-            out.setdefault(c // self.n_blocks, []).append(c % self.n_blocks)
+        for passage, block in zip(passages.tolist(), blocks.tolist(), strict=True):
+            out.setdefault(passage, []).append(block)
         return out
 
     def search(self, terms: list[int], live: list[int] | None = None) -> list[tuple[int, float]]:
         """All (item number, score) at or above the threshold for a set of terms."""
         goal = self.threshold - 1e-9
-        alive = None if live is None else set(live)
+        alive = None if live is None else sorted(live)
         lists = [[self.postings[t][0][0], 0, t] for t in set(terms)]
         out = []
 
@@ -145,6 +150,13 @@ class Index:
             entry[1] = bisect_left(numbers, item, entry[1])
             entry[0] = numbers[entry[1]] if entry[1] < len(numbers) else -1
 
+        def live_from(item: int) -> int | None:
+            """The first item from ``item`` on that lies in a live block."""
+            if alive is None:
+                return item
+            k = bisect_left(alive, item // BLOCK)
+            return None if k == len(alive) else max(item, alive[k] * BLOCK)
+
         while lists:
             lists.sort()
             bound, pivot = 0.0, None
@@ -153,21 +165,23 @@ class Index:
                 if bound >= goal:
                     pivot, k_end = item, k
                     break
-            if pivot is None:
+            if pivot is None or (start := live_from(pivot)) is None:
                 break
             while k_end + 1 < len(lists) and lists[k_end + 1][0] == pivot:
                 k_end += 1
             block = pivot // BLOCK
             upto = lists[: k_end + 1]
-            if (alive is not None and block not in alive) or sum(
-                self.block_max[t].get(block, 0.0) for _, _, t in upto
-            ) < goal:
+            if start > pivot:  # no item before ``start`` can reach the threshold
+                for entry in lists:
+                    if entry[0] < start:
+                        forward(entry, start)
+            elif sum(self.block_max[t].get(block, 0.0) for _, _, t in upto) < goal:
                 # nothing before the next block, or before the next list's item, can reach it
                 after = (block + 1) * BLOCK
                 if k_end + 1 < len(lists):
                     after = min(after, lists[k_end + 1][0])
                 for entry in upto:
-                    forward(entry, max(after, pivot + 1))
+                    forward(entry, after)
             elif lists[0][0] == pivot:
                 score = sum(self.postings[t][1][pos] for item, pos, t in upto if item == pivot)
                 if score >= goal:

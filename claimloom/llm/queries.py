@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimloom.llm import html, lines, packing, quality, sharding, simhash, sql, substrings, suffixes, urls
+from claimloom.llm import decontaminate, html, lines, packing, quality, sharding, simhash, sql, substrings, suffixes, urls
 from claimloom.llm.common import table
 
 
@@ -58,6 +58,14 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    leaks = decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return leaks.select(
+        "doc_id", "item_id", "start", F.round("score", 6).alias("score"),
+        F.round("question_overlap", 6).alias("question_overlap"), F.round("answer_overlap", 6).alias("answer_overlap"),
+    )
+
+
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = html.extract_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return found.select("page_id", "url", "text", "n_chars")
@@ -72,6 +80,7 @@ QUERIES = {
     "op6_packing": op6_packing,
     "op7_url_filters": op7_url_filters,
     "op8_suffix_dedup": op8_suffix_dedup,
+    "op9_decontamination": op9_decontamination,
     "op10_html_extraction": op10_html_extraction,
 }
 
