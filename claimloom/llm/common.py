@@ -16,6 +16,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def let(value, body):
+    """``body`` of a value that is evaluated once, however often the body uses it.
+
+    A lambda's variable is the one place that no rewriting of the plan copies.
+    """
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def words_of(text):
     """The words of a string column, in order; null gives an empty array."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE_CLASS, -1), "")

@@ -21,40 +21,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimloom.llm.common import SPACES
+from claimloom.llm.common import SPACES, let
 
 WINDOW = 3
 
 
 def line_windows(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """_id, _version (of the text), at (first line, from 0) and the hashes a and b."""
-    lines = docs.select(
+    marked = F.transform(
+        F.split(text, "\n", -1),
+        lambda x: F.struct(
+            F.xxhash64(x).alias("a"),
+            F.xxhash64(F.lit(1), x).alias("b"),
+            (F.length(F.translate(x, SPACES, "")) > 0).alias("word"),
+        ),
+    )
+
+    def windows(lines):
+        part = lambda i, k: F.get(lines, i + k)
+        return F.transform(
+            F.slice(lines, F.lit(1), F.greatest(F.size(lines) - (WINDOW - 1), F.lit(0))),
+            lambda x, i: F.struct(
+                F.xxhash64(x["a"], part(i, 1)["a"], part(i, 2)["a"]).alias("a"),
+                F.xxhash64(x["b"], part(i, 1)["b"], part(i, 2)["b"]).alias("b"),
+                (x["word"] | part(i, 1)["word"] | part(i, 2)["word"]).alias("word"),
+            ),
+        )
+
+    found = docs.select(
         F.col(key).alias("_id"),
         F.xxhash64(text).alias("_version"),
-        F.transform(
-            F.split(text, "\n", -1),
-            lambda x: F.struct(
-                F.xxhash64(x).alias("a"),
-                F.xxhash64(F.lit(1), x).alias("b"),
-                (F.length(F.translate(x, SPACES, "")) > 0).alias("word"),
-            ),
-        ).alias("_lines"),
-    ).where(F.size("_lines") >= WINDOW)
-    part = lambda i, k: F.get("_lines", i + k)
-    return lines.select(
-        "_id",
-        "_version",
-        F.posexplode(
-            F.transform(
-                F.slice("_lines", F.lit(1), F.size("_lines") - (WINDOW - 1)),
-                lambda x, i: F.struct(
-                    F.xxhash64(x["a"], part(i, 1)["a"], part(i, 2)["a"]).alias("a"),
-                    F.xxhash64(x["b"], part(i, 1)["b"], part(i, 2)["b"]).alias("b"),
-                    (x["word"] | part(i, 1)["word"] | part(i, 2)["word"]).alias("word"),
-                ),
-            )
-        ).alias("at", "w"),
-    ).where("w.word").select("_id", "_version", "at", "w.a", "w.b")
+        F.posexplode(let(marked, windows)).alias("at", "w"),
+    )
+    return found.where("w.word").select("_id", "_version", "at", "w.a", "w.b")
 
 
 def covered_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -79,24 +78,16 @@ def dedupe_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     """``docs`` with the covered lines removed from its text, plus n_lines and n_removed."""
     covered = covered_lines(docs, key, text)
     named = docs.withColumn("_v", F.xxhash64(text))
-    lines = F.split(text, "\n", -1)
-    joined = (
-        named.join(covered, named[key].eqNullSafe(covered["_id"]) & (F.col("_v") == F.col("_version")), "left")
-        .withColumn("_lines", lines)
-        .withColumn("n_lines", F.coalesce(F.size("_lines"), F.lit(0)).cast("long"))
+    joined = named.join(
+        covered, named[key].eqNullSafe(covered["_id"]) & (F.col("_v") == F.col("_version")), "left"
     )
     gone = F.flatten(F.transform("positions", lambda p: F.array(*[p + k for k in range(WINDOW)])))
-    joined = joined.withColumn(
-        "_kept",
-        F.when(F.col("positions").isNotNull(), F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), gone)),
-    )
-    changed = F.array_join(F.transform("_kept", lambda i: F.get("_lines", i)), "\n")
-    n_removed = F.when(F.col("_kept").isNull(), F.lit(0)).otherwise(F.col("n_lines") - F.size("_kept"))
+    lines = F.split(named[text], "\n", -1)
+    # null where nothing is to go
+    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
+    changed = F.array_join(let(lines, lambda x: F.transform(kept, lambda i: F.get(x, i))), "\n")
     return joined.select(
-        *[
-            F.when(F.col("_kept").isNull(), F.col(text)).otherwise(changed).alias(text) if c == text else named[c]
-            for c in docs.columns
-        ],
-        F.when(F.col("_lines").isNull(), F.lit(0)).otherwise(F.col("n_lines")).cast("long").alias("n_lines"),
-        n_removed.cast("long").alias("n_removed"),
+        *[F.coalesce(changed, named[c]).alias(c) if c == text else named[c] for c in docs.columns],
+        F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"),
+        F.coalesce(F.size(lines) - F.size(kept), F.lit(0)).cast("long").alias("n_removed"),
     )

@@ -26,10 +26,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimloom.llm.common import SPACE_CLASS, SPACES, words_of
+from claimloom.llm.common import SPACES, let, words_of
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
+WORD = "[^\\x20\\x09-\\x0D]+"
 
 
 @dataclass(frozen=True)
@@ -55,73 +56,70 @@ def _without(text: Column, chars: str) -> Column:
     return F.translate(text, chars, "")
 
 
-def base_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words (all long).
+def repeat_words(text: Column) -> Column:
+    """Words in windows that occur at least twice in the text.
 
-    Windows are compared by the chained 64-bit hash of their five words, within one
-    document only. The steps stay apart (each column is used more than once), so none is
-    evaluated again inside a lambda.
+    Windows are compared by the chained 64-bit hash of their words. Only a text with a repeated window sorts them.
     """
+
+    def windows(hashes):
+        starts = F.greatest(F.size(hashes) - (WINDOW - 1), F.lit(0))
+        return F.transform(
+            F.slice(hashes, F.lit(1), starts),
+            lambda h, i: F.xxhash64(h, *[F.get(hashes, i + k) for k in range(1, WINDOW)]),
+        )
+
+    def covered(ranked):
+        repeated = F.filter(
+            ranked,
+            lambda x, i: (x["h"] == F.get(ranked, i - 1)["h"]) | (x["h"] == F.get(ranked, i + 1)["h"]),
+        )
+        return F.aggregate(
+            F.sort_array(F.transform(repeated, lambda x: x["at"])),
+            F.struct(F.lit(0).alias("end"), F.lit(0).alias("n")),
+            lambda acc, p: F.struct(
+                (p + WINDOW).alias("end"),
+                (acc["n"] + p + WINDOW - F.greatest(acc["end"], p)).alias("n"),
+            ),
+            lambda acc: acc["n"],
+        )
+
+    def count(found):
+        ranked = F.sort_array(F.transform(found, lambda h, i: F.struct(h.alias("h"), i.alias("at"))))
+        some = F.size(found) > F.size(F.array_distinct(found))
+        return F.when(some, let(ranked, covered)).otherwise(F.lit(0))
+
+    hashes = F.transform(words_of(text), lambda w: F.xxhash64(w))
+    return let(hashes, lambda h: let(windows(h), count)).cast("long")
+
+
+def base_counts(docs: DataFrame, text: str = "text") -> DataFrame:
+    """Adds n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words (all long)."""
     body = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(body, "\n", -1), lambda x: F.length(_without(x, SPACES)) > 0)
-    out = (
-        docs.withColumn("_hashes", F.transform(words_of(F.col(text)), lambda w: F.xxhash64(w)))
-        .withColumn("_lines", lines)
-        .withColumn("n_words", F.size("_hashes").cast("long"))
-        .withColumn("word_chars", F.length(_without(body, SPACES)).cast("long"))
-        .withColumn("n_symbols", (F.length(body) - F.length(_without(body, SYMBOLS))).cast("long"))
-        .withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"))
-        .drop("_lines")
+    return docs.select(
+        "*",
+        F.regexp_count(body, F.lit(WORD)).cast("long").alias("n_words"),
+        F.length(_without(body, SPACES)).cast("long").alias("word_chars"),
+        (F.length(body) - F.length(_without(body, SYMBOLS))).cast("long").alias("n_symbols"),
+        let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
+        repeat_words(F.col(text)).alias("n_repeat_words"),
     )
-    starts = F.greatest(F.col("n_words") - (WINDOW - 1), F.lit(0)).cast("int")
-    out = out.withColumn(
-        "_windows",
-        F.transform(
-            F.slice("_hashes", F.lit(1), starts),
-            lambda h, i: F.xxhash64(h, *[F.get("_hashes", i + k) for k in range(1, WINDOW)]),
-        ),
-    ).drop("_hashes")
-    # only a text with a repeated window sorts its windows
-    some = F.size("_windows") > F.size(F.array_distinct("_windows"))
-    out = out.withColumn(
-        "_sorted",
-        F.when(
-            some,
-            F.sort_array(F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("at")))),
-        ),
-    ).drop("_windows")
-    repeated = F.filter(
-        F.col("_sorted"),
-        lambda x, i: (x["h"] == F.get("_sorted", i - 1)["h"]) | (x["h"] == F.get("_sorted", i + 1)["h"]),
-    )
-    positions = F.sort_array(F.transform(repeated, lambda x: x["at"]))
-    covered = F.aggregate(
-        positions,
-        F.struct(F.lit(0).alias("end"), F.lit(0).alias("n")),
-        lambda acc, p: F.struct(
-            (p + WINDOW).alias("end"),
-            (acc["n"] + p + WINDOW - F.greatest(acc["end"], p)).alias("n"),
-        ),
-        lambda acc: acc["n"],
-    )
-    return out.withColumn(
-        "n_repeat_words",
-        F.when(F.col("_sorted").isNull(), F.lit(0)).otherwise(covered).cast("long"),
-    ).drop("_sorted")
 
 
 def cheap_features(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds the features that the adaptive fences judge (null where a text has no word)."""
     body = F.coalesce(F.col(text), F.lit(""))
-    n = F.regexp_count(body, F.lit("[^\\x20\\x09-\\x0D]+"))
-    out = docs.withColumn("_n", F.nullif(n, F.lit(0))).withColumn("_lines", F.split(body, "\n", -1))
+    n = F.regexp_count(body, F.lit(WORD))
+    out = docs.withColumn("_n", F.nullif(n, F.lit(0)))
+    distinct = let(F.split(body, "\n", -1), lambda x: F.size(F.array_distinct(x)) / F.size(x))
     return out.select(
         *docs.columns,
         ((F.length(body) - F.length(_without(body, SYMBOLS))) / F.col("_n")).alias("symbols_per_word"),
         ((F.length(body) - F.length(_without(body, "!"))) / F.col("_n")).alias("shouts_per_word"),
         F.when(
             F.col("_n").isNotNull(),
-            1 - F.size(F.array_distinct("_lines")) / F.size("_lines"),
+            1 - distinct,
         ).alias("duplicate_lines_share"),
         (F.length(_without(body, SPACES)) / F.col("_n")).alias("word_length"),
     )
