@@ -12,6 +12,7 @@ from claimloom.operators import context, evidence, graph, metrics, retrieval, re
 from claimloom.plans import views as V
 from claimloom.sources import derive
 from claimloom.sources.derive import table
+from claimloom.sources.shared import checkpointed
 from claimloom.streaming import ledger as L
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -538,11 +539,12 @@ def normalized_candidates(spark, d):
 
 def _ask(spark, d):
     """Candidates, snapshot, ranks and scored claims of the questions (graph of evidence, entities and schemas)."""
-    candidates = retrieval.normalize_candidates(_sparse(spark, d).where("rank <= 8").select(
+    candidates = checkpointed(retrieval.normalize_candidates(_sparse(spark, d).where("rank <= 8").select(
         "query_id", F.lit("sparse").alias("source"), F.concat(F.lit("claim:"), "claim_id").alias("node_id"), F.lit("claim").alias("target_type"),
         F.col("claim_id").alias("target_id"), "score",
-    ))
+    )))
     nodes, edges = retrieval.graph_snapshot(candidates.select("query_id", "node_id"), graph_edges(spark, d), 200, 800)
+    nodes, edges = checkpointed(nodes), checkpointed(edges)
     reset = retrieval.reset_weights(candidates, nodes)
     ranks = retrieval.personalized_pagerank(nodes, edges, reset, iterations=20)
     return candidates, nodes, ranks
