@@ -22,6 +22,7 @@ carried.
 from __future__ import annotations
 
 import os
+import struct
 import sys
 import types
 import zlib
@@ -80,10 +81,20 @@ class WordEncoder:
         if ids is None:
             if len(self.pieces) >= self.limit:
                 self.pieces.clear()
-            letters = piece.encode().decode("latin-1").translate(BYTE_LETTERS)
-            ids = self.pieces[piece] = np.array([t.id for t in self.model.tokenize(letters)], "<u4").tobytes()
+            letters = piece if piece.isascii() else piece.encode().decode("latin-1").translate(BYTE_LETTERS)
+            ids = self.pieces[piece] = struct.pack(f"<{len(found := self.model.tokenize(letters))}I", *[t.id for t in found])
         return ids
 
+    def _parts(self, text: str) -> list[str] | None:
+        """The lower-case pieces of a plain word; None for any other."""
+        if not text.isascii() and max(text) > "ÿ":
+            return None
+        if text.isalpha():
+            return [text.lower()]
+        if text[-1] in ",.;:!?" and text[:-1].isalpha():
+            return [text[:-1].lower(), text[-1]]
+        return PIECE.findall(text.lower()) if PLAIN.fullmatch(text) else None
+
     def encode(self, bodies: list[bytes]) -> list[bytes]:
         texts = [body.split() for body in bodies]
         known, other = {}, []
@@ -93,10 +104,11 @@ class WordEncoder:
                 ids = self.old.get(word)
                 if ids is None:
                     text = word.decode("utf-8", "replace")
-                    if not PLAIN.fullmatch(text):
+                    parts = self._parts(text)
+                    if parts is None:
                         other.append((word, text))
                         continue
-                    ids = b"".join(map(self._piece, PIECE.findall(text.lower())))
+                    ids = b"".join(map(self._piece, parts))
                 self.young[word] = ids
             known[word] = ids
         found = self.tokenizer.encode_batch_fast([text for _, text in other], add_special_tokens=False)
