@@ -75,16 +75,21 @@ def candidate_pairs(features: DataFrame) -> DataFrame:
     rare = both.where(F.col("place") <= F.col("n") - F.ceil(LEAST * F.col("n")) + 1).select(
         "claim_id", key("prefix", F.col("entity"), F.col("schema"), F.col("token")).alias("key")
     )
-    pair_of = F.lit(None).cast("string")
+    pair_of, side = F.lit(None).cast("string"), F.lit(None).cast("int")
     for a, b in COMPLEMENTARY:
         pair_of = F.when(F.col("claim_type").isin(a, b), F.lit(a)).otherwise(pair_of)
+        side = F.when(F.col("claim_type") == a, F.lit(0)).when(F.col("claim_type") == b, F.lit(1)).otherwise(side)
     typed = both.where(pair_of.isNotNull()).select(
-        "claim_id", key("typed", pair_of, F.col("entity"), F.col("schema"), F.col("token")).alias("key")
+        "claim_id", side.alias("side"), key("typed", pair_of, F.col("entity"), F.col("schema"), F.col("token")).alias("key")
     )
-    keys = plain.union(rare).union(typed)
+    keys = plain.union(rare)
     left = keys.select(F.col("claim_id").alias("left_id"), "key")
     right = keys.select(F.col("claim_id").alias("right_id"), "key")
-    return left.join(right, "key").where("left_id < right_id").select("left_id", "right_id").distinct()
+    alike = left.join(right, "key").where("left_id < right_id").select("left_id", "right_id")
+    one = typed.where("side = 0").select("key", F.col("claim_id").alias("a"))
+    other = typed.where("side = 1").select("key", F.col("claim_id").alias("b"))
+    crossed = one.join(other, "key").select(F.least("a", "b").alias("left_id"), F.greatest("a", "b").alias("right_id"))
+    return alike.union(crossed).distinct()
 
 
 def score_pairs(pairs: DataFrame, features: DataFrame) -> DataFrame:
