@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimloom.functions.text import normalize_key, topic_tokens
+from claimloom.sources.shared import checkpointed
 
 # Score of each kind of cluster key, role limits, opportunity weights and dossier limits.
 KEY_SCORE = {"entity": 0.90, "relation": 0.92, "tag": 0.82, "schema": 0.70, "topic": 0.58}
@@ -170,25 +171,28 @@ def readiness_changes(new: DataFrame, old: DataFrame, least: float = 0.001) -> D
 def cluster_dossier(memberships: DataFrame, claims: DataFrame, max_chars: int = MAX_DOSSIER_CHARS, max_claims: int = MAX_DOSSIER_CLAIMS) -> DataFrame:
     """Claims of each cluster's dossier: by score, those that still fit the characters, at most sixteen.
 
-    Only the best members can enter, so each cluster keeps as many as short texts could fill. The greedy
-    choice skips what does not fit. ``claims``: claim_id, cost (characters, at least one).
+    The greedy choice skips what does not fit, so a member at any place can enter. Each round adds to every cluster
+    the next member, in order, that fits the room left; after at most ``max_claims`` rounds none is left to add.
+    ``claims``: claim_id, cost (characters, at least one).
     """
-    bound = max_claims * 8
-    order = Window.partitionBy("cluster_key").orderBy(F.col("score").desc(), "claim_id")
-    rows = memberships.join(claims.select("claim_id", "cost"), "claim_id").withColumn("place", F.row_number().over(order))
-    first = rows.where(F.col("place") <= bound)
-    listed = first.groupBy("cluster_key").agg(F.array_sort(F.collect_list(F.struct("place", "claim_id", "cost"))).alias("all"))
-    start = F.struct(F.lit(0).cast("long").alias("chars"), F.array().cast("array<string>").alias("ids"))
-
-    def step(acc, m):
-        fits = (acc["chars"] + m["cost"] <= max_chars) & (F.size(acc["ids"]) < max_claims)
-        return F.struct(
-            F.when(fits, acc["chars"] + m["cost"]).otherwise(acc["chars"]).alias("chars"),
-            F.when(fits, F.array_append(acc["ids"], m["claim_id"])).otherwise(acc["ids"]).alias("ids"),
+    place = F.struct((-F.col("score")).alias("rank"), "claim_id").alias("place")
+    rows = memberships.join(claims.select("claim_id", "cost"), "claim_id").where(F.col("cost") <= max_chars)
+    rows = checkpointed(rows.select("cluster_key", place, "cost"))
+    packed = rows.groupBy("cluster_key").agg(F.lit(0).cast("long").alias("chars"), F.min(F.lit(None).cast(rows.schema["place"].dataType)).alias("last"), F.array().cast("array<string>").alias("ids"))
+    done = packed.limit(0)
+    for _ in range(max_claims):
+        later = F.col("last").isNull() | (F.col("place") > F.col("last"))
+        fits = rows.join(packed.select("cluster_key", "chars", "last"), "cluster_key").where(later & (F.col("chars") + F.col("cost") <= max_chars))
+        found = fits.groupBy("cluster_key").agg(F.min(F.struct("place", "cost")).alias("m"))
+        grown = packed.join(found, "cluster_key").select(
+            "cluster_key", (F.col("chars") + F.col("m.cost")).alias("chars"), F.col("m.place").alias("last"),
+            F.array_append("ids", F.col("m.place.claim_id")).alias("ids"),
         )
-
-    packed = listed.select("cluster_key", F.aggregate("all", start, step).alias("d"))
-    return packed.select("cluster_key", F.col("d.chars").alias("n_chars"), F.posexplode("d.ids").alias("position", "claim_id"))
+        done = done.union(packed.join(found, "cluster_key", "left_anti"))
+        packed = checkpointed(grown)
+        if packed.isEmpty():
+            break
+    return done.union(packed).select("cluster_key", F.col("chars").alias("n_chars"), F.posexplode("ids").alias("position", "claim_id"))
 
 
 def synthesis_links(seeds: DataFrame, keyed: DataFrame) -> DataFrame:

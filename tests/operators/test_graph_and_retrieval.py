@@ -117,6 +117,22 @@ def test_clusters_and_dossier(spark):
     assert got == ["c00"] + [f"c{i:02}" for i in range(2, 17)]
 
 
+def test_dossier_takes_members_at_any_place(spark):
+    rng = random.Random(6)
+    costs = {"k": [4000] * 150 + [1500, 900, 400], "two": [rng.randint(1, 9000) for _ in range(300)], "none": [30_001]}
+    rows = [(k, f"{k}{i:03}", 1.0 - i / 1000, cost) for k, v in costs.items() for i, cost in enumerate(v)]
+    df = spark.createDataFrame(rows, "cluster_key string, claim_id string, score double, cost long")
+    expected = {}
+    for k, claim, _, cost in rows:
+        chars, ids = expected.get(k, (0, []))
+        if chars + cost <= 30_000 and len(ids) < 16:
+            expected[k] = (chars + cost, [*ids, claim])
+    got = {}
+    for r in synthesis.cluster_dossier(df.drop("cost"), df.select("claim_id", "cost")).orderBy("position").collect():
+        got.setdefault(r.cluster_key, (r.n_chars, []))[1].append(r.claim_id)
+    assert got == expected and got["k"][1][-2:] == ["k150", "k152"]
+
+
 def test_routes(spark):
     rows = [(f"c{i}", "b", i, t) for i, t in enumerate(["one", "One!", "two", "three", "four", "five"])]
     df = spark.createDataFrame(rows, "claim_id string, batch string, ordinal int, statement string")
