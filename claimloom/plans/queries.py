@@ -334,7 +334,7 @@ SELECT doc_id::VARCHAR AS claim_id, label FROM e WHERE trim(w) <> '' AND label <
  AND NOT (len(string_split(label, ' ')) = 1 AND (length(label) <= 1 OR (length(label) <= 3 AND NOT list_contains(['api','rpc','sdk','ux','ui','usdc','usdt','defi'], label))))
 GROUP BY doc_id, label""")
 def sanitized_entities(spark, d):
-    words = table(spark, d, "documents").select("doc_id", F.posexplode(F.slice(F.split("text", " "), 1, 8)).alias("position", "name"))
+    words = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", " ")).alias("position", "name"))
     rows = words.select(F.col("doc_id").cast("string").alias("claim_id"), "position", "name", F.lit(None).cast("string").alias("canonical"), F.lit("word").alias("entity_type"))
     return validation.sanitize_entities(rows).select("claim_id", "label")
 
