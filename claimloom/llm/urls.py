@@ -31,7 +31,7 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 RULES = (
     ("allow", "com", "/"),
     ("block", "example.com", "/en/"),
-    ("allow", "www.example.com", "/"),
+    ("allow", "www.example.com", "/en/"),
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 )

@@ -1,6 +1,6 @@
 import numpy as np
 
-from claimloom.llm.urls import EXAMPLES, RULES, _split, judge_urls, slots, train
+from claimloom.llm.urls import EXAMPLES, _split, judge_urls, slots, train
 
 HELD_OUT = [
     ("http://super-casino.example.org/en/7", 1), ("https://www.casino-online.example.net/de/1", 1),
@@ -14,6 +14,13 @@ HELD_OUT = [
 ]
 
 
+#: The rule table that the query is held to, written out.
+RULES = [
+    ("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
+    ("block", "net", "/es/"), ("block", "net", "/fr/"),
+]
+
+
 def brute(url):
     if url is None or "://" not in url:
         return "", "", None, None
@@ -31,7 +38,7 @@ def brute(url):
 def test_rules_and_parts(spark):
     urls = [
         None, "", "no scheme.com/en/", "http://", "http://COM/", "http://a.com", "http://a.com/", "http://example.com/en/1",
-        "http://x.example.com/en/", "http://www.example.com/en/3?x=1", "http://a.www.example.com/de", "http://notexample.com/en/1",
+        "http://x.example.com/en/", "http://www.example.com/en/3?x=1", "http://a.www.example.com/de", "http://www.example.com/de/1", "http://a.www.example.com/en/2", "http://www.example.com/en", "http://notexample.com/en/1",
         "ftp://É.NET/es/q#f", "http://q.net/fr", "http://q.net/fr/x", "http://net/es/", "a://b.net/es/?c=://d", "http://h?x/y",
         "http://h#x/y", "http://www.example.com?en", "x\n://y.com/a\nb?c", "http://casino-win.example.org/en/1",
     ]
@@ -42,6 +49,10 @@ def test_rules_and_parts(spark):
         host, path, rule, verdict = brute(u)
         assert (got[i].host, got[i].path, got[i].rule) == (host, path, rule), u
         assert got[i].verdict == (verdict or ("block" if got[i].unwanted >= 0.5 else "allow"))
+    rule = {r.url: (r.rule, r.verdict) for r in got.values()}
+    assert rule["http://www.example.com/de/1"] == ("com/", "allow")
+    assert rule["http://www.example.com/en/3?x=1"] == ("www.example.com/en/", "allow")
+    assert rule["http://example.com/en/1"] == ("example.com/en/", "block")
     assert got[0].verdict == "allow" and got[len(urls) - 1].verdict == "block"
     assert judge_urls(df.limit(0)).count() == 0
 
