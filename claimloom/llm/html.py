@@ -13,8 +13,9 @@ nothing is shuffled.
 
 Defined results: null html or a page without content gives an empty text; repeated rows are judged
 each; an empty table gives an empty result; other columns pass through, but for text and n_chars,
-which are replaced. Elements nested deeper than ``MAX_DEPTH`` count as part of the one at that
-depth, with their text.
+which are replaced. Pages of any length and nesting are read whole, in linear time. End tags may be
+left out where HTML allows it: a head ends at the first element or text of the body, an option at
+the next one or with its list, and whatever hidden element is left open ends with its parent.
 """
 
 from __future__ import annotations
@@ -30,18 +31,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MAX_LABELLED = 2_000
-MAX_DEPTH = 200
-#: Fixed HTML vocabulary: elements without content, of raw text, and inside lines of text.
+#: Fixed HTML vocabulary: elements without content, of hidden text, and inside lines of text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template svg math head title textarea select option button iframe object".split())
+HIDDEN = frozenset(
+    "script style noscript template svg annotation annotation-xml head title textarea select datalist optgroup option button iframe "
+    "object".split()
+)
 INLINE = frozenset(
     "a abbr b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub "
-    "sup time tt u var wbr br".split()
+    "sup time tt u var wbr br math maction merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace "
+    "msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split()
 )
+#: What may stand in a head; all else begins the body.
+IN_HEAD = frozenset("base link meta noscript script style template title head html".split())
+#: These never stand in a control, so they end one that was left open.
+SECTIONS = frozenset("article aside body footer header main nav section".split())
+CONTROLS = frozenset("select datalist optgroup option button".split())
 #: What a start tag closes, if open.
 CLOSES = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
-    "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"tr", "td", "th", "thead"},
+    "thead": {"tr", "td", "th"}, "tbody": {"tr", "td", "th", "thead"},
 }
 #: An open p ends where one of these starts.
 ENDS_P = frozenset(
@@ -52,12 +61,11 @@ SCOPES = frozenset(("ul", "ol", "table", "dl", "div", "section", "article", "bod
 
 
 class Node:
-    __slots__ = ("tag", "names", "parent", "children", "text", "linked", "label", "hidden", "depth", "total", "links", "index")
+    __slots__ = ("tag", "names", "parent", "children", "text", "linked", "label", "total", "links", "index")
 
-    def __init__(self, tag, names, parent, hidden=False):
-        self.tag, self.names, self.parent, self.hidden = tag, names, parent, hidden
+    def __init__(self, tag, names, parent):
+        self.tag, self.names, self.parent = tag, names, parent
         self.children, self.text, self.linked, self.label = [], None, 0, None
-        self.depth = parent.depth + 1 if parent else 0
 
 
 class Dom(HTMLParser):
@@ -66,8 +74,9 @@ class Dom(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("html", (), None)
+        self.open: Counter = Counter()
         self.open_inline: list[str] = []
-        self.raw: list[str] = []
+        self.hidden: list[str] = []  # open elements from the outermost hidden one on
         self.run: list[str] = []
         self.run_links = 0
 
@@ -80,12 +89,17 @@ class Dom(HTMLParser):
                 self.at.children.append(leaf)
             self.run, self.run_links = [], 0
 
-    def close_to(self, node):
+    def end(self, node):
+        """End ``node`` and all that is open inside."""
         self.end_run()
-        self.at = node
+        while self.at is not node.parent:
+            self.open[self.at.tag] -= 1
+            self.at = self.at.parent
 
     def opened(self, tags, stop=frozenset()):
         """The innermost open element of these tags, not looking past ``stop``."""
+        if not any(self.open[t] for t in tags):
+            return None
         node = self.at
         while node.parent is not None:
             if node.tag in tags:
@@ -95,16 +109,28 @@ class Dom(HTMLParser):
             node = node.parent
         return None
 
+    def stays_hidden(self, tag) -> bool:
+        """Whether a start tag lies inside the open hidden elements; ends those it does not lie in."""
+        if self.hidden == ["head"] and tag not in IN_HEAD:
+            self.hidden.clear()
+        elif tag in SECTIONS and CONTROLS.issuperset(self.hidden):
+            self.hidden.clear()
+        elif tag == "option" and self.hidden and self.hidden[-1] == "option":
+            self.hidden.pop()
+        if not self.hidden:
+            return False
+        if tag not in VOID:
+            self.hidden.append(tag)
+        return True
+
     def handle_starttag(self, tag, attrs):
-        if self.raw:
-            if tag == self.raw[-1]:
-                self.raw.append(tag)
+        if self.hidden and self.stays_hidden(tag):
             return
         if tag == "br":
             self.run.append(" ")
             return
-        if tag in RAW:
-            self.raw.append(tag)
+        if tag in HIDDEN:
+            self.hidden.append(tag)
             return
         if tag in INLINE:
             if tag not in VOID:
@@ -120,17 +146,15 @@ class Dom(HTMLParser):
                 self.push(tag, attrs)
             return
         if tag in ENDS_P and (p := self.opened({"p"}, SCOPES)):
-            self.close_to(p.parent)
+            self.end(p)
         if tag in CLOSES:
             stop = {"ul", "ol", "dl"} if tag in ("li", "dt", "dd") else {"table"}
             while found := self.opened(CLOSES[tag], stop):
-                self.close_to(found.parent)
+                self.end(found)
         self.push(tag, attrs)
 
     def push(self, tag, attrs):
         self.end_run()
-        if self.at.depth >= MAX_DEPTH:
-            return
         values = dict(attrs)
         words = " ".join(str(values.get(a) or "") for a in ("class", "id", "role"))
         names = tuple(re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", words).lower()))
@@ -139,12 +163,17 @@ class Dom(HTMLParser):
             node.label = values["data-content"] != "no"
         self.at.children.append(node)
         self.at = node
+        self.open[tag] += 1
 
     def handle_endtag(self, tag):
-        if self.raw:
-            if tag == self.raw[-1]:
-                self.raw.pop()
-            return
+        if self.hidden:
+            if tag in self.hidden:
+                while self.hidden.pop() != tag:
+                    pass
+                return
+            if tag in ("body", "html") or not self.opened({tag}):
+                return
+            self.hidden.clear()  # an element around it ends
         if tag in INLINE:
             if tag in self.open_inline:
                 del self.open_inline[len(self.open_inline) - 1 - self.open_inline[::-1].index(tag)]
@@ -152,10 +181,12 @@ class Dom(HTMLParser):
         if tag in ("body", "html"):
             return
         if node := self.opened({tag}):
-            self.close_to(node.parent)
+            self.end(node)
 
     def handle_data(self, data):
-        if not self.raw:
+        if self.hidden == ["head"] and not data.isspace():
+            self.hidden.clear()
+        if not self.hidden:
             self.run.append(data)
             if "a" in self.open_inline:
                 self.run_links += len(data)
