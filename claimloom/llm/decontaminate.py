@@ -1,8 +1,9 @@
 """Benchmark decontamination: BM25 over an index of test items, searched by block-max WAND.
 
 The test items are the indexed collection and every passage of the training texts is a
-query. A passage is ``2 * stride`` words, with a new one every ``stride`` words; the
-stride is at least the longest item's length (up to ``MAX_STRIDE``), so an item in a text lies whole in some
+query. Items fall into classes of length: up to 64 words, up to 128, and so on. A passage for a
+class is ``2 * stride`` words, with a new one every ``stride`` words, and the stride is the class's
+greatest length; so an item of any length that stands in a text lies whole in some
 passage. An item's score is its BM25 sum over the passage's distinct words, divided by the
 sum over all of the item's own words, and every item with a score of at least
 ``threshold`` is retrieved. Retrieved items are verified: enough of the word trigrams of the item's question and
@@ -14,12 +15,15 @@ at a time by numpy; the others walk their posting lists document at a time, skip
 by list maxima to a pivot and over blocks whose maxima cannot reach the threshold.
 No result is lost by either.
 
-The index goes to the tasks by broadcast. Its size is bounded: the items' bytes are measured, and beyond
-``MAX_INDEX_BYTES`` they are dealt into parts that are searched one after another. Training
-texts are neither shuffled nor collected; each text is searched whole where it lies.
+Document frequencies, the number of items and their mean length are counted by Spark over all items, and
+so are the weights. The index goes to the tasks by broadcast. Its size is bounded: the items' bytes are
+measured, and beyond ``MAX_INDEX_BYTES`` they are dealt into parts that are built, sent and searched one after
+another; scores and rows do not depend on the number of parts. Training texts are not collected; each text is
+searched whole, of any length, where it lies.
 
 Defined results: null and empty texts match nothing, and null or empty items are
-never found; rows that share a doc_id are searched each; an empty table gives an empty result.
+never found; rows that share a doc_id are searched each; items equal in id and text count once; an empty
+table gives an empty result. ``decontaminate`` passes all columns through, of any name.
 """
 
 from __future__ import annotations
@@ -28,6 +32,7 @@ import math
 import re
 from bisect import bisect_left
 from collections import Counter
+from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
@@ -36,12 +41,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from claimloom.llm.common import checkpointed
+
 K1, SLOPE = 1.2, 0.75
 THRESHOLD = 0.6
 OVERLAP = 0.5
-MIN_STRIDE, MAX_STRIDE = 64, 1024
+MIN_STRIDE = 64
 BLOCK = 4
-MAX_INDEX_BYTES = 16 << 20
+MAX_INDEX_BYTES = 4 << 20
 #: Words whose passages are bounded at a time.
 CHUNK_WORDS = 1 << 19
 LEAKS = "doc_id long, item_id long, start long, score double, question_overlap double, answer_overlap double"
@@ -70,28 +77,33 @@ def _grams(words: list[str], n: int = 3) -> set:
     return {tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1))} if words else set()
 
 
+def length_class(n_words: int) -> int:
+    """0 for up to MIN_STRIDE words, 1 for up to twice as many, and so on."""
+    return max(0, math.ceil(math.log2(max(1, n_words) / MIN_STRIDE)))
+
+
+def impacts(terms: list[tuple[str, int, int]], n_items: int, mean_length: float) -> list[tuple[str, float]]:
+    """(term, share of the item's score) of an item's (term, count, items that have it)."""
+    terms = sorted(terms)
+    norm = K1 * (1 - SLOPE + SLOPE * sum(f for _, f, _ in terms) / mean_length)
+    raw = [math.log(1 + (n_items - df + 0.5) / (df + 0.5)) * f * (K1 + 1) / (f + norm) for _, f, df in terms]
+    whole = sum(raw)
+    return [(t, x / whole) for (t, _, _), x in zip(terms, raw, strict=True)]
+
+
 class Index:
-    """Impact-ordered blocks of test items: (item id, text) rows."""
-
-    def __init__(self, items: list[tuple[int, str]], threshold: float = THRESHOLD, overlap: float = OVERLAP):
-        self.threshold, self.overlap = threshold, overlap
-        counts = [(i, text, Counter(words_in(text or ""))) for i, text in items]
-        counts = sorted((c for c in counts if c[2]), key=lambda c: (c[0] is None, c[0], c[1]))
-        self.items = [(i, text) for i, text, _ in counts]
-        n = len(counts)
-        lengths = [sum(c.values()) for _, _, c in counts]
-        mean = sum(lengths) / n if n else 1.0
-        self.stride = min(MAX_STRIDE, max([MIN_STRIDE, *lengths]))
-        found = Counter(t for _, _, c in counts for t in c)
-        idf = {t: math.log(1 + (n - f + 0.5) / (f + 0.5)) for t, f in found.items()}
-        self.vocabulary = {t: k for k, t in enumerate(sorted(found))}
+    """Impact-ordered blocks of test items of one class: (item id, text, impacts) rows."""
+
+    def __init__(self, rows: list[tuple], stride: int, threshold: float = THRESHOLD, overlap: float = OVERLAP):
+        self.threshold, self.overlap, self.stride = threshold, overlap, stride
+        rows = sorted(rows, key=lambda r: (r[0] is None, r[0], r[1]))
+        self.items = [(i, text) for i, text, _ in rows]
+        n = len(rows)
+        self.vocabulary = {t: k for k, t in enumerate(sorted({t for _, _, own in rows for t, _ in own}))}
         lists: list[list[tuple[int, float]]] = [[] for _ in self.vocabulary]
-        for at, (_, _, c) in enumerate(counts):
-            norm = K1 * (1 - SLOPE + SLOPE * lengths[at] / mean)
-            raw = {t: idf[t] * f * (K1 + 1) / (f + norm) for t, f in c.items()}
-            whole = sum(raw.values())
-            for t, x in raw.items():
-                lists[self.vocabulary[t]].append((at, x / whole))
+        for at, (_, _, own) in enumerate(rows):
+            for t, x in own:
+                lists[self.vocabulary[t]].append((at, x))
         self.postings = [([i for i, _ in p], [x for _, x in p]) for p in lists]
         self.most = [max(x for _, x in p) for p in lists]
         # the block maxima of all terms, end to end
@@ -206,24 +218,7 @@ class Index:
             shares.append(len(grams & _grams(passage, n)) / len(grams) if grams else 1.0)
         return tuple(shares)
 
-    def leaks(self, texts: list[str | None]) -> list[list[tuple]]:
-        """Per text its verified items: (item id, start word, score, question, answer), best passage each."""
-        found: list[list[tuple]] = [[] for _ in texts]
-        held: list[tuple[int, list[str]]] = []
-        size = 0
-        for i, text in enumerate(texts):
-            words = words_in(text) if text else []
-            if words:
-                held.append((i, words))
-                size += len(words)
-            if held and (size >= CHUNK_WORDS or i == len(texts) - 1):
-                self._search_chunk(held, found)
-                held, size = [], 0
-        if held:
-            self._search_chunk(held, found)
-        return found
-
-    def _search_chunk(self, held: list[tuple[int, list[str]]], found: list[list[tuple]]) -> None:
+    def search_chunk(self, held: list[tuple[int, list[str]]], found: list[list[tuple]]) -> None:
         get, step = self.vocabulary.get, self.stride
         ids, stretches, first = [], [], []
         base = 0
@@ -253,17 +248,67 @@ class Index:
             found[i].append((self.items[item][0], -begin, score, question, answer))
 
 
+def leaks(indexes: list[Index], texts: list[str | None]) -> list[list[tuple]]:
+    """Per text its verified items: (item id, start word, score, question, answer), best passage each."""
+    found: list[list[tuple]] = [[] for _ in texts]
+    held: list[tuple[int, list[str]]] = []
+    size = 0
+    for i, text in enumerate(texts):
+        words = words_in(text) if text else []
+        if words:
+            held.append((i, words))
+            size += len(words)
+        if held and (size >= CHUNK_WORDS or i == len(texts) - 1):
+            for index in indexes:
+                index.search_chunk(held, found)
+            held, size = [], 0
+    return found
+
+
+def weighed_items(benchmark: DataFrame, key: str, text: str) -> DataFrame:
+    """(id, text, class, terms) of the distinct items that have a word; terms are (term, impact)."""
+
+    @F.pandas_udf("array<string>")
+    def words(texts: pd.Series) -> pd.Series:
+        return pd.Series([words_in(x) for x in texts])
+
+    items = benchmark.where(F.length(text) > 0).select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).distinct()
+    items = checkpointed(items.select("id", "text", F.md5("text").alias("digest"), words("text").alias("words")).where(F.size("words") > 0))
+    n_items, total = items.agg(F.count("*"), F.sum(F.size("words"))).first()
+    mean = total / n_items if n_items else 1.0
+    counts = items.select("id", "digest", F.explode("words").alias("term")).groupBy("id", "digest", "term").agg(F.count("*").alias("tf"))
+    found = counts.groupBy("term").agg(F.count("*").alias("df"))
+    own = counts.join(found, "term").groupBy("id", "digest").agg(F.collect_list(F.struct("term", "tf", "df")).alias("terms"))
+
+    @F.pandas_udf("array<struct<term:string,impact:double>>")
+    def weighed(rows: pd.Series) -> pd.Series:
+        return pd.Series([
+            [{"term": t, "impact": x} for t, x in impacts([(r["term"], r["tf"], r["df"]) for r in own], n_items, mean)] for own in rows
+        ])
+
+    of = F.udf(length_class, "int")
+    joined = items.alias("i").join(own.alias("o"), F.col("i.id").eqNullSafe(F.col("o.id")) & (F.col("i.digest") == F.col("o.digest")))
+    return checkpointed(joined.select(
+        "i.id", "i.text", "i.digest", of(F.size("i.words")).alias("class"), weighed("o.terms").alias("terms")
+    ))
+
+
 def index_parts(
     benchmark: DataFrame, key: str, text: str, threshold: float, overlap: float, max_bytes: int = MAX_INDEX_BYTES
-) -> list[Index]:
-    """The items as indexes of at most about ``max_bytes`` of text each."""
-    rows = benchmark.where(F.length(text) > 0).select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+) -> tuple[int, Iterator[list[Index]]]:
+    """How many parts, and one after another the indexes of each: at most about ``max_bytes`` of text, by class."""
+    items = weighed_items(benchmark, key, text)
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, math.ceil(size / max_bytes))
-    dealt = rows.withColumn("part", F.pmod(F.xxhash64("id", "text"), F.lit(n)))
-    return [
-        Index([(r.id, r.text) for r in dealt.where(F.col("part") == p).collect()], threshold, overlap) for p in range(n)
-    ]
+
+    def part(p: int) -> list[Index]:
+        rows = items.where(F.pmod(F.xxhash64("id", "digest"), F.lit(n)) == p).collect()
+        by_class: dict[int, list] = {}
+        for r in rows:
+            by_class.setdefault(r["class"], []).append((r.id, r.text, [(t.term, t.impact) for t in r.terms]))
+        return [Index(own, MIN_STRIDE << c, threshold, overlap) for c, own in sorted(by_class.items())]
+
+    return n, map(part, range(n))
 
 
 def find_leaks(
@@ -280,20 +325,24 @@ def find_leaks(
     """(key, item_id, start word, score, question_overlap, answer_overlap) of the verified items of every text."""
     rows = docs.select(F.col(key).cast("long"), F.col(text))
     context = docs.sparkSession.sparkContext
+    n, parts = index_parts(benchmark, item_key, item_text, threshold, overlap, max_index_bytes)
     result = None
-    for index in index_parts(benchmark, item_key, item_text, threshold, overlap, max_index_bytes):
-        shared = context.broadcast(index)
+    for indexes in parts:
+        shared = context.broadcast(indexes)
 
         def search(batches, shared=shared):
             for batch in batches:
                 ids = batch.column(0).to_pylist()
-                out = [(i, *leak) for i, own in zip(ids, shared.value.leaks(batch.column(1).to_pylist())) for leak in own]
+                found = leaks(shared.value, batch.column(1).to_pylist())
+                out = [(i, *leak) for i, own in zip(ids, found) for leak in own]
                 columns = list(zip(*out)) or [[]] * len(LEAKS_SCHEMA)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, f.type) for c, f in zip(columns, LEAKS_SCHEMA)], schema=LEAKS_SCHEMA
                 )
 
         part = rows.mapInArrow(search, LEAKS)
+        # several parts are searched in jobs of their own, so that a task holds one index
+        part = checkpointed(part) if n > 1 else part
         result = part if result is None else result.union(part)
     return result.withColumnRenamed("doc_id", key)
 
@@ -301,7 +350,7 @@ def find_leaks(
 def _clean(shared):
     @F.pandas_udf("boolean")
     def clean(texts: pd.Series) -> pd.Series:
-        return pd.Series([not own for own in shared.value.leaks(list(texts))], dtype=bool)
+        return pd.Series([not own for own in leaks(shared.value, list(texts))], dtype=bool)
 
     return clean
 
@@ -318,8 +367,8 @@ def decontaminate(
 ) -> DataFrame:
     """The rows of ``docs`` whose text holds no verified item."""
     context = docs.sparkSession.sparkContext
-    for index in index_parts(benchmark, item_key, item_text, threshold, overlap, max_index_bytes):
-        shared = context.broadcast(index)
-
-        docs = docs.where(_clean(shared)(F.col(text)))
+    n, parts = index_parts(benchmark, item_key, item_text, threshold, overlap, max_index_bytes)
+    for indexes in parts:
+        docs = docs.where(_clean(context.broadcast(indexes))(F.col(text)))
+        docs = checkpointed(docs) if n > 1 else docs
     return docs

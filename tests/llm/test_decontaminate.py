@@ -1,6 +1,9 @@
 import random
+from collections import Counter
 
-from claimloom.llm.decontaminate import Index, decontaminate, find_leaks, question_and_answer, words_in
+from claimloom.llm.decontaminate import (
+    MIN_STRIDE, Index, decontaminate, find_leaks, impacts, leaks, length_class, question_and_answer, words_in,
+)
 
 WORDS = ["the", "of", "and", "in", "é"] * 8 + [f"term{i}" for i in range(400)]
 
@@ -14,6 +17,15 @@ def setting(seed=1, n=120):
     return rng, items
 
 
+def index_of(items, threshold):
+    """An index of items of one class, with statistics counted here."""
+    counts = [(i, text, Counter(words_in(text))) for i, text in items]
+    df = Counter(t for _, _, c in counts for t in c)
+    mean = sum(c.total() for _, _, c in counts) / len(counts)
+    rows = [(i, text, impacts([(t, f, df[t]) for t, f in c.items()], len(counts), mean)) for i, text, c in counts]
+    return Index(rows, MIN_STRIDE << max(length_class(c.total()) for _, _, c in counts), threshold)
+
+
 def brute_scores(index, terms):
     scores = {}
     for t in set(terms):
@@ -25,7 +37,7 @@ def brute_scores(index, terms):
 def test_wand_retrieves_all_above_threshold():
     rng, items = setting()
     for threshold in (0.1, 0.3, 0.6):
-        index = Index(items, threshold)
+        index = index_of(items, threshold)
         for _ in range(150):
             terms = [index.vocabulary[w] for w in rng.choices(WORDS, k=rng.randint(1, 120)) if w in index.vocabulary]
             if rng.random() < 0.5:
@@ -38,7 +50,7 @@ def test_wand_retrieves_all_above_threshold():
 
 def test_leaks_match_brute_force():
     rng, items = setting(2)
-    index = Index(items, 0.4)
+    index = index_of(items, 0.4)
     texts = [None, "", "   "]
     for _ in range(60):
         words = rng.choices(WORDS, k=rng.choice([3, 50, 400, 3000]))
@@ -46,7 +58,7 @@ def test_leaks_match_brute_force():
             at = rng.randint(0, len(words))
             words[at:at] = rng.choice(items)[1].upper().split()
         texts.append(rng.choice([" ", "\n"]).join(words))
-    got = index.leaks(texts)
+    got = leaks([index], texts)
     for text, own in zip(texts, got, strict=True):
         words, expected = words_in(text or ""), set()
         for start in range(0, max(1, len(words)), index.stride):
@@ -77,3 +89,26 @@ def test_operator(spark):
         assert left.columns == docs.columns
     assert find_leaks(docs, bench.limit(0)).count() == 0
     assert find_leaks(docs.limit(0), bench).count() == 0
+
+
+def test_long_items_and_parts(spark):
+    rng, items = setting(4, 60)
+    long = " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(10_000)) + ". " + " ".join(rng.choices(WORDS, k=9)) + "."
+    items += [(1000, long), (1001, " ".join(rng.choices(WORDS, k=300)) + ". so it is."), (5, items[5][1])]
+    texts = [items[k][1] for k in range(0, 60, 7)] + ["front " * 5000 + long + " back" * 700, "y " * 333 + items[-2][1]]
+    # partial copies, whose scores stand near the threshold
+    texts += [" ".join(w for w in text.split() if rng.random() < 0.8) for _, text in items[:40]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    results = [sorted(map(tuple, find_leaks(docs, bench, max_index_bytes=size).collect())) for size in (1 << 30, 4000)]
+    assert results[0] == results[1]
+    found = {(r[0], r[1]) for r in results[0]}
+    assert {(9, 1000), (10, 1001), (0, 0)} <= found
+    assert len(found) == len(results[0])
+
+
+def test_clashing_columns(spark):
+    rng, items = setting(3, 5)
+    docs = spark.createDataFrame([(1, "t", 2, "c", [1], items[2][1]), (2, "t", 2, "c", [1], None)], "doc_id long, digest string, id int, class string, words array<int>, text string")
+    bench = spark.createDataFrame([(i, t, "d", "w", "z") for i, t in items], "item_id long, text string, digest string, words string, class string")
+    assert [tuple(r) for r in decontaminate(docs, bench).collect()] == [(2, "t", 2, "c", [1], None)]
