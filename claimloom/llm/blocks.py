@@ -12,7 +12,12 @@ tell each other about windows travels as packed arrays under a hash bucket:
 The exchange that deals the text out is one plan node used three times, so Spark shuffles
 the text once. Numbers of blocks and buckets follow the bytes of the table; sizes of
 groups do not. Within a block only the first occurrence of a window is ever sent, so a
-passage found in a third of all documents reaches its bucket once per block.
+passage found in a third of all documents leaves each block once. What many blocks send to one
+bucket is compared in ranges of ``FAN_IN`` blocks first, as often as there are more ranges than that
+(``narrowed``): only the first occurrence in a range goes on, so no bucket meets a window more than FAN_IN
+times. Rows equal in key and text, which no hash of the row can part, are counted beforehand and enter once.
+Larger tables want larger blocks (``block_bytes``), as far as a task's memory goes: every block sends
+every bucket a row.
 """
 
 from __future__ import annotations
@@ -24,6 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from claimloom.llm.common import checkpointed
+
+#: Blocks whose windows meet in one group of a bucket.
+FAN_IN = 4096
+#: Distinct repeated rows that are looked up by broadcast (24 bytes each); more are joined.
+MAX_BROADCAST = 100_000
+#: Copies of one row that one step writes out.
+COPIES = 10_000
 #: Stands for a null document id: it sorts before every other.
 NULL_ID = -(2**63)
 ODD = 0x9E3779B97F4A7C15
@@ -32,17 +45,62 @@ FINGERPRINTS = "bucket int, block long, prints binary"
 FLAGS = "block long, bucket int, flags binary"
 
 
-def dealt(docs: DataFrame, key: str, text: str, block_bytes: int) -> tuple[DataFrame, int]:
-    """(block, doc, body) rows and the bytes of text in all."""
+def parted(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame | None]:
+    """(each row once, with its number of copies; those of them there several times, or None).
+
+    Rows are counted by a 128-bit hash, map-side; the texts of those that repeat alone move, also combined map-side.
+    """
+    rows = docs.select(F.col(key), F.col(text))
+    named = rows.withColumns({"_a": F.xxhash64(key, text), "_b": F.xxhash64(F.lit(1), text, key)})
+    counts = named.groupBy("_a", "_b").agg(F.count("*").alias("n")).where("n > 1").select("_a", "_b")
+    counts = checkpointed(counts)
+    n = counts.count()
+    if not n:
+        return rows.withColumn("copies", F.lit(1).cast("long")), None
+    many = F.broadcast(counts) if n <= MAX_BROADCAST else counts
+    repeated = checkpointed(
+        named.join(many, ["_a", "_b"], "left_semi").groupBy(key, text).agg(F.count("*").alias("copies"))
+    )
+    once = named.join(many, ["_a", "_b"], "left_anti").select(key, text, F.lit(1).cast("long").alias("copies"))
+    return once.union(repeated), repeated.where("copies > 1")
+
+
+def copied(rows: DataFrame, copies: str) -> DataFrame:
+    """Each row as often as ``copies`` says, many copies in steps that several tasks share."""
+    steps = F.explode(F.sequence(F.lit(0), F.floor((F.col(copies) - 1) / COPIES)))
+    dealt = rows.withColumn("_step", steps).repartition(F.col("_step"), F.col(rows.columns[0]))
+    size = F.least(F.lit(COPIES), F.col(copies) - F.col("_step") * COPIES)
+    return dealt.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), size))).drop("_step", "_copy", copies)
+
+
+def dealt(docs: DataFrame, key: str, text: str, block_bytes: int) -> tuple[DataFrame, int, int]:
+    """(block, doc, place, body, copies) rows, the bytes of text in all and the number of blocks.
+
+    Rows of one key are ordered by place, a hash of the row; blocks are its ranges, so the order does not depend
+    on their number.
+    """
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / block_bytes), 1)
+    place = F.shiftrightunsigned(F.xxhash64(key, text), 1)
     rows = docs.select(
-        F.pmod(F.xxhash64(key, text), F.lit(n)).alias("block"),
+        F.shiftright(F.shiftright(place, 32) * F.lit(n).cast("long"), 31).alias("block"),
         F.coalesce(F.col(key).cast("long"), F.lit(NULL_ID)).alias("doc"),
+        place.alias("place"),
         F.coalesce(F.col(text), F.lit("")).cast("binary").alias("body"),
+        "copies",
     )
-    return rows, total
+    return rows, total, n
+
+
+def narrowed(sent: DataFrame, n_blocks: int, fan_in: int, compared, schema: str) -> DataFrame:
+    """What blocks sent, after comparing it by bucket and range of blocks until at most ``fan_in`` ranges are left."""
+    reach = 1
+    while n_blocks > reach * fan_in:
+        reach *= fan_in
+        ranges = F.floor(F.col("block") / reach)
+        sent = sent.groupBy("bucket", ranges).applyInArrow(compared, schema)
+    return sent
 
 
 def bucket_bits(docs: DataFrame, items: float, per_bucket: int) -> int:
@@ -53,10 +111,13 @@ def bucket_bits(docs: DataFrame, items: float, per_bucket: int) -> int:
 
 def block_rows(table: pa.Table) -> tuple[np.ndarray, list[bytes]]:
     """Ids and texts of a block, in an order that depends on nothing but the rows."""
-    ids = table.column("doc").to_pylist()
-    bodies = [bytes(x) for x in table.column("body").to_pylist()]
-    order = sorted(range(len(ids)), key=lambda i: (ids[i], bodies[i]))
-    return np.array([ids[i] for i in order], np.int64), [bodies[i] for i in order]
+    rows = ordered(table)
+    return np.array([r[0] for r in rows], np.int64), [r[2] for r in rows]
+
+
+def ordered(table: pa.Table) -> list[tuple]:
+    """(doc, place, body, copies) of a block's rows, in order."""
+    return sorted(zip(*[table.column(c).to_pylist() for c in ("doc", "place", "body", "copies")], strict=True))
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -5,14 +5,16 @@ is hashed; Spark counts the hashes across blocks of documents; of each repeated
 the occurrence with the smallest (doc_id, start) stays, and the words of all the others are
 removed, overlapping windows merging into maximal intervals.
 
-Windows are first counted by the bucket and 24 further bits of their hash; those seen
-more than once are compared by 96 bits (a chance match needs about 2**48 windows). See
-``blocks`` for how blocks and buckets exchange this.
+A word enters as 128 bits of BLAKE2b, and the two halves are rolled by different multipliers: windows
+are first counted by the bucket and 24 further bits of the first hash, and those seen more than
+once are compared by all 128 bits. At 100 TB (about 2e13 windows) a chance match is below one in 10^11.
+See ``blocks`` for how blocks and buckets exchange this.
 
 Defined results: null text has no words; a text shorter than the window keeps all its
-words; rows that share a doc_id are separate documents in an order fixed by their content;
-null doc_id sorts first and comes back null; an empty table gives an empty result.
-Columns other than key and text are not carried.
+words; a text of any length lies whole in one block; rows that share a doc_id are separate documents
+in an order fixed by their content; of rows equal in doc_id and text the first is judged like any document,
+and the others repeat all its windows, so they keep no word if they have a window at all; null doc_id sorts
+first and comes back null; an empty table gives an empty result. Columns other than key and text are not carried.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimloom.llm import blocks as B
+from claimloom.llm.common import SPACE_CLASS
 
 WIDTH = 20
 BLOCK_BYTES = 2 << 20
@@ -45,48 +48,72 @@ RESULT_SCHEMA = pa.schema(
     + [("kept", pa.string()), ("kept_sha256", pa.string())]
 )
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
-#: Odd multipliers for bytes, words and the second window hash.
-_BYTE_BASE, _SECOND = 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
-_INVERSE = pow(_BYTE_BASE, -1, 1 << 64)
+#: Odd multiplier of the second window hash.
+_SECOND = 0xA0761D6478BD642F
+#: Words whose hashes are kept while a block is read.
+CACHE_WORDS = 1 << 20
+
+
+class _Digests(dict):
+    """128 bits of each word, worked out once for a block's frequent words."""
+
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+        value = self[word] = hashlib.blake2b(word, digest_size=16).digest()
+        return value
 
 
 def word_hashes(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash per word of all texts in turn, and the number of words of each text."""
-    text = b"\n".join([*bodies, b""])
-    buf = np.frombuffer(text, np.uint8)
-    if not len(buf):
-        return np.empty(0, np.uint64), np.zeros(len(bodies), np.int64)
-    space = _SPACE[buf]
-    edge = np.diff(np.r_[True, space, True].astype(np.int8))
-    starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    powers = np.full(len(buf) + 1, B.U64(_BYTE_BASE))
-    powers[0] = 1
-    powers = np.multiply.accumulate(powers)
-    sums = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum((buf.astype(np.uint64) + B.U64(1)) * powers[:-1], out=sums[1:])
-    back = np.full(len(buf) + 1, B.U64(_INVERSE))
-    back[0] = 1
-    back = np.multiply.accumulate(back)
-    hashes = B.mix((sums[ends] - sums[starts]) * back[starts])
-    edges = np.cumsum([0] + [len(x) + 1 for x in bodies])
-    counts = np.diff(np.searchsorted(starts, edges))
-    return hashes, counts
+    """Two 64-bit hashes per word of all texts in turn, and the number of words of each text."""
+    digest = _Digests()
+    parts, counts = [], []
+    for body in bodies:
+        words = body.split()
+        counts.append(len(words))
+        parts.append(b"".join(map(digest.__getitem__, words)))
+    return np.frombuffer(b"".join(parts), "<u8").reshape(-1, 2).astype(np.uint64), np.array(counts, np.int64)
 
 
 def window_hashes(words: np.ndarray, counts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the windows that lie in one document, and their first words' numbers."""
-    hashes = B.mix(B.rolled(words, width))
+    """First hashes of the windows that lie in one document, and their first words' numbers."""
+    hashes = B.mix(B.rolled(words[:, 0], width))
     doc = np.repeat(np.arange(len(counts)), counts)
     n = len(hashes)
     at = np.flatnonzero(doc[:n] == doc[width - 1 : width - 1 + n]) if n else np.empty(0, np.int64)
     return hashes[at], at
 
 
-def find_later(docs: DataFrame, key: str, text: str, width: int, block_bytes: int, per_bucket: int):
+def _repeats(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(an order, by the columns, the last leading; which of the ordered equal their predecessor in the last two)."""
+    order = np.lexsort(columns)
+    a, b = columns[-1][order], columns[-2][order]
+    return order, np.r_[False, (a[1:] == a[:-1]) & (b[1:] == b[:-1])][: len(order)]
+
+
+def _sent_by_bucket(out: dict[str, list], block: int, bits: int, hashes, more, docs, starts) -> None:
+    """Append a block's windows, grouped by bucket, as packed arrays."""
+    bucket = (hashes >> B.U64(64 - bits)).astype(np.int32)
+    by = np.argsort(bucket, kind="stable")
+    names, cuts = B.packed_by_bucket(bucket[by], len(by))
+    for name, a, b in zip(names.tolist(), cuts[:-1], cuts[1:], strict=True):
+        own = by[a:b]
+        values = (
+            name, block, False, hashes[own].astype("<u8").tobytes(), more[own].astype("<u8").tobytes(),
+            docs[own].astype("<i8").tobytes(), B.u32(starts[own]), b"",
+        )
+        for column, value in zip(WINDOWS_SCHEMA.names, values, strict=True):
+            out[column].append(value)
+
+
+def _answer(out: dict[str, list], bits: int, block: int, starts: bytes, ends: bytes) -> None:
+    for column, value in zip(WINDOWS_SCHEMA.names, (block % (1 << bits), block, True, b"", b"", b"", starts, ends), strict=True):
+        out[column].append(value)
+
+
+def find_later(docs: DataFrame, key: str, text: str, width: int, block_bytes: int, per_bucket: int, fan_in: int):
     """(the dealt blocks, answers): for each block the intervals of words to remove."""
-    rows, total = B.dealt(docs, key, text, block_bytes)
+    rows, total, n_blocks = B.dealt(docs, key, text, block_bytes)
     bits = B.bucket_bits(docs, total / 6, per_bucket)
 
     def prints(key, table):
@@ -100,57 +127,52 @@ def find_later(docs: DataFrame, key: str, text: str, width: int, block_bytes: in
         ids, bodies = B.block_rows(table)
         words, counts = word_hashes(bodies)
         hashes, at = window_hashes(words, counts, width)
-        order = np.argsort(hashes, kind="stable")  # keeps (document, start) order among equals
+        more = B.mix(B.rolled(words[:, 1], width, _SECOND))[at]
+        order, same = _repeats(at, more, hashes)  # equal windows in (document, start) order
         first = np.ones(len(order), bool)
-        first[order[1:]] = hashes[order[1:]] != hashes[order[:-1]]
+        first[order[same]] = False
+        out = {c: [] for c in WINDOWS_SCHEMA.names}
         starts, ends = B.runs(at[~first], width)
-        out = [[block % (1 << bits)], [True], [b""], [b""], [b""], [B.u32(starts)], [B.u32(ends)]]
+        _answer(out, bits, block, B.u32(starts), B.u32(ends))
         send = np.flatnonzero(first & B.flagged(hashes, answers, bits, PRINT_BYTES))
-        bucket = (hashes[send] >> B.U64(64 - bits)).astype(np.int32)
-        by = np.argsort(bucket, kind="stable")
-        send, bucket = send[by], bucket[by]
         doc = np.repeat(np.arange(len(counts)), counts)
-        second = (B.mix(B.rolled(words, width, _SECOND))[at[send]] >> B.U64(32)).astype("<u4")
-        names, cuts = B.packed_by_bucket(bucket, len(bucket))
-        for name, a, b in zip(names.tolist(), cuts[:-1], cuts[1:], strict=True):
-            own = send[a:b]
-            values = (
-                name, False, hashes[own].astype("<u8").tobytes(), second[a:b].tobytes(),
-                ids[doc[at[own]]].astype("<i8").tobytes(), B.u32(at[own]), b"",
-            )
-            for column, value in zip(out, values, strict=True):
-                column.append(value)
-        names = ("bucket", "local", "hashes", "more", "docs", "starts", "ends")
-        return B.to_table(
-            WINDOWS_SCHEMA, block=np.full(len(out[0]), block, np.int64), **dict(zip(names, out, strict=True))
-        )
+        _sent_by_bucket(out, block, bits, hashes[send], more[send], ids[doc[at[send]]], at[send])
+        return B.to_table(WINDOWS_SCHEMA, **out)
 
-    def decide(table):
+    def compared(table, further):
+        """Windows that came together: what blocks lose and, to be compared ``further``, the first of each window."""
         rows = table.to_pylist()
-        answers = [(r["block"], r["starts"], r["ends"]) for r in rows if r["local"]]
+        out = {c: [] for c in WINDOWS_SCHEMA.names}
+        for r in rows:
+            if r["local"]:
+                _answer(out, bits, r["block"], r["starts"], r["ends"])
         sent = sorted((r for r in rows if not r["local"]), key=lambda r: r["block"])
         if sent:
-            hashes = np.concatenate([np.frombuffer(r["hashes"], "<u8") for r in sent])
-            more = np.concatenate([np.frombuffer(r["more"], "<u4") for r in sent])
+            hashes, more = (np.concatenate([np.frombuffer(r[c], "<u8") for r in sent]) for c in ("hashes", "more"))
             doc = np.concatenate([np.frombuffer(r["docs"], "<i8") for r in sent])
             at = np.concatenate([B.from_u32(r["starts"]) for r in sent])
-            source = np.repeat(np.arange(len(sent)), [len(r["more"]) // 4 for r in sent])
-            order = np.lexsort((at, source, doc, more, hashes))
-            h, m = hashes[order], more[order]
-            later = np.r_[False, (h[1:] == h[:-1]) & (m[1:] == m[:-1])]
-            gone = np.sort(order[later])  # by block, as sent
-            cuts = np.searchsorted(source[gone], np.arange(len(sent) + 1))
+            source = np.repeat(np.arange(len(sent)), [len(r["more"]) // 8 for r in sent])
+            order, same = _repeats(at, source, doc, more, hashes)
+            later = np.zeros(len(order), bool)
+            later[order[same]] = True
+            cuts = np.searchsorted(source, np.arange(len(sent) + 1))
             for r, a, b in zip(sent, cuts[:-1], cuts[1:], strict=True):
-                if b > a:
-                    starts, ends = B.runs(np.sort(at[gone[a:b]]), width)
-                    answers.append((r["block"], B.u32(starts), B.u32(ends)))
-        return B.to_table(
-            ANSWERS_SCHEMA, **{n: [a[i] for a in answers] for i, n in enumerate(("block", "starts", "ends"))}
-        )
+                gone = a + np.flatnonzero(later[a:b])
+                if len(gone):
+                    starts, ends = B.runs(np.sort(at[gone]), width)
+                    _answer(out, bits, r["block"], B.u32(starts), B.u32(ends))
+                if further:
+                    left = a + np.flatnonzero(~later[a:b])
+                    _sent_by_bucket(out, r["block"], bits, hashes[left], more[left], doc[left], at[left])
+        return B.to_table(WINDOWS_SCHEMA, **out)
+
+    def decided(table):
+        return compared(table, False).select(ANSWERS_SCHEMA.names)
 
     often = B.seen_elsewhere(rows.groupBy("block").applyInArrow(prints, B.FINGERPRINTS), PRINT_BYTES)
     sent = rows.groupBy("block").cogroup(often.groupBy("block")).applyInArrow(windows, WINDOWS)
-    return rows, sent.groupBy("bucket").applyInArrow(decide, ANSWERS)
+    sent = B.narrowed(sent, n_blocks, fan_in, lambda table: compared(table, True), WINDOWS)
+    return rows, sent.groupBy("bucket").applyInArrow(decided, ANSWERS)
 
 
 def remove_repeated_windows(
@@ -161,10 +183,12 @@ def remove_repeated_windows(
     block_bytes: int = BLOCK_BYTES,
     per_bucket: int = PER_BUCKET,
     with_text: bool = True,
+    fan_in: int = B.FAN_IN,
 ) -> DataFrame:
     """Per document: key, n_words, n_removed, the removed word intervals (starts, ends),
     kept (words joined by a space; null without ``with_text``) and its kept_sha256."""
-    rows, answers = find_later(docs, key, text, width, block_bytes, per_bucket)
+    once, repeated = B.parted(docs, key, text)
+    rows, answers = find_later(once, key, text, width, block_bytes, per_bucket, fan_in)
 
     def remove(table, intervals):
         ids, bodies = B.block_rows(table)
@@ -197,6 +221,21 @@ def remove_repeated_windows(
         return B.to_table(RESULT_SCHEMA, **out)
 
     result = rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(remove, RESULT)
-    return result.select(
-        F.nullif("doc", F.lit(B.NULL_ID)).alias(key), "n_words", "n_removed", "starts", "ends", "kept", "kept_sha256"
+    result = result.select(F.nullif("doc", F.lit(B.NULL_ID)).alias(key), *RESULT_SCHEMA.names[1:])
+    return result if repeated is None else result.union(_further_copies(repeated, key, text, width, with_text))
+
+
+def _further_copies(repeated: DataFrame, key: str, text: str, width: int, with_text: bool) -> DataFrame:
+    """Results of all copies of a row but the first: they repeat each of its windows."""
+    words = F.array_remove(F.split(F.coalesce(F.col(text), F.lit("")), SPACE_CLASS, -1), "")
+    rows = repeated.select(F.col(key).cast("long").alias(key), words.alias("words"), (F.col("copies") - 1).alias("copies"))
+    n = F.size("words")
+    gone = n >= width
+    spans = lambda value: F.when(gone, F.array(value)).otherwise(F.array().cast("array<int>"))
+    kept = F.when(gone, F.lit("")).otherwise(F.array_join("words", " "))
+    found = rows.select(
+        key, n.cast("long").alias("n_words"), F.when(gone, n).otherwise(0).cast("long").alias("n_removed"),
+        spans(F.lit(0)).alias("starts"), spans(n).alias("ends"), (kept if with_text else F.lit(None).cast("string")).alias("kept"),
+        F.sha2(kept, 256).alias("kept_sha256"), "copies",
     )
+    return B.copied(found, "copies")

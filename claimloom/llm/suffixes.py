@@ -15,11 +15,13 @@ drop a suffix as soon as its group is a single one:
 
 A group's bytes are removed in every document but the one with the smallest id. Inside
 a block this happens before anything is sent, so a passage shared by a third of all
-documents leaves each block once.
+documents leaves each block once; and what many blocks send under one anchor is sorted by ranges of blocks first
+(``blocks.narrowed``), so that no task sorts more than a bounded number of equal strings.
 
 Defined results: null text is empty; matches never cross documents; rows that share a
-doc_id do not remove each other's bytes; null doc_id sorts first and comes back null; an
-empty table gives an empty result. Columns other than key and text are not carried.
+doc_id, equal ones among them, do not remove each other's bytes; null doc_id sorts first and comes back null;
+an empty table gives an empty result; a text of any length lies whole in one block (up to 2 GiB, the most a
+column holds). Columns other than key and text are not carried.
 """
 
 from __future__ import annotations
@@ -32,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimloom.llm import blocks as B
+from claimloom.llm.common import checkpointed
 
 DEPTH = 50
 GRAM = 20
@@ -39,7 +42,7 @@ BLOCK_BYTES = 1 << 20
 ANCHORS_PER_BUCKET = 200_000
 PRINT_BYTES = 4
 #: Low bits of a packed (hash, position) value that hold the position in a block.
-POSITION_BITS = 30
+POSITION_BITS = 31
 
 STRETCHES = "bucket int, block long, local boolean, docs binary, starts binary, counts binary, body binary"
 STRETCHES_SCHEMA = pa.schema(
@@ -48,11 +51,11 @@ STRETCHES_SCHEMA = pa.schema(
 )
 ANSWERS = "block long, starts binary, ends binary"
 ANSWERS_SCHEMA = pa.schema([("block", pa.int64()), ("starts", pa.binary()), ("ends", pa.binary())])
-RESULT = "doc long, n_bytes long, n_removed long, starts array<int>, ends array<int>, kept binary, kept_sha256 string"
+RESULT = "doc long, n_bytes long, n_removed long, starts array<int>, ends array<int>, kept binary, kept_sha256 string, copies long"
 RESULT_SCHEMA = pa.schema(
     [("doc", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64())]
     + [(x, pa.list_(pa.int32())) for x in ("starts", "ends")]
-    + [("kept", pa.binary()), ("kept_sha256", pa.string())]
+    + [("kept", pa.binary()), ("kept_sha256", pa.string()), ("copies", pa.int64())]
 )
 
 _BYTE_CODES = B.mix(np.arange(1, 257, dtype=np.uint64))
@@ -81,6 +84,8 @@ def anchored_runs(hashes: np.ndarray, lengths: np.ndarray, depth: int, gram: int
     width = depth - gram + 1
     if len(hashes) < width:
         return empty, empty, np.empty(0, np.uint64), empty
+    if len(hashes) >> POSITION_BITS:
+        raise ValueError(f"a block of {len(hashes)} bytes: positions hold {POSITION_BITS} bits")
     low = B.U64((1 << POSITION_BITS) - 1)
     packed = (hashes & ~low) | np.arange(len(hashes), dtype=np.uint64)
     owner = (least_in_windows(packed, width) & low).astype(np.int64)
@@ -158,10 +163,35 @@ def spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return jump + np.arange(len(jump))
 
 
-def find_later(docs: DataFrame, key: str, text: str, depth: int, block_bytes: int, per_bucket: int):
+def _send(out: dict[str, list], block: int, buckets, docs, shift, run, at, buf, depth: int) -> None:
+    """Append the suffixes at ``at`` of a block as stretches of bytes, grouped by bucket.
+
+    ``run`` numbers the run of each; ``buckets``, ``docs`` and ``shift`` (from ``at`` to the place in the block)
+    belong to runs.
+    """
+    cut = np.flatnonzero(np.r_[True, (run[1:] != run[:-1]) | (at[1:] != at[:-1] + 1)]) if len(at) else np.empty(0, np.int64)
+    first, own, n = at[cut], run[cut], np.diff(np.r_[cut, len(at)])
+    by = np.argsort(buckets[own], kind="stable")
+    first, own, n = first[by], own[by], n[by]
+    names, cuts = B.packed_by_bucket(buckets[own], len(own))
+    for name, a, b in zip(names.tolist(), cuts[:-1], cuts[1:], strict=True):
+        values = (
+            name, block, False, docs[own[a:b]].astype("<i8").tobytes(), B.u32(first[a:b] + shift[own[a:b]]), B.u32(n[a:b]),
+            buf[spread(first[a:b], n[a:b] + depth - 1)].tobytes(),
+        )
+        for column, value in zip(STRETCHES_SCHEMA.names, values, strict=True):
+            out[column].append(value)
+
+
+def _answer(out: dict[str, list], bits: int, block: int, starts: bytes, ends: bytes) -> None:
+    for column, value in zip(STRETCHES_SCHEMA.names, (block % (1 << bits), block, True, b"", starts, ends, b""), strict=True):
+        out[column].append(value)
+
+
+def find_later(docs: DataFrame, key: str, text: str, depth: int, block_bytes: int, per_bucket: int, fan_in: int):
     """(the dealt blocks, answers): for each block the byte intervals to remove."""
     gram = min(GRAM, max(1, depth // 2))
-    rows, total = B.dealt(docs, key, text, block_bytes)
+    rows, total, n_blocks = B.dealt(docs, key, text, block_bytes)
     bits = B.bucket_bits(docs, 2.0 * total / (depth - gram + 2), per_bucket)
 
     def prepared(table):
@@ -187,35 +217,23 @@ def find_later(docs: DataFrame, key: str, text: str, depth: int, block_bytes: in
         at = spread(starts, counts)
         later = later_suffixes(buf, at, hashes[at], np.repeat(ids[doc], counts), depth)
         gone, ends = B.runs(at[later], depth)
-        out = [[block % (1 << bits)], [True], [b""], [B.u32(gone)], [B.u32(ends)], [b""]]
-        # what is left of each run goes out as stretches of bytes
+        out = {c: [] for c in STRETCHES_SCHEMA.names}
+        _answer(out, bits, block, B.u32(gone), B.u32(ends))
         run = np.repeat(np.arange(len(starts)), counts)
         left = ~later & np.repeat(elsewhere, counts)
-        at, run = at[left], run[left]
-        cut = np.flatnonzero(np.r_[True, (run[1:] != run[:-1]) | (at[1:] != at[:-1] + 1)]) if len(at) else []
-        first, own = at[cut], run[cut]
-        n = np.diff(np.r_[cut, len(at)])
-        bucket = (anchors[own] >> B.U64(64 - bits)).astype(np.int32)
-        by = np.argsort(bucket, kind="stable")
-        first, own, n, bucket = first[by], own[by], n[by], bucket[by]
-        names, cuts = B.packed_by_bucket(bucket, len(bucket))
-        for name, a, b in zip(names.tolist(), cuts[:-1], cuts[1:], strict=True):
-            values = (
-                name, False, ids[doc[own[a:b]]].astype("<i8").tobytes(), B.u32(first[a:b]), B.u32(n[a:b]),
-                buf[spread(first[a:b], n[a:b] + depth - 1)].tobytes(),
-            )
-            for column, value in zip(out, values, strict=True):
-                column.append(value)
-        names = ("bucket", "local", "docs", "starts", "counts", "body")
-        return B.to_table(
-            STRETCHES_SCHEMA, block=np.full(len(out[0]), block, np.int64), **dict(zip(names, out, strict=True))
-        )
-
-    def decide(table):
-        local, sent = [], []
+        buckets = (anchors >> B.U64(64 - bits)).astype(np.int32)
+        _send(out, block, buckets, ids[doc], np.zeros(len(starts), np.int64), run[left], at[left], buf, depth)
+        return B.to_table(STRETCHES_SCHEMA, **out)
+
+    def compared(table, further):
+        """Suffixes that came together: what blocks lose and, to be compared ``further``, all others."""
+        out = {c: [] for c in STRETCHES_SCHEMA.names}
+        sent = []
         for r in table.to_pylist():
-            (local if r["local"] else sent).append(r)
-        answers = [(r["block"], r["starts"], r["counts"]) for r in local]
+            if r["local"]:
+                _answer(out, bits, r["block"], r["starts"], r["counts"])
+            else:
+                sent.append(r)
         if sent:
             buf = np.frombuffer(b"".join(r["body"] for r in sent), np.uint8)
             counts = np.concatenate([B.from_u32(r["counts"]) for r in sent])
@@ -224,22 +242,28 @@ def find_later(docs: DataFrame, key: str, text: str, depth: int, block_bytes: in
             begins = np.cumsum(np.r_[0, counts + depth - 1])[:-1]
             at = spread(begins, counts)
             leading = gram_hashes(buf, gram)[at]
-            later = np.flatnonzero(later_suffixes(buf, at, leading, np.repeat(docs, counts), depth))
+            later = later_suffixes(buf, at, leading, np.repeat(docs, counts), depth)
+            stretch = np.repeat(np.arange(len(counts)), counts)
             source = np.repeat(np.arange(len(sent)), [len(r["counts"]) // 4 for r in sent])
-            stretch = np.repeat(np.arange(len(counts)), counts)[later]
-            where = home[stretch] + at[later] - begins[stretch]
             cuts = np.searchsorted(source[stretch], np.arange(len(sent) + 1))
+            buckets = np.full(len(counts), sent[0]["bucket"], np.int32)
             for r, a, b in zip(sent, cuts[:-1], cuts[1:], strict=True):
-                if b > a:
-                    starts, ends = B.runs(np.sort(where[a:b]), depth)
-                    answers.append((r["block"], B.u32(starts), B.u32(ends)))
-        return B.to_table(
-            ANSWERS_SCHEMA, **{n: [a[i] for a in answers] for i, n in enumerate(("block", "starts", "ends"))}
-        )
+                gone = a + np.flatnonzero(later[a:b])
+                if len(gone):
+                    starts, ends = B.runs(np.sort(home[stretch[gone]] + at[gone] - begins[stretch[gone]]), depth)
+                    _answer(out, bits, r["block"], B.u32(starts), B.u32(ends))
+                if further:
+                    left = a + np.flatnonzero(~later[a:b])
+                    _send(out, r["block"], buckets, docs, home - begins, stretch[left], at[left], buf, depth)
+        return B.to_table(STRETCHES_SCHEMA, **out)
+
+    def decided(table):
+        return compared(table, False).select(["block", "starts", "counts"]).rename_columns(ANSWERS_SCHEMA.names)
 
     often = B.seen_elsewhere(rows.groupBy("block").applyInArrow(prints, B.FINGERPRINTS), PRINT_BYTES)
     sent = rows.groupBy("block").cogroup(often.groupBy("block")).applyInArrow(stretches, STRETCHES)
-    return rows, sent.groupBy("bucket").applyInArrow(decide, ANSWERS)
+    sent = B.narrowed(sent, n_blocks, fan_in, lambda table: compared(table, True), STRETCHES)
+    return rows, sent.groupBy("bucket").applyInArrow(decided, ANSWERS)
 
 
 def remove_repeated_bytes(
@@ -250,6 +274,7 @@ def remove_repeated_bytes(
     block_bytes: int = BLOCK_BYTES,
     per_bucket: int = ANCHORS_PER_BUCKET,
     with_text: bool = True,
+    fan_in: int = B.FAN_IN,
 ) -> DataFrame:
     """Per document: key, n_bytes, n_removed, the removed byte intervals (starts, ends), kept
     (the other bytes; null without ``with_text``) and its kept_sha256.
@@ -258,14 +283,14 @@ def remove_repeated_bytes(
     """
     if depth < 9:
         raise ValueError("depth must be at least 9 bytes")
-    rows, answers = find_later(docs, key, text, depth, block_bytes, per_bucket)
+    once, repeated = B.parted(docs, key, text)
+    rows, answers = find_later(once, key, text, depth, block_bytes, per_bucket, fan_in)
 
     def remove(table, intervals):
-        ids, bodies = B.block_rows(table)
         starts, ends = (x.tolist() for x in B.intervals_of(intervals))
         out: dict[str, list] = {f.name: [] for f in RESULT_SCHEMA}
         base = lo = 0
-        for i, body in enumerate(bodies):
+        for doc, _, body, copies in B.ordered(table):
             while lo < len(starts) and ends[lo] <= base:
                 lo += 1
             hi, keep, spans, last = lo, [], [], 0
@@ -277,7 +302,8 @@ def remove_repeated_bytes(
                     spans.append((a, b))
                     last = b
             kept = b"".join([*keep, body[last:]]) if spans else body
-            out["doc"].append(int(ids[i]))
+            out["doc"].append(doc)
+            out["copies"].append(copies)
             out["n_bytes"].append(len(body))
             out["n_removed"].append(sum(b - a for a, b in spans))
             out["starts"].append([a for a, _ in spans])
@@ -288,6 +314,8 @@ def remove_repeated_bytes(
         return B.to_table(RESULT_SCHEMA, **out)
 
     result = rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(remove, RESULT)
-    return result.select(
-        F.nullif("doc", F.lit(B.NULL_ID)).alias(key), "n_bytes", "n_removed", "starts", "ends", "kept", "kept_sha256"
-    )
+    result = result.select(F.nullif("doc", F.lit(B.NULL_ID)).alias(key), *RESULT_SCHEMA.names[1:])
+    if repeated is None:
+        return result.drop("copies")
+    result = checkpointed(result)
+    return result.where("copies = 1").drop("copies").union(B.copied(result.where("copies > 1"), "copies"))

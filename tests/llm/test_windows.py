@@ -60,11 +60,11 @@ def brute_bytes(rows, depth):
     return out
 
 
-@pytest.mark.parametrize("width,block_bytes", [(20, 1 << 20), (20, 2000), (3, 500)])
-def test_words_match_brute_force(spark, width, block_bytes):
+@pytest.mark.parametrize("width,block_bytes,fan_in", [(20, 1 << 20, 4096), (20, 2000, 3), (3, 500, 2)])
+def test_words_match_brute_force(spark, width, block_bytes, fan_in):
     rows = corpus()
     df = spark.createDataFrame(rows, SCHEMA)
-    got = remove_repeated_windows(df, width=width, block_bytes=block_bytes, per_bucket=500).collect()
+    got = remove_repeated_windows(df, width=width, block_bytes=block_bytes, per_bucket=500, fan_in=fan_in).collect()
     found = {(-1 if r.doc_id is None else r.doc_id): (r.n_words, r.n_removed, r.kept_sha256) for r in got}
     assert len(got) == len(rows)
     assert found == brute_words(rows, width)
@@ -73,11 +73,11 @@ def test_words_match_brute_force(spark, width, block_bytes):
         assert hashlib.sha256(r.kept.encode()).hexdigest() == r.kept_sha256
 
 
-@pytest.mark.parametrize("depth,block_bytes", [(50, 1 << 20), (50, 2000), (12, 700)])
-def test_bytes_match_brute_force(spark, depth, block_bytes):
+@pytest.mark.parametrize("depth,block_bytes,fan_in", [(50, 1 << 20, 4096), (50, 2000, 3), (12, 700, 2)])
+def test_bytes_match_brute_force(spark, depth, block_bytes, fan_in):
     rows = corpus(6)
     df = spark.createDataFrame(rows, SCHEMA)
-    got = remove_repeated_bytes(df, depth=depth, block_bytes=block_bytes, per_bucket=300).collect()
+    got = remove_repeated_bytes(df, depth=depth, block_bytes=block_bytes, per_bucket=300, fan_in=fan_in).collect()
     found = {
         (-1 if r.doc_id is None else r.doc_id): (r.n_bytes, r.n_removed, len(r.starts), r.kept_sha256) for r in got
     }
@@ -94,3 +94,51 @@ def test_empty_and_repeated_rows(spark, operator):
     assert sorted(r.doc_id for r in got) == [1, 1, 1, 2]
     assert next(r for r in got if r.doc_id == 2).n_removed >= 40
     assert isinstance(operator(df).schema["doc_id"].dataType, T.LongType)
+
+
+def test_words_that_differ_are_kept(spark):
+    """A Thue-Morse word and its complement have the same polynomial modulo 2**64, whatever its base."""
+    bits = [bin(i).count("1") % 2 for i in range(1024)]
+    a, b = ("".join("ab"[x ^ flip] for x in bits) for flip in (0, 1))
+    rest = " ".join(f"w{i}" for i in range(19))
+    df = spark.createDataFrame([(1, f"{a} {rest}"), (2, f"{b} {rest}"), (3, f"{a} {rest}")], "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in remove_repeated_windows(df).collect()} == {1: 0, 2: 0, 3: 20}
+
+
+def test_many_equal_rows(spark):
+    """100,000 copies of one row are one entry of a block; the longest group stays small."""
+    from pyspark.sql import functions as F
+
+    from claimloom.llm import blocks as B
+
+    text = " ".join(f"w{i}" for i in range(30))
+    copies = spark.range(0, 100_000, 1, 8).select(F.lit(7).cast("long").alias("doc_id"), F.lit(text).alias("text"))
+    others = spark.createDataFrame([(8, text + " and more"), (6, "short"), (6, "short"), (None, None), (None, None)], "doc_id long, text string")
+    df = copies.union(others)
+    once, _ = B.parted(df, "doc_id", "text")
+    rows, _, _ = B.dealt(once, "doc_id", "text", 1 << 20)
+    assert rows.count() == 4
+    got = remove_repeated_windows(df).groupBy("doc_id", "n_words", "n_removed", "kept_sha256").count().collect()
+    empty, whole = hashlib.sha256(b"").hexdigest(), hashlib.sha256(text.encode()).hexdigest()
+    assert {tuple(r) for r in got} == {
+        (7, 30, 0, whole, 1), (7, 30, 30, empty, 99_999), (8, 32, 30, hashlib.sha256(b"and more").hexdigest(), 1),
+        (6, 1, 0, hashlib.sha256(b"short").hexdigest(), 2), (None, 0, 0, empty, 2),
+    }
+    got = remove_repeated_bytes(df).groupBy("doc_id", "n_bytes", "n_removed", "kept_sha256").count().collect()
+    n = len(text)
+    assert {tuple(r) for r in got} == {
+        (7, n, 0, whole, 100_000), (8, n + 9, n, hashlib.sha256(b" and more").hexdigest(), 1),
+        (6, 5, 0, hashlib.sha256(b"short").hexdigest(), 2), (None, 0, 0, empty, 2),
+    }
+
+
+def test_order_of_rows_of_one_key(spark):
+    """Which of two rows of one doc_id comes first does not depend on blocks or partitions."""
+    shared = " ".join(f"s{i}" for i in range(25))
+    rows = [(1, f"{shared} x{i} " + " ".join(f"y{i}{k}" for k in range(60))) for i in range(12)]
+    results = []
+    for partitions, size in ((4, 1 << 20), (7, 1000), (3, 300)):
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(partitions)
+        results.append(sorted(tuple(r) for r in remove_repeated_windows(df, block_bytes=size).collect()))
+    assert results[0] == results[1] == results[2]
+    assert sum(r[2] == 0 for r in results[0]) == 1
