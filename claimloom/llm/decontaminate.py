@@ -38,6 +38,7 @@ from itertools import repeat
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -328,13 +329,14 @@ def find_leaks(
     n, parts = index_parts(benchmark, item_key, item_text, threshold, overlap, max_index_bytes)
     result = None
     for indexes in parts:
-        shared = context.broadcast(indexes)
+        shared = _shared(context, indexes)
 
         def search(batches, shared=shared):
+            own = cloudpickle.loads(shared.value)
             for batch in batches:
                 ids = batch.column(0).to_pylist()
-                found = leaks(shared.value, batch.column(1).to_pylist())
-                out = [(i, *leak) for i, own in zip(ids, found) for leak in own]
+                found = leaks(own, batch.column(1).to_pylist())
+                out = [(i, *leak) for i, some in zip(ids, found) for leak in some]
                 columns = list(zip(*out)) or [[]] * len(LEAKS_SCHEMA)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, f.type) for c, f in zip(columns, LEAKS_SCHEMA)], schema=LEAKS_SCHEMA
@@ -347,10 +349,17 @@ def find_leaks(
     return result.withColumnRenamed("doc_id", key)
 
 
+def _shared(context, indexes: list[Index]):
+    """A broadcast that carries the class with it, so that executors need no copy of the package."""
+    return context.broadcast(cloudpickle.dumps(indexes))
+
+
 def _clean(shared):
     @F.pandas_udf("boolean")
-    def clean(texts: pd.Series) -> pd.Series:
-        return pd.Series([not own for own in leaks(shared.value, list(texts))], dtype=bool)
+    def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        indexes = cloudpickle.loads(shared.value)
+        for texts in batches:
+            yield pd.Series([not own for own in leaks(indexes, list(texts))], dtype=bool)
 
     return clean
 
@@ -369,6 +378,6 @@ def decontaminate(
     context = docs.sparkSession.sparkContext
     n, parts = index_parts(benchmark, item_key, item_text, threshold, overlap, max_index_bytes)
     for indexes in parts:
-        docs = docs.where(_clean(context.broadcast(indexes))(F.col(text)))
+        docs = docs.where(_clean(_shared(context, indexes))(F.col(text)))
         docs = checkpointed(docs) if n > 1 else docs
     return docs
