@@ -5,29 +5,43 @@ Two layers decide about a document:
 * base rules with fixed meaning: fewer than ``min_words`` words, or more than
   ``max_repeat_percent`` of the words lie in a five-word window that occurs at
   least twice in the text;
-* adaptive rules: for each feature a KLL quantile sketch is built per (lang, source)
+* adaptive rules: for each feature a quantile sketch is built per (lang, source)
   over the documents, and a document is rejected when the feature lies outside the
   group's fence ``median -/+ (margin + reach * (q75 - q25))``. Sketches merge, so a group with
   fewer than ``min_group`` documents takes the fence of its language, from its
-  groups' merged sketches, and a language that small takes that of all documents.
+  groups' merged sketches, and a language that small takes that of all documents. Where most
+  documents of a group have none of a feature (symbols, say), all three quantiles are zero and the margin decides.
 
-Everything is DataFrame functions. The sketches need only cheap features and are one
-small row per group; thresholds come back by an equi-join on (lang, source).
+A sketch counts values in buckets whose bounds grow by ``GROWTH``, so a quantile is right to one part in a hundred.
+Counts add up in any order: sketches merge by sums, and the thresholds are the same however rows
+are dealt and whatever is run again. A sketch has at most some hundred buckets a feature, whatever its group holds.
+
+Everything is DataFrame functions. Thresholds are one small row per group, written once and joined on (lang, source):
+by broadcast up to ``MAX_BROADCAST`` groups, beyond that by a join whose hot groups are dealt over ``SALTS`` keys.
 
 Defined results: a null or blank text has no words and fails the base rules; null
 languages and sources form groups of their own; repeated rows are judged each; an empty
-table gives an empty result; columns other than text, lang and source pass through.
+table gives an empty result; texts of any length are read whole; columns pass through, of any name.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimloom.llm.common import SPACES, let, words_of
+from claimloom.llm.common import SPACES, checkpointed, let, words_of
 
+#: Ratio of a sketch bucket's bounds.
+GROWTH = 1.02
+#: Values below this count as zero.
+LEAST = 1e-6
+ZERO = -(1 << 20)
+#: Groups whose thresholds (some 100 bytes each) go to the tasks by broadcast.
+MAX_BROADCAST = 50_000
+SALTS = 32
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -125,54 +139,86 @@ def cheap_features(docs: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
-def thresholds(
-    docs: DataFrame,
-    text: str = "text",
-    min_group: int = 200,
-    sketch_k: int = 400,
-    fences: tuple[Fence, ...] = FENCES,
-) -> DataFrame:
+def bucket_of(value: Column) -> Column:
+    """The sketch bucket of a value that is not negative."""
+    return F.when(value < LEAST, F.lit(ZERO)).otherwise(F.ceil(F.log(value) / F.lit(math.log(GROWTH)))).cast("int")
+
+
+def value_of(bucket: Column) -> Column:
+    """The middle of a bucket."""
+    return F.when(bucket == ZERO, F.lit(0.0)).otherwise(F.pow(F.lit(GROWTH), bucket) * F.lit(2 / (1 + GROWTH)))
+
+
+def sketches(features: DataFrame, names: list[str], keys: list[str]) -> DataFrame:
+    """(keys, feature, bucket, n): one sketch per group and feature. Null values are not counted."""
+    values = F.array(*[F.struct(F.lit(i).alias("feature"), bucket_of(F.col(x)).alias("bucket")) for i, x in enumerate(names)])
+    rows = features.select(*keys, F.explode(values).alias("v")).select(*keys, "v.*").where("bucket is not null")
+    return rows.groupBy(*keys, "feature", "bucket").agg(F.count("*").alias("n"))
+
+
+def merged(sketch: DataFrame, keys: list[str]) -> DataFrame:
+    """The sketches of coarser groups."""
+    return sketch.groupBy(*keys, "feature", "bucket").agg(F.sum("n").alias("n"))
+
+
+def quantiles(sketch: DataFrame, keys: list[str], names: list[str], prefix: str) -> DataFrame:
+    """Per group (keys, <prefix>n, and <prefix><feature> with its quarters q25, q50 and q75)."""
+    own = Window.partitionBy(*keys, "feature")
+    reached = F.sum("n").over(own.orderBy("bucket"))
+    rows = sketch.select(*keys, "feature", "bucket", reached.alias("reached"), F.sum("n").over(own).alias("total"))
+    at = lambda q: value_of(F.min(F.when(F.col("reached") >= q * F.col("total"), F.col("bucket")))).alias(f"q{int(100 * q)}")
+    per_feature = rows.groupBy(*keys, "feature").agg(F.max("total").alias("total"), at(0.25), at(0.5), at(0.75))
+    quarters = F.struct("q25", "q50", "q75")
+    return per_feature.groupBy(*keys).agg(
+        F.max("total").alias(f"{prefix}n"),
+        *[F.max(F.when(F.col("feature") == i, quarters)).alias(f"{prefix}{x}") for i, x in enumerate(names)],
+    )
+
+
+def thresholds(docs: DataFrame, text: str = "text", min_group: int = 200, fences: tuple[Fence, ...] = FENCES) -> DataFrame:
     """One row per (lang, source): ``<feature>_low`` and ``<feature>_high``.
 
-    Sketches are built map-side per group and merged, so a source that holds a third of
+    Sketches are counted map-side per group and merged, so a source that holds a third of
     all rows costs no more than any other.
     """
     features = cheap_features(docs.select("lang", "source", text), text)
     names = [f.feature for f in fences]
-    groups = features.groupBy("lang", "source").agg(
-        *[F.kll_sketch_agg_double(F.col(n), sketch_k).alias(n) for n in names],
-        F.count(names[0]).alias("n"),
-    )
-    merged = lambda df: df.agg(
-        *[F.kll_merge_agg_double(F.col(n)).alias(f"up_{n}") for n in names], F.sum("n").alias("up_n")
+    groups = checkpointed(sketches(features, names, ["lang", "source"]))
+    known = docs.select("lang", "source").distinct()
+    own = quantiles(groups, ["lang", "source"], names, "own_").withColumnsRenamed({"lang": "l", "source": "s"})
+    up = quantiles(merged(groups, ["lang"]), ["lang"], names, "up_").withColumnRenamed("lang", "u")
+    # one row
+    overall = quantiles(merged(groups, []), [], names, "all_")
+    wide = (
+        known.join(own, F.col("lang").eqNullSafe(F.col("l")) & F.col("source").eqNullSafe(F.col("s")), "left")
+        .join(up, F.col("lang").eqNullSafe(F.col("u")), "left").join(F.broadcast(overall))
     )
-    by_lang = merged(groups.groupBy("lang"))
-    overall = merged(groups.groupBy()).select(
-        *[F.col(f"up_{n}").alias(f"all_{n}") for n in names], F.col("up_n").alias("all_n")
-    )
-    # one row of sketches: its size depends on sketch_k alone
-    wide = groups.join(
-        by_lang.withColumnRenamed("lang", "_lang"), F.col("lang").eqNullSafe(F.col("_lang")), "left"
-    ).join(F.broadcast(overall))
     columns = []
     for f in fences:
-        sketch = (
-            F.when(F.col("n") >= min_group, F.col(f.feature))
+        taken = (
+            F.when(F.col("own_n") >= min_group, F.col(f"own_{f.feature}"))
             .when(F.col("up_n") >= min_group, F.col(f"up_{f.feature}"))
             .otherwise(F.col(f"all_{f.feature}"))
         )
-        # a sketch without values has no quantiles
-        known = F.col("all_n") > 0
-        q = lambda rank, s=sketch, k=known: F.when(
-            k, F.kll_sketch_get_quantile_double(s, F.lit(rank))
-        )
-        width = F.lit(f.margin) + F.lit(f.reach) * (q(0.75) - q(0.25))
-        columns.append((q(0.5) + width).alias(f"{f.feature}_high"))
+        width = F.lit(f.margin) + F.lit(f.reach) * (taken["q75"] - taken["q25"])
+        columns.append((taken["q50"] + width).alias(f"{f.feature}_high"))
         if f.lower:
-            columns.append((q(0.5) - width).alias(f"{f.feature}_low"))
+            columns.append((taken["q50"] - width).alias(f"{f.feature}_low"))
     return wide.select("lang", "source", *columns)
 
 
+def with_thresholds(rows: DataFrame, limits: DataFrame) -> DataFrame:
+    """``rows`` (with _l and _s) and the thresholds of their group."""
+    limits = checkpointed(limits.withColumnsRenamed({"lang": "_lang", "source": "_source"}))
+    same = F.col("_l").eqNullSafe(F.col("_lang")) & F.col("_s").eqNullSafe(F.col("_source"))
+    if limits.count() <= MAX_BROADCAST:
+        return rows.join(F.broadcast(limits), same, "left")
+    salted = limits.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_part", F.pmod(F.xxhash64("_text"), F.lit(SALTS)).cast("int")).join(
+        salted, same & (F.col("_part") == F.col("_salt")), "left"
+    )
+
+
 def judge(
     docs: DataFrame,
     text: str = "text",
@@ -183,16 +229,10 @@ def judge(
 ) -> DataFrame:
     """``docs`` with the base counts, base_failed, the features' fences and kept."""
     kept_columns = docs.columns
-    limits = thresholds(docs, text, min_group, fences=fences)
-    limits = limits.withColumnRenamed("lang", "_lang").withColumnRenamed("source", "_source")
+    limits = thresholds(docs, text, min_group, fences)
     counted = base_counts(docs.select(F.struct(*kept_columns).alias("row"), F.col(text).alias("_text"),
                                       F.col("lang").alias("_l"), F.col("source").alias("_s")), "_text")
-    features = cheap_features(counted, "_text")
-    joined = features.join(
-        limits,
-        F.col("_l").eqNullSafe(F.col("_lang")) & F.col("_s").eqNullSafe(F.col("_source")),
-        "left",
-    )
+    joined = with_thresholds(cheap_features(counted, "_text"), limits)
     base = (F.col("n_words") < min_words) | (
         100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words")
     )

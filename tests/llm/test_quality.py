@@ -1,10 +1,13 @@
+import math
 import random
 import re
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
-from claimloom.llm.quality import base_counts, judge, quality_filter
+from claimloom.llm import quality
+from claimloom.llm.quality import FENCES, GROWTH, base_counts, judge, quality_filter, thresholds
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_words string"
 
@@ -68,3 +71,77 @@ def test_thresholds_follow_the_group(spark):
         F.floor(F.col("doc_id") / 1000).alias("g")
     ).agg(F.avg(F.col("kept").cast("int")).alias("share"))
     assert {r.g: r.share for r in verdicts.collect()} == {0: 1.0, 1: 0.0, 2: 1.0}
+
+
+def brute_fences(rows, min_group):
+    """Thresholds per (lang, source) from sorted lists of the features, by the sketch's buckets."""
+    names = [f.feature for f in FENCES]
+
+    def features(text):
+        text = text or ""
+        n = len(re.findall(r"[^\x20\x09-\x0D]+", text))
+        if not n:
+            return None
+        lines = text.split("\n")
+        values = (
+            sum(c in "#*$%&|<>" for c in text) / n, text.count("!") / n, 1 - len(set(lines)) / len(lines),
+            len(re.sub(r"[\x20\x09-\x0D]", "", text)) / n,
+        )
+        return dict(zip(names, values, strict=True))
+
+    def middle(value):
+        if value < 1e-6:
+            return 0.0
+        return GROWTH ** math.ceil(math.log(value) / math.log(GROWTH)) * 2 / (1 + GROWTH)
+
+    groups = {}
+    for _, text, lang, source, *_ in rows:
+        f = features(text)
+        for key in ((lang, source), (lang,), ()):
+            groups.setdefault(key, [])
+            if f:
+                groups[key].append(f)
+    out = {}
+    for key in (k for k in groups if len(k) == 2):
+        own = next((groups[k] for k in (key, key[:1]) if len(groups[k]) >= min_group), groups[()])
+        for f in FENCES:
+            ranked = sorted(x[f.feature] for x in own)
+            q = {r: middle(ranked[max(0, math.ceil(r * len(ranked)) - 1)]) for r in (0.25, 0.5, 0.75)}
+            width = f.margin + f.reach * (q[0.75] - q[0.25])
+            out[key, f.feature] = (q[0.5] - width, q[0.5] + width)
+    return features, out
+
+
+@pytest.mark.parametrize("max_broadcast", [50_000, 0])
+def test_verdict_matches_brute_force(spark, monkeypatch, max_broadcast):
+    monkeypatch.setattr(quality, "MAX_BROADCAST", max_broadcast)
+    rows = corpus(500)
+    features, fences = brute_fences(rows, 60)
+    got = {r.row.doc_id: r for r in judge(spark.createDataFrame(rows, SCHEMA), min_group=60).collect()}
+    assert len(got) == len(rows)
+    kept = 0
+    for i, text, lang, source, _ in rows:
+        n, _, _, _, again = brute(text)
+        good = n >= 10 and 100 * again <= 20 * n
+        for f in FENCES:
+            low, high = fences[(lang, source), f.feature]
+            value = (features(text) or {}).get(f.feature)
+            good = good and (value is None or not (value > high + 1e-9 or (f.lower and value < low - 1e-9)))
+        assert got[i].kept == good, (i, text)
+        kept += good
+    assert 0 < kept < len(rows)
+
+
+def test_runs_agree_to_the_bit(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    first, again = (
+        sorted(map(tuple, thresholds(df.repartition(n)).collect()), key=str) for n in (3, 11)
+    )
+    assert first == again and len(first) == df.select("lang", "source").distinct().count()
+
+
+def test_clashing_columns(spark):
+    names = ["row", "_text", "_l", "_s", "_lang", "_source", "_n", "_salt", "_part", "n_words", "kept", "bucket", "symbols_per_word"]
+    rows = [(i, f"some words of text number {i} " + " ".join(f"w{i}x{k}" for k in range(12)), "en", "s", *names) for i in range(5)]
+    df = spark.createDataFrame(rows, ["doc_id", "text", "lang", "source", *names])
+    assert sorted(map(tuple, quality_filter(df).collect())) == rows
