@@ -361,7 +361,8 @@ def _clean(shared):
         for texts in batches:
             yield pd.Series([not own for own in leaks(indexes, list(texts))], dtype=bool)
 
-    return clean
+    # it is costly, so it stays where it is written instead of moving below joins
+    return clean.asNondeterministic()
 
 
 def decontaminate(

@@ -12,8 +12,8 @@ one group row and many small join tasks. Positions are gathered per document onl
 
 Defined results: null text has no lines and stays null; rows that share doc_id and text count
 as one document (each gets the same result), rows that share only doc_id are ordered by
-a hash of their text; null doc_id sorts first; an empty table gives an empty result; other
-columns pass through.
+a hash of their text; null doc_id sorts first; an empty table gives an empty result; texts of any length
+are read whole; other columns pass through, of any name but n_lines and n_removed, which are replaced.
 """
 
 from __future__ import annotations
@@ -77,17 +77,16 @@ def covered_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
 def dedupe_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with the covered lines removed from its text, plus n_lines and n_removed."""
     covered = covered_lines(docs, key, text)
-    named = docs.withColumn("_v", F.xxhash64(text))
-    joined = named.join(
-        covered, named[key].eqNullSafe(covered["_id"]) & (F.col("_v") == F.col("_version")), "left"
-    )
+    named = docs.select(F.struct(*docs.columns).alias("row"), F.col(key).alias("own"), F.xxhash64(text).alias("v"))
+    joined = named.join(covered, F.col("own").eqNullSafe(F.col("_id")) & (F.col("v") == F.col("_version")), "left")
     gone = F.flatten(F.transform("positions", lambda p: F.array(*[p + k for k in range(WINDOW)])))
-    lines = F.split(named[text], "\n", -1)
+    body = F.col("row")[text]
+    lines = F.split(body, "\n", -1)
     # null where nothing is to go
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
     changed = F.array_join(let(lines, lambda x: F.transform(kept, lambda i: F.get(x, i))), "\n")
     return joined.select(
-        *[F.coalesce(changed, named[c]).alias(c) if c == text else named[c] for c in docs.columns],
+        *[F.coalesce(changed, body).alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns if c not in ("n_lines", "n_removed")],
         F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"),
         F.coalesce(F.size(lines) - F.size(kept), F.lit(0)).cast("long").alias("n_removed"),
     )

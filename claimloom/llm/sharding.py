@@ -12,7 +12,8 @@ find their shard by an equi-join on the prefix; hashing spreads rows evenly, so
 key is hot unless one key repeats.
 
 Defined results: null text counts 0 bytes; null keys hash like an empty string; repeated
-rows go to one shard; an empty table gives an empty result; other columns pass through.
+rows go to one shard; a text longer than the limit is a shard of its own; an empty table gives an empty result; other
+columns pass through, of any name but shard, shard_depth and row_bytes, which are replaced.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from claimloom.llm.common import unused
+
 HASH_BITS = 60
 LIMIT = 16 << 20
 
@@ -57,35 +60,33 @@ def shard_documents(
     docs: DataFrame, key: str = "doc_id", text: str = "text", limit: int = LIMIT, spare_bits: int = 4
 ) -> DataFrame:
     """``docs`` with shard (the prefix bits as a string), shard_depth and row_bytes."""
-    hashed = docs.withColumn("_hash", key_hash(F.col(key))).withColumn(
-        "row_bytes", F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
-    )
-    total = hashed.agg(F.sum("row_bytes")).first()[0] or 0
+    rest = [c for c in docs.columns if c not in ("shard", "shard_depth", "row_bytes")]
+    hash_, prefix_, coarse_, fine_, bytes_ = (unused(docs, c) for c in ("hash", "prefix", "coarse", "fine", "bytes"))
+    hashed = docs.withColumns({hash_: key_hash(F.col(key)), bytes_: F.coalesce(F.octet_length(text), F.lit(0)).cast("long")})
+    total = hashed.agg(F.sum(bytes_)).first()[0] or 0
     bits = min(HASH_BITS, max(1, math.ceil(math.log2(max(1.0, total / limit)))) + spare_bits)
 
     def histogram(rows: DataFrame, n: int) -> DataFrame:
-        return rows.groupBy(F.shiftright("_hash", HASH_BITS - n).alias("prefix")).agg(
-            F.sum("row_bytes").alias("bytes"), F.min("_hash").alias("low"), F.max("_hash").alias("high")
+        return rows.groupBy(F.shiftright("hash", HASH_BITS - n).alias("prefix")).agg(
+            F.sum("bytes").alias("bytes"), F.min("hash").alias("low"), F.max("hash").alias("high")
         )
 
-    measured = hashed.select("_hash", "row_bytes")
+    measured = hashed.select(F.col(hash_).alias("hash"), F.col(bytes_).alias("bytes"))
     coarse = _leaves(histogram(measured, bits), bits, 0, limit)
     # prefixes too large at that depth: split on, each distinct hash being a row now
-    rest = coarse.where("depth is null").select("prefix")
-    inside = measured.withColumn("_prefix", F.shiftright("_hash", HASH_BITS - bits)).join(
-        rest.withColumnRenamed("prefix", "_prefix"), "_prefix", "left_semi"
-    )
+    large = coarse.where("depth is null").select("prefix")
+    inside = measured.withColumn("prefix", F.shiftright("hash", HASH_BITS - bits)).join(large, "prefix", "left_semi")
     fine = _leaves(histogram(inside, HASH_BITS), HASH_BITS, bits + 1, limit)
     found = (
-        hashed.withColumn("_prefix", F.shiftright("_hash", HASH_BITS - bits))
-        .join(coarse.select(F.col("prefix").alias("_prefix"), F.col("depth").alias("_coarse")), "_prefix", "left")
-        .join(fine.select(F.col("prefix").alias("_hash"), F.col("depth").alias("_fine")), "_hash", "left")
-        .withColumn("shard_depth", F.coalesce("_coarse", "_fine").cast("int"))
+        hashed.withColumn(prefix_, F.shiftright(hash_, HASH_BITS - bits))
+        .join(coarse.select(F.col("prefix").alias(prefix_), F.col("depth").alias(coarse_)), prefix_, "left")
+        .join(fine.select(F.col("prefix").alias(hash_), F.col("depth").alias(fine_)), hash_, "left")
     )
-    bits_text = F.when(F.col("shard_depth") == 0, F.lit("")).otherwise(
-        F.expr(f"lpad(bin(shiftright(_hash, {HASH_BITS} - shard_depth)), shard_depth, '0')")
+    depth = F.coalesce(coarse_, fine_).cast("int")
+    bits_text = F.when(depth == 0, F.lit("")).otherwise(
+        F.lpad(F.bin(F.call_function("shiftright", F.col(hash_), F.lit(HASH_BITS) - depth)), depth, F.lit("0"))
     )
-    return found.select(*docs.columns, bits_text.alias("shard"), "shard_depth", "row_bytes")
+    return found.select(*rest, bits_text.alias("shard"), depth.alias("shard_depth"), F.col(bytes_).alias("row_bytes"))
 
 
 def shard_directory(sharded: DataFrame) -> DataFrame:

@@ -12,11 +12,15 @@ large one (``pair_limit``) a fingerprint meets the others at midpoints instead:
 fingerprints differ in at most two bits exactly if they have a common string within
 one bit of each. Every fingerprint sends itself and its 64 one-bit neighbours, and all that meet at
 a string link to the least of them: the same components, with linear work, by plain
-aggregation.
+aggregation. Every link is verified by its Hamming distance.
+
+Rows find their group by their fingerprint. Those of a fingerprint with more than ``HOT`` rows are dealt over ``SALTS``
+keys, each with a copy of the fingerprint's line, so that many copies of a text are no hot key.
 
 Defined results: a text without words (or null) has fingerprint zero and links like any
 other; fewer words than a shingle form one shingle; null doc_id takes part and its group's
-id is the smallest doc_id that is not null (null if none); an empty table gives an empty result.
+id is the smallest doc_id that is not null (null if none); equal rows are each given; texts of any length are read
+whole; an empty table gives an empty result. ``keep_one_of_each`` passes columns of any name through.
 """
 
 from __future__ import annotations
@@ -35,6 +39,8 @@ from claimloom.llm.components import connected_components
 MAX_BITS = 2
 BLOCKS = (13, 13, 13, 13, 12)
 PAIR_LIMIT = 32
+#: Rows of one fingerprint that may be one join key, and the keys that more of them share.
+HOT, SALTS = 64, 64
 SEED = 42
 #: Shingles whose bits are counted at a time: bounds memory on very long texts.
 CHUNK = 1 << 16
@@ -103,7 +109,8 @@ def links(fingerprints: DataFrame, pair_limit: int = PAIR_LIMIT) -> DataFrame:
     ).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("middle"))
     hubs = meeting.groupBy("middle").agg(F.min("fp").alias("hub"), F.count("*").alias("n")).where("n > 1")
     met = meeting.join(hubs, "middle").where("fp <> hub").select(F.col("hub").alias("a"), F.col("fp").alias("b"))
-    return pairs.union(met).distinct()
+    close = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS
+    return pairs.union(met.where(close)).distinct()
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
@@ -113,19 +120,26 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
         docs.select(F.col(key), F.xxhash64(text).alias("_version"), fingerprint(F.col(text), shingle).alias("fp"))
     )
     place = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("id"), F.col("_version").alias("version"))
-    distinct = rows.groupBy("fp").agg(F.min(place).alias("first"))
+    distinct = checkpointed(rows.groupBy("fp").agg(F.min(place).alias("first"), F.count("*").alias("n")))
     groups = connected_components(links(distinct), "a", "b")
     linked = groups.join(distinct, groups["node"] == distinct["fp"]).select("node", "component", "first")
     heads = linked.groupBy("component").agg(F.min("first").alias("head"))
     heads = linked.join(heads, "component").select(F.col("node").alias("fp"), "head")
-    alone = distinct.withColumnRenamed("first", "own")
-    all_heads = alone.join(heads, "fp", "left").select("fp", F.coalesce("head", "own").alias("head"))
-    found = rows.join(all_heads, "fp")
+    every = distinct.join(heads, "fp", "left").select("fp", F.coalesce("head", "first").alias("head"), "n")
+    found = _with_head(rows, checkpointed(every))
     return found.select(
         key, "_version", "fp", F.col("head.id").alias("component_id"), place.eqNullSafe(F.col("head")).alias("first")
     )
 
 
+def _with_head(rows: DataFrame, heads: DataFrame) -> DataFrame:
+    """``rows`` (checkpointed, so that their numbers stay) with the head of their fingerprint (fp, head, n)."""
+    hot = heads.where(F.col("n") > HOT).select("fp", "head", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    dealt = rows.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+    cold = dealt.join(hot.select("fp", "salt"), ["fp", "salt"], "left_anti").join(heads.where(F.col("n") <= HOT).select("fp", "head"), "fp")
+    return dealt.join(hot, ["fp", "salt"]).select(*rows.columns, "head").union(cold.select(*rows.columns, "head"))
+
+
 def keep_one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5) -> DataFrame:
     """The rows of ``docs`` that come first, by key, in their group; of equal rows one."""
     first = (
@@ -134,6 +148,6 @@ def keep_one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", s
         .select(F.col(key).alias("_key"), F.col("_version").alias("_of"))
         .distinct()
     )
-    rows = docs.withColumn("_version", F.xxhash64(text))
-    kept = rows.join(first, rows[key].eqNullSafe(first["_key"]) & (rows["_version"] == first["_of"]), "left_semi")
-    return kept.dropDuplicates([key, "_version"]).select(*docs.columns)
+    once = docs.groupBy(F.col(key).alias("_own"), F.xxhash64(text).alias("_text")).agg(F.first(F.struct(*docs.columns)).alias("row"))
+    kept = once.join(first, once["_own"].eqNullSafe(first["_key"]) & (once["_text"] == first["_of"]), "left_semi")
+    return kept.select("row.*")

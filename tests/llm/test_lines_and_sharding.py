@@ -86,3 +86,17 @@ def test_directory_fits_the_limit(spark):
     assert sum(r.n_rows for r in directory) == 500 and all(r.n_bytes <= 4000 for r in directory)
     names = sorted(r.shard for r in directory)
     assert not any(b.startswith(a) for a, b in zip(names, names[1:]))
+
+
+def test_clashing_columns(spark):
+    names = ["row", "own", "v", "_v", "_id", "_version", "positions", "at", "w", "_hash", "_prefix", "_coarse", "_fine", "prefix", "n_lines", "shard"]
+    text = "\n".join(["one line", "two lines", "three lines"])
+    rows = [(i, text if i < 2 else f"other {i}", *names) for i in range(4)]
+    df = spark.createDataFrame(rows, ["doc_id", "text", *names])
+    got = {r.doc_id: r.asDict() for r in dedupe_lines(df).collect()}
+    assert got[0]["n_removed"] == 0 and got[1]["n_removed"] == 3 and got[1]["text"] == ""
+    assert all(r[c] == c for r in got.values() for c in names if c != "n_lines")
+    assert dedupe_lines(df).columns == [c for c in df.columns if c != "n_lines"] + ["n_lines", "n_removed"]
+    sharded = shard_documents(df)
+    assert sharded.columns == [c for c in df.columns if c != "shard"] + ["shard", "shard_depth", "row_bytes"]
+    assert all(r[c] == c for r in sharded.collect() for c in names if c != "shard")

@@ -101,3 +101,14 @@ def test_one_of_each_stays(spark):
 def test_long_text_counts_all_shingles():
     body = b"a b c d " * 50_000
     assert text_fingerprint(body, 3) == text_fingerprint(b"a b c d " * 50_000 + b" ", 3)
+
+
+def test_many_copies_and_clashing_columns(spark):
+    """More copies than one join key may hold: every row is found once, under the least id."""
+    text = "the same few words in every one of these rows"
+    rows = [(5000 - i, text if i < 700 else f"{text} {i} " + " ".join(f"w{i}x{k}" for k in range(40)), "v") for i in range(800)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _version string")
+    got = {r.doc_id: r.component_id for r in near_duplicates(df).collect()}
+    assert len(got) == 800 and all(got[5000 - i] == 4301 for i in range(700))
+    kept = keep_one_of_each(df).collect()
+    assert len(kept) == len(set(got.values())) and all(r._version == "v" for r in kept)
