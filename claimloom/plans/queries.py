@@ -497,7 +497,7 @@ def similar_pairs(spark, d):
 
 
 def _questions(spark, d):
-    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.substring("text", 1, 60).alias("query"))
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
 def _sparse(spark, d):
@@ -507,7 +507,7 @@ def _sparse(spark, d):
     return retrieval.sparse_candidates(_questions(spark, d), rows, texts, parts["entities"], parts["schemas"])
 
 
-_SPARSE = f"""tokens AS (SELECT item_id AS query_id, substr(text, 1, 60) AS query, unnest({V.QUERY_TOKENS.format('substr(text, 1, 60)')}) AS token FROM benchmark),
+_SPARSE = f"""tokens AS (SELECT item_id AS query_id, text AS query, unnest({V.QUERY_TOKENS.format('text')}) AS token FROM benchmark),
 hits AS (
   SELECT claim_id, token, max(s) AS s, max(e) AS e FROM (
     SELECT claim_id, token, 1 AS s, 0 AS e FROM claims, (SELECT DISTINCT token FROM tokens) WHERE contains(lower(statement), token)
@@ -516,8 +516,8 @@ hits AS (
   ) GROUP BY 1, 2
 ), scored AS (
   SELECT query_id, claim_id, (count(*) + sum(s) + sum(e))::DOUBLE AS score FROM hits JOIN tokens USING (token) GROUP BY 1, 2
-  UNION ALL SELECT query_id, claim_id, 2.0 FROM (SELECT item_id AS query_id, lower(substr(text, 1, 60)) AS q FROM benchmark) JOIN claims ON contains(q, lower(source)) OR contains(lower(source), q)
-  UNION ALL SELECT item_id, claim_id, 1.5 FROM benchmark JOIN claims ON contains(lower(substr(text, 1, 60)), 'states')
+  UNION ALL SELECT query_id, claim_id, 2.0 FROM (SELECT item_id AS query_id, lower(text) AS q FROM benchmark) JOIN claims ON contains(q, lower(source)) OR contains(lower(source), q)
+  UNION ALL SELECT item_id, claim_id, 1.5 FROM benchmark JOIN claims ON contains(lower(text), 'states')
 ), sparse AS (
   SELECT query_id, claim_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, claim_id) AS rank FROM (SELECT query_id, claim_id, max(score) AS score FROM scored GROUP BY 1, 2)
 )"""
@@ -537,41 +537,100 @@ def normalized_candidates(spark, d):
     return rounded(retrieval.normalize_candidates(rows).select("query_id", F.col("target_id").alias("claim_id"), "score"), "score")
 
 
-def _ask(spark, d):
-    """Candidates, snapshot, ranks and scored claims of the questions (graph of evidence, entities and schemas)."""
-    candidates = checkpointed(retrieval.normalize_candidates(_sparse(spark, d).where("rank <= 8").select(
-        "query_id", F.lit("sparse").alias("source"), F.concat(F.lit("claim:"), "claim_id").alias("node_id"), F.lit("claim").alias("target_type"),
+def _vectors(spark, d):
+    """The k nearest claims of each question by embedding: vector ``item_id`` is the question's, vector n that of document n's first claim."""
+    rows = table(spark, d, "embeddings")
+    asked = rows.join(_questions(spark, d), F.col("vec_id") == F.col("query_id"), "left_semi").select(F.col("vec_id").alias("query_id"), "embedding")
+    found = retrieval.vector_candidates(asked, rows.select(F.col("vec_id").alias("target_id"), "embedding"), retrieval.ASK["vector"])
+    named = found.select("query_id", F.concat(F.lit("mem_"), F.col("target_id").cast("string"), F.lit("_0")).alias("claim_id"), "score")
+    return named.join(derive.claims(spark, d).select("claim_id"), "claim_id", "left_semi")
+
+
+def _candidates(spark, d):
+    """The questions' candidates from both sources, scores from 0 to 1."""
+    as_rows = lambda df, source: df.select(
+        "query_id", F.lit(source).alias("source"), F.concat(F.lit("claim:"), "claim_id").alias("node_id"), F.lit("claim").alias("target_type"),
         F.col("claim_id").alias("target_id"), "score",
-    )))
-    nodes, edges = retrieval.graph_snapshot(candidates.select("query_id", "node_id"), graph_edges(spark, d), 200, 800)
+    )
+    every = as_rows(_sparse(spark, d), "sparse").union(as_rows(_vectors(spark, d), "vector"))
+    return checkpointed(retrieval.normalize_candidates(every))
+
+
+def _ask(spark, d, iterations=retrieval.ASK["iterations"], tolerance=retrieval.ASK["tolerance"]):
+    """Candidates, snapshot, reset weights and ranks of the questions, by the ask profile."""
+    candidates = _candidates(spark, d)
+    nodes, edges = retrieval.graph_snapshot(candidates.select("query_id", "node_id"), graph_edges(spark, d), retrieval.ASK["nodes"], retrieval.ASK["edges"])
     nodes, edges = checkpointed(nodes), checkpointed(edges)
     reset = retrieval.reset_weights(candidates, nodes)
-    ranks = retrieval.personalized_pagerank(nodes, edges, reset, iterations=20)
-    return candidates, nodes, ranks
+    ranks = retrieval.personalized_pagerank(nodes, edges, reset, iterations, retrieval.ASK["restart"], tolerance)
+    return candidates, nodes, edges, reset, ranks
+
+
+_VECTORS = """found_vectors AS (
+  SELECT q.vec_id AS query_id, e.vec_id AS target_id, greatest(0, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 9)) AS score
+  FROM embeddings q JOIN benchmark ON item_id = q.vec_id, embeddings e
+), near AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, target_id) AS rank FROM found_vectors),
+vectors AS (SELECT query_id, claim_id, score FROM near JOIN claims ON claim_id = 'mem_' || target_id || '_0' WHERE rank <= 64),
+candidates AS (
+  SELECT query_id, 'sparse' AS source, claim_id, greatest(0, least(1, score / max(score) OVER (PARTITION BY query_id))) AS score FROM sparse WHERE rank <= 32
+  UNION ALL SELECT query_id, 'vector', claim_id, greatest(0, least(1, score / CASE WHEN max(score) OVER (PARTITION BY query_id) > 0 THEN max(score) OVER (PARTITION BY query_id) ELSE 1 END)) FROM vectors
+)"""
+_SNAPSHOT = """links AS (SELECT from_node AS node_id, to_node AS other FROM edges UNION SELECT to_node, from_node FROM edges),
+hop0 AS (SELECT DISTINCT query_id, 'claim:' || claim_id AS node_id, 0 AS hop FROM candidates),
+hop1 AS (SELECT query_id, node_id, min(hop) AS hop FROM (SELECT * FROM hop0 UNION ALL SELECT query_id, other, 1 FROM hop0 JOIN links USING (node_id)) GROUP BY 1, 2),
+hop2 AS (SELECT query_id, node_id, min(hop) AS hop FROM (SELECT * FROM hop1 UNION ALL SELECT query_id, other, 2 FROM hop1 JOIN links USING (node_id) WHERE hop = 1) GROUP BY 1, 2),
+nodes AS (SELECT query_id, node_id, hop FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY hop, node_id) AS place FROM hop2) WHERE place <= 1000)"""
 
 
-@query()
+@query(f"WITH {V.CLAIMS}, {_SPARSE}, {_VECTORS}, {_EDGES}, {_SNAPSHOT} SELECT query_id, node_id, hop::BIGINT AS hop FROM nodes")
 def graph_snapshots(spark, d):
-    _, nodes, _ = _ask_nodes(spark, d)
-    return nodes
+    candidates = _candidates(spark, d).select("query_id", "node_id")
+    nodes, _ = retrieval.graph_snapshot(candidates, graph_edges(spark, d), retrieval.ASK["nodes"], retrieval.ASK["edges"])
+    return nodes.withColumn("hop", F.col("hop").cast("long"))
+
+
+_RESET = """inside AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY weight DESC, from_node, to_node, edge_type) AS place FROM (
+    SELECT a.query_id, e.* FROM edges e JOIN nodes a ON a.node_id = from_node JOIN nodes b ON b.node_id = to_node AND a.query_id = b.query_id)
+), kept AS (SELECT query_id, from_node, to_node, weight FROM inside WHERE place <= 4000),
+resets AS (SELECT query_id, 'claim:' || claim_id AS node_id, max(score * CASE source WHEN 'vector' THEN 0.75::DOUBLE ELSE 0.6::DOUBLE END) AS weight FROM candidates GROUP BY 1, 2)"""
+
+
+@query(f"WITH {V.CLAIMS}, {_SPARSE}, {_VECTORS}, {_EDGES}, {_SNAPSHOT}, {_RESET} SELECT query_id, node_id, round(weight, 6) AS weight FROM resets JOIN nodes USING (query_id, node_id)")
+def reset_weights(spark, d):
+    return rounded(_ask(spark, d)[3], "weight")
+
+
+def _pagerank_sql(rounds: int) -> str:
+    """The first rounds of the walk, one after another."""
+    parts = ["""w0 AS (SELECT query_id, from_node AS node_id, to_node AS other, greatest(weight, 0.01) AS weight FROM kept UNION ALL SELECT query_id, to_node, from_node, greatest(weight, 0.01) FROM kept),
+  shares AS (SELECT query_id, node_id, other, weight / sum(weight) OVER (PARTITION BY query_id, node_id) AS share FROM w0),
+  score0 AS (SELECT query_id, node_id, CASE WHEN total > 0 THEN w / total ELSE 1.0 / n END AS reset, CASE WHEN total > 0 THEN w / total ELSE 1.0 / n END AS score,
+    NOT EXISTS (SELECT 1 FROM w0 WHERE w0.query_id = z.query_id AND w0.node_id = z.node_id) AS dangling FROM (
+    SELECT query_id, node_id, coalesce(weight, 0) AS w, sum(coalesce(weight, 0)) OVER (PARTITION BY query_id) AS total, count(*) OVER (PARTITION BY query_id) AS n FROM nodes LEFT JOIN resets USING (query_id, node_id)) z)"""]
+    for i in range(1, rounds + 1):
+        parts.append(f"""in{i} AS (SELECT s.query_id, other AS node_id, sum(score * share) AS inflow FROM score{i - 1} s JOIN shares h ON h.query_id = s.query_id AND h.node_id = s.node_id GROUP BY 1, 2),
+  raw{i} AS (SELECT s.*, 0.5 * reset + 0.5 * (coalesce(inflow, 0) + CASE WHEN dangling THEN score ELSE 0 END) AS following FROM score{i - 1} s LEFT JOIN in{i} USING (query_id, node_id)),
+  score{i} AS (SELECT query_id, node_id, reset, following / sum(following) OVER (PARTITION BY query_id) AS score, dangling FROM raw{i})""")
+    return ", ".join(parts)
 
 
-def _ask_nodes(spark, d):
-    candidates = _sparse(spark, d).where("rank <= 8").select("query_id", F.concat(F.lit("claim:"), "claim_id").alias("node_id"))
-    nodes, edges = retrieval.graph_snapshot(candidates, graph_edges(spark, d), 200, 800)
-    return candidates, nodes, edges
+@query(f"WITH {V.CLAIMS}, {_SPARSE}, {_VECTORS}, {_EDGES}, {_SNAPSHOT}, {_RESET}, {_pagerank_sql(4)} SELECT query_id, node_id, round(score, 6) AS score FROM score4")
+def pagerank_rounds(spark, d):
+    """The walk's first four rounds, without its stop."""
+    return rounded(_ask(spark, d, 4, 0.0)[4], "score")
 
 
 @query()
 def personalized_pagerank(spark, d):
-    return rounded(_ask(spark, d)[2], "score")
+    return rounded(_ask(spark, d)[4], "score")
 
 
 @query()
 def retrieved_claims(spark, d):
-    candidates, _, ranks = _ask(spark, d)
+    candidates, _, _, _, ranks = _ask(spark, d)
     ranked = retrieval.prerank(retrieval.score_claims(ranks, candidates), 12)
-    return rounded(ranked.select("query_id", "claim_id", "graph", "vector", "lexical", "rank"), "graph", "lexical")
+    return rounded(ranked.select("query_id", "claim_id", "graph", "vector", "lexical", "rank"), "graph", "vector", "lexical")
 
 
 @query(f"""WITH {V.CLAIMS}, {_SPARSE}, cites AS (SELECT claim_id, string_agg(e, ',' ORDER BY e) AS c FROM (SELECT DISTINCT claim_id, unnest(evidence) AS e FROM claims) GROUP BY 1),
