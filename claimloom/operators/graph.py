@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimloom.functions.text import NEGATIVE, POSITIVE, connection_tokens, jaccard, normalize_words, words_array
+from claimloom.sources.shared import checkpointed
 
 # Weights, caps and thresholds of a connection's score.
 WEIGHTS = {"entities": 0.24, "schemas": 0.20, "evidence": 0.20, "same_source": 0.12, "relations": 0.14, "tokens": 0.20}
@@ -54,12 +55,13 @@ def candidate_pairs(features: DataFrame) -> DataFrame:
     From the weights, a pair scores .55 only with equal text, a shared evidence span, a shared relation,
     one source version, or, failing all these, with an entity and a schema in common and
     then either a token Jaccard of .55 or, for complementary claim types, one of .05. So tokens are keys only
-    together with entity and schema: the rarest ones that a Jaccard of .55 cannot all miss, or
-    all for complementary types.
+    together with entity and schema: the rarest ones that a Jaccard of .55 cannot all miss. Complementary types meet on
+    entity and schema alone, since nearly all such pairs share the few tokens that a Jaccard of .05 takes. A statement
+    without a letter or digit is equal to no other.
     """
     e = features
     key = lambda kind, *cols: F.concat_ws("\x1f", F.lit(kind), *cols)
-    plain = e.select("claim_id", key("text", F.col("text")).alias("key")).union(
+    plain = e.where("text <> ''").select("claim_id", key("text", F.col("text")).alias("key")).union(
         e.select("claim_id", key("source", F.col("source_version_id")))
     )
     for c in ("evidence", "relations"):
@@ -71,16 +73,15 @@ def candidate_pairs(features: DataFrame) -> DataFrame:
     grounded = e.select(
         "claim_id", "claim_type", F.size("tokens").alias("n"), F.explode("entities").alias("entity"), "schemas"
     ).select("claim_id", "claim_type", "n", "entity", F.explode("schemas").alias("schema"))
-    both = grounded.join(ranked, "claim_id")
-    rare = both.where(F.col("place") <= F.col("n") - F.ceil(LEAST * F.col("n")) + 1).select(
+    rare = grounded.join(ranked, "claim_id").where(F.col("place") <= F.col("n") - F.ceil(LEAST * F.col("n")) + 1).select(
         "claim_id", key("prefix", F.col("entity"), F.col("schema"), F.col("token")).alias("key")
     )
     pair_of, side = F.lit(None).cast("string"), F.lit(None).cast("int")
     for a, b in COMPLEMENTARY:
         pair_of = F.when(F.col("claim_type").isin(a, b), F.lit(a)).otherwise(pair_of)
         side = F.when(F.col("claim_type") == a, F.lit(0)).when(F.col("claim_type") == b, F.lit(1)).otherwise(side)
-    typed = both.where(pair_of.isNotNull()).select(
-        "claim_id", side.alias("side"), key("typed", pair_of, F.col("entity"), F.col("schema"), F.col("token")).alias("key")
+    typed = grounded.where(pair_of.isNotNull()).select(
+        "claim_id", side.alias("side"), key("typed", pair_of, F.col("entity"), F.col("schema")).alias("key")
     )
     keys = plain.union(rare)
     left = keys.select(F.col("claim_id").alias("left_id"), "key")
@@ -97,7 +98,7 @@ def score_pairs(pairs: DataFrame, features: DataFrame) -> DataFrame:
     one = lambda side: features.select(*[F.col(c).alias(f"{side}_{'id' if c == 'claim_id' else c}") for c in features.columns])
     rows = pairs.join(one("left"), "left_id").join(one("right"), "right_id")
     both = lambda c: jaccard(F.col(f"left_{c}"), F.col(f"right_{c}"))
-    equal = F.col("left_text") == F.col("right_text")
+    equal = (F.col("left_text") == F.col("right_text")) & (F.col("left_text") != "")
     types = F.array_sort(F.array("left_claim_type", "right_claim_type"))
     fits = F.lit(False)
     for a, b in COMPLEMENTARY:
@@ -129,7 +130,7 @@ def score_pairs(pairs: DataFrame, features: DataFrame) -> DataFrame:
 
 def connections(claims: DataFrame, least: float = LEAST) -> DataFrame:
     """All pairs of claims with a confidence of at least ``least`` (not below .55)."""
-    features = connection_features(claims)
+    features = checkpointed(connection_features(claims))  # read by every blocking key
     return score_pairs(candidate_pairs(features), features).where(F.col("confidence") >= least)
 
 

@@ -403,7 +403,7 @@ def _graph_claims(spark, d):
 _CONNECTIONS = f"""f AS (
   SELECT claim_id, doc_id, source, lang, claim_type, {V.NORM_WORDS.format('statement')} AS t, {V.TOKENS.format('statement')} AS k FROM claims
 ), p AS (
-  SELECT a.claim_id AS from_id, b.claim_id AS to_id, a.claim_type AS ta, b.claim_type AS tb, a.t = b.t AS equal, (a.source = b.source)::INT::DOUBLE AS entities,
+  SELECT a.claim_id AS from_id, b.claim_id AS to_id, a.claim_type AS ta, b.claim_type AS tb, a.t = b.t AND a.t <> '' AS equal, (a.source = b.source)::INT::DOUBLE AS entities,
     (a.source = b.source AND a.lang = b.lang)::INT::DOUBLE AS schemas, (a.doc_id = b.doc_id)::INT::DOUBLE AS same_source, {V.JACCARD.format('a.k', 'b.k')} AS tokens
   FROM f a JOIN f b ON a.claim_id < b.claim_id AND (a.source = b.source OR a.t = b.t OR a.doc_id = b.doc_id)
 ), s AS (
@@ -501,7 +501,7 @@ def _questions(spark, d):
 
 
 def _sparse(spark, d):
-    rows = derive.claims(spark, d)
+    rows = checkpointed(derive.claims(spark, d))
     texts = derive.claim_evidence(rows).join(derive.spans(spark, d).select("span_id", "text"), "span_id").select("claim_id", "text")
     parts = review.claim_tables(rows)
     return retrieval.sparse_candidates(_questions(spark, d), rows, texts, parts["entities"], parts["schemas"])
