@@ -26,7 +26,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimloom.llm.common import checkpointed
@@ -73,18 +73,27 @@ def copied(rows: DataFrame, copies: str) -> DataFrame:
     return dealt.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), size))).drop("_step", "_copy", copies)
 
 
+def block_count(docs: DataFrame, text: str, block_bytes: int) -> tuple[int, int]:
+    """The bytes of text in all, and the number of blocks to deal them into."""
+    total = docs.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
+    return total, max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / block_bytes), 1)
+
+
+def block_of(place: Column, n: int) -> Column:
+    """The block of a row by its place, a hash of 63 bits: the n ranges of places."""
+    return F.shiftright(F.shiftright(place, 32) * F.lit(n).cast("long"), 31)
+
+
 def dealt(docs: DataFrame, key: str, text: str, block_bytes: int) -> tuple[DataFrame, int, int]:
     """(block, doc, place, body, copies) rows, the bytes of text in all and the number of blocks.
 
     Rows of one key are ordered by place, a hash of the row; blocks are its ranges, so the order does not depend
     on their number.
     """
-    spark = docs.sparkSession
-    total = docs.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / block_bytes), 1)
+    total, n = block_count(docs, text, block_bytes)
     place = F.shiftrightunsigned(F.xxhash64(key, text), 1)
     rows = docs.select(
-        F.shiftright(F.shiftright(place, 32) * F.lit(n).cast("long"), 31).alias("block"),
+        block_of(place, n).alias("block"),
         F.coalesce(F.col(key).cast("long"), F.lit(NULL_ID)).alias("doc"),
         place.alias("place"),
         F.coalesce(F.col(text), F.lit("")).cast("binary").alias("body"),
