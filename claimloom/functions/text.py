@@ -102,6 +102,11 @@ def issue_tickets(text: Column) -> Column:
     return F.array_sort(F.array_distinct(found))
 
 
+def merged_identities(found: Column, known: Column) -> Column:
+    """Ticket ids of a text and those already known, each once, sorted."""
+    return F.array_sort(F.array_union(found, known))
+
+
 def redact_secrets(text: Column) -> Column:
     """Bearer tokens, secret query parameters and keys replaced; at most 1000 characters."""
     out = F.regexp_replace(text, "(?i)(bearer\\s+)[^\\s\"']+", "$1[redacted]")

@@ -191,3 +191,29 @@ def bundle_statistics(items: DataFrame) -> DataFrame:
         F.countDistinct("source_id").alias("n_sources"),
         F.count("permalink").alias("n_permalinks"),
     )
+
+
+def external_teams(rows: DataFrame) -> DataFrame:
+    """Teams of both arrays (shared, connected) but one's own, distinct and in order."""
+    return rows.withColumn("external", F.array_sort(F.array_except(F.array_union("shared", "connected"), F.array("own"))))
+
+
+def bundle_documents(items: DataFrame, spans: DataFrame) -> DataFrame:
+    """Per bundle its items in order, each with its spans (bundle_id, position, role, source_version_id; spans by version)."""
+    per_version = spans.groupBy("source_version_id").agg(F.array_sort(F.collect_list(F.struct("line", "span_id"))).alias("spans"))
+    rows = items.join(per_version, "source_version_id", "left")
+    item = F.struct("position", "role", "source_version_id", F.coalesce("spans", F.array().cast("array<struct<line:int,span_id:string>>")).alias("spans"))
+    return rows.groupBy("bundle_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
+
+
+def bundle_audit(items: DataFrame, spans: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Claims that cite a span of a bundle's versions, with how many of their spans lie inside."""
+    inside = items.select("bundle_id", "source_version_id").distinct().join(spans.select("source_version_id", "span_id"), "source_version_id")
+    cited = inside.join(evidence.select("claim_id", "span_id").distinct(), "span_id")
+    return cited.groupBy("bundle_id", "claim_id").agg(F.count("*").alias("n_spans"))
+
+
+def saved_ids(messages: DataFrame) -> DataFrame:
+    """external_id (workspace:channel:ts) of messages, and whether it has the canonical shape."""
+    name = F.concat_ws(":", "workspace", "channel", "ts")
+    return messages.withColumn("external_id", name).withColumn("canonical", F.col("external_id").rlike("^[A-Z0-9]+:[A-Z0-9]+:[0-9]+\\.[0-9]{6}$"))

@@ -223,3 +223,10 @@ def spans_by_version(spans: DataFrame) -> DataFrame:
     return spans.groupBy("source_version_id").agg(ordered.alias("spans"))
 
 
+
+
+def ingestion_results(spans: DataFrame, active: DataFrame) -> DataFrame:
+    """Per document its spans in order and the ids of its active claims (doc_id in both)."""
+    listed = spans.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("line", "span_id", "text"))).alias("spans"))
+    own = active.groupBy("doc_id").agg(F.array_sort(F.collect_list("claim_id")).alias("claim_ids"))
+    return listed.join(own, "doc_id", "left").withColumn("claim_ids", F.coalesce("claim_ids", F.array().cast("array<string>")))

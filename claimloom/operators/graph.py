@@ -248,3 +248,73 @@ def claim_degree(edges: DataFrame) -> DataFrame:
     """Degree and weight of every node over both directions."""
     both = edges.select(F.col("from_node").alias("node_id"), "weight").union(edges.select("to_node", "weight"))
     return both.groupBy("node_id").agg(F.count("*").alias("degree"), F.sum("weight").alias("total_weight"))
+
+
+def promote_predicates(relations: DataFrame) -> DataFrame:
+    """Predicates (by lower case) with their latest spelling and the number of claims that use them."""
+    return relations.groupBy(F.lower("predicate").alias("predicate_key")).agg(
+        F.max_by("predicate", F.struct("created_at", "predicate")).alias("predicate"), F.countDistinct("claim_id").alias("n_claims")
+    )
+
+
+def connection_candidates(pairs: DataFrame, signals: DataFrame, least: float = 0.12, k: int = 120) -> DataFrame:
+    """Scored pairs at or above ``least``, or touching a claim with a work signal (claim_id); the k best of each left claim."""
+    marked = signals.select("claim_id").distinct()
+    rows = pairs.join(marked.select(F.col("claim_id").alias("from_id"), F.lit(True).alias("_a")), "from_id", "left").join(
+        marked.select(F.col("claim_id").alias("to_id"), F.lit(True).alias("_b")), "to_id", "left"
+    )
+    rows = rows.where((F.col("confidence") >= least) | F.col("_a") | F.col("_b"))
+    best = Window.partitionBy("from_id").orderBy(F.desc("confidence"), "to_id")
+    return rows.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k).select("from_id", "to_id", "confidence", "place")
+
+
+def apply_connection_decisions(candidates: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Accepted candidates: confidence from the decision, within 0 and 1 to three decimals; its rationale, or the candidate's.
+
+    Both: from_id, to_id, connection_type, confidence, rationale; decisions also have accepted.
+    """
+    d = decisions.select("from_id", "to_id", "accepted", *[F.col(c).alias(f"_{c}") for c in ("connection_type", "confidence", "rationale")])
+    rows = candidates.join(d, ["from_id", "to_id"]).where("accepted")
+    text = F.nullif(F.trim("_rationale"), F.lit(""))
+    return rows.select(
+        "from_id", "to_id", F.coalesce("_connection_type", "connection_type").alias("connection_type"),
+        F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce("_confidence", "confidence"))), 3).alias("confidence"),
+        F.coalesce(text, "rationale").alias("rationale"),
+    )
+
+
+def cluster_details(members: DataFrame, edges: DataFrame, connections: DataFrame, conflicts: DataFrame) -> DataFrame:
+    """Per cluster (cluster, claim_id) the numbers of claims, of graph edges at them, and of connections and conflicts inside."""
+    at = members.select("cluster", F.concat(F.lit("claim:"), "claim_id").alias("from_node"))
+    n_edges = edges.join(at, "from_node").groupBy("cluster").agg(F.count("*").alias("n_edges"))
+
+    def inside(pairs: DataFrame, a: str, b: str, name: str) -> DataFrame:
+        left, right = (members.select("cluster", F.col("claim_id").alias(c)) for c in (a, b))
+        return pairs.join(left, a).join(right, ["cluster", b]).groupBy("cluster").agg(F.count("*").alias(name))
+
+    rows = members.groupBy("cluster").agg(F.count("*").alias("n_claims"))
+    for part in (n_edges, inside(connections, "from_id", "to_id", "n_connections"), inside(conflicts, "left_id", "right_id", "n_conflicts")):
+        rows = rows.join(part, "cluster", "left")
+    return rows.fillna(0)
+
+
+def claim_details(claims: DataFrame, evidence: DataFrame, connections: DataFrame) -> DataFrame:
+    """Each claim with its spans in order and its neighbours, the strongest first."""
+    spans = evidence.groupBy("claim_id").agg(F.array_sort(F.collect_list(F.struct("position", "span_id"))).alias("spans"))
+    both = connections.select("from_id", "to_id", "confidence").union(connections.select("to_id", "from_id", "confidence"))
+    near = both.groupBy(F.col("from_id").alias("claim_id")).agg(
+        F.array_sort(F.collect_list(F.struct((-F.col("confidence")).alias("rank"), F.col("to_id").alias("claim_id")))).alias("neighbours")
+    )
+    return claims.join(spans, "claim_id", "left").join(near, "claim_id", "left")
+
+
+def latest_decisions(pairs: DataFrame, log: DataFrame, key: list[str], default: str) -> DataFrame:
+    """Connections or conflicts with the last decision of an append-only log (key, status, reviewer, ts, event_id)."""
+    last = log.groupBy(*key).agg(F.max_by(F.struct("status", "reviewer"), F.struct("ts", "event_id")).alias("last"))
+    return pairs.join(last, key, "left").select(*pairs.columns, F.coalesce("last.status", F.lit(default)).alias("status"), F.col("last.reviewer").alias("reviewer"))
+
+
+def conflict_documents(members: DataFrame) -> DataFrame:
+    """Per conflict its members (conflict_id, role, claim_id, evidence) by role, then claim."""
+    listed = F.array_sort(F.collect_list(F.struct("role", "claim_id", F.array_sort("evidence").alias("evidence"))))
+    return members.groupBy("conflict_id").agg(listed.alias("members"), F.count("*").alias("n_members"))

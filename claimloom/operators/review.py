@@ -95,3 +95,9 @@ def replacement_chain(events: DataFrame) -> DataFrame:
     """Number of edits before each review of a claim."""
     w = Window.partitionBy("claim_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
     return events.withColumn("edits_before", F.coalesce(F.sum((F.col("review") == "edit").cast("int")).over(w), F.lit(0)))
+
+
+def ingestion_status(log: DataFrame, key: str, failed: str) -> DataFrame:
+    """The last status of each key, with its error text if that is ``failed`` (key, status, error, ts, event_id)."""
+    last = log.groupBy(key).agg(F.max_by(F.struct("status", "error"), F.struct("ts", "event_id")).alias("last"))
+    return last.select(key, "last.status", F.when(F.col("last.status") == failed, F.col("last.error")).alias("error"))

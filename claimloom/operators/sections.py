@@ -162,3 +162,23 @@ def commit_plans(plans: DataFrame) -> DataFrame:
     """The first plan of each version."""
     first = Window.partitionBy("source_version_id").orderBy("created_at", "plan_id")
     return plans.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
+
+
+def chunked(rows: DataFrame, key: list[str], order: list[str], size: int = 30) -> DataFrame:
+    """``rows`` with the number (from 0) of their chunk of ``size`` in order."""
+    place = F.row_number().over(Window.partitionBy(*key).orderBy(*order))
+    return rows.withColumn("chunk", F.floor((place - 1) / size).cast("int"))
+
+
+def completed_plans(plans: DataFrame, committed: DataFrame) -> DataFrame:
+    """Plans (plan_id, proposal_id) all of whose proposals are committed."""
+    done = committed.select("proposal_id").distinct().withColumn("_done", F.lit(True))
+    state = plans.join(done, "proposal_id", "left").groupBy("plan_id").agg(F.bool_and(F.col("_done").isNotNull()).alias("completed"))
+    return state
+
+
+def bounds_outside(plans: DataFrame, spans: DataFrame) -> DataFrame:
+    """Plans whose first or last span (by id) is not one of their version."""
+    own = spans.select("source_version_id", "span_id")
+    ends = plans.select("plan_id", "source_version_id", F.explode(F.array("first_id", "last_id")).alias("span_id"))
+    return ends.join(own, ["source_version_id", "span_id"], "left_anti").select("plan_id", F.lit("bound_outside_version").alias("code")).distinct()

@@ -120,6 +120,37 @@ def decision_issues(decisions: DataFrame, candidates: DataFrame, key: str = "cla
     return unknown.union(again).union(bare)
 
 
+def connection_decision_issues(decisions: DataFrame, candidates: DataFrame, types: list[str]) -> DataFrame:
+    """Decisions (candidate_id, connection_type, confidence, evidence) against their candidates (candidate_id, evidence)."""
+    found = decision_issues(decisions.withColumns({"decision": F.lit(None).cast("string"), "correction": F.lit(None).cast("string")}), candidates, "candidate_id")
+    shape = _issues(decisions, "candidate_id", {
+        "unknown_connection_type": ~F.coalesce(F.col("connection_type").isin(*types), F.lit(False)),
+        "invalid_connection_confidence": ~F.coalesce(F.col("confidence").between(0, 1), F.lit(False)),
+    })
+    known = decisions.join(candidates.select("candidate_id", F.col("evidence").alias("own")), "candidate_id")
+    lost = known.where(F.size(F.array_except("evidence", "own")) > 0).select(F.col("candidate_id").alias("subject_id"), F.lit("unavailable_evidence").alias("code"))
+    return found.union(shape).union(lost).distinct()
+
+
+def citation_issues(answers: DataFrame, claims: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Citations (answer_id, claim_id, span_id) of unknown claims, unknown spans, or spans that the cited claim lacks."""
+    code = lambda rows, name: rows.select(F.col("answer_id").alias("subject_id"), F.lit(name).alias("code"))
+    no_claim = answers.join(claims.select("claim_id"), "claim_id", "left_anti")
+    no_span = answers.join(evidence.select("span_id").distinct(), "span_id", "left_anti")
+    known = answers.join(claims.select("claim_id"), "claim_id", "left_semi").join(evidence.select("span_id").distinct(), "span_id", "left_semi")
+    loose = known.join(evidence.select("claim_id", "span_id"), ["claim_id", "span_id"], "left_anti")
+    return code(no_claim, "unknown_claim").union(code(no_span, "unknown_evidence")).union(code(loose, "evidence_outside_claim")).distinct()
+
+
+def embedding_batch_issues(batches: DataFrame, vectors: DataFrame, dimension: int, most: int = 128) -> DataFrame:
+    """Batches (batch_id, n_inputs) with too many inputs, another number of vectors (batch_id, embedding), or a wrong dimension."""
+    got = vectors.groupBy("batch_id").agg(F.count("*").alias("n"), F.count_if(F.size("embedding") != dimension).alias("wrong"))
+    rows = batches.join(got, "batch_id", "left").fillna(0, ["n", "wrong"])
+    return _issues(rows, "batch_id", {
+        "too_many_inputs": F.col("n_inputs") > most, "count_mismatch": F.col("n") != F.col("n_inputs"), "wrong_dimension": F.col("wrong") > 0,
+    })
+
+
 def merge_qualifiers(original: Column, corrected: Column) -> Column:
     """Union of two maps; the correction wins."""
     return F.map_zip_with(original, corrected, lambda k, a, b: F.coalesce(b, a))
