@@ -248,13 +248,194 @@ def draft_changes(versions: DataFrame, fields: list[str]) -> DataFrame:
     return versions.select("draft_id", "version", F.when(first, F.lit("")).otherwise(F.array_join(F.array_compact(F.array(*differs)), ",")).alias("changed"))
 
 
-def traceability_issues(briefs: DataFrame, bindings: DataFrame, active: DataFrame) -> DataFrame:
-    """Briefs (brief_id, evidence array) whose bindings (brief_id, claim_id, span_id) or claims do not hold."""
-    bare = briefs.where(F.coalesce(F.size("evidence"), F.lit(0)) == 0).select("brief_id", F.lit("brief_without_evidence").alias("code"))
-    cited = briefs.select("brief_id", F.explode("evidence").alias("span_id"))
-    loose = cited.join(bindings.select("brief_id", "span_id"), ["brief_id", "span_id"], "left_anti").select("brief_id", F.lit("unbound_evidence").alias("code"))
-    idle = bindings.join(active.select("claim_id"), "claim_id", "left_anti").select("brief_id", F.lit("inactive_claim").alias("code"))
-    return bare.union(loose).union(idle).distinct()
+def _codes(rows: DataFrame, key: str, codes: dict[str, Column]) -> DataFrame:
+    listed = F.array_compact(F.array(*[F.when(bad, F.lit(code)) for code, bad in codes.items()]))
+    return rows.select(key, F.explode(listed).alias("code"))
+
+
+def _lacks(ids: Column, known: Column) -> Column:
+    return F.size(F.array_except(ids, known)) > 0
+
+
+def _none(ids: Column) -> Column:
+    return F.coalesce(F.size(ids), F.lit(0)) == 0
+
+
+def brief_traceability(briefs: DataFrame) -> DataFrame:
+    """Problems of briefs (brief_id; arrays memory, evidence, returned, inactive, used, reviewers).
+
+    ``returned`` are the claims that came back for the brief, ``inactive`` those of them no longer active, ``used`` their evidence.
+    """
+    c = F.col
+    return _codes(briefs, "brief_id", {
+        "brief_missing_memory": _none(c("memory")), "brief_missing_evidence": _none(c("evidence")), "brief_memory_mismatch": _lacks(c("returned"), c("memory")),
+        "brief_inactive_memory": F.size("inactive") > 0, "brief_evidence_mismatch": _lacks(c("used"), c("evidence")),
+        "brief_decision_missing_reviewer": F.exists("reviewers", lambda x: F.length(F.trim(x)) == 0),
+    })
+
+
+def draft_traceability(drafts: DataFrame) -> DataFrame:
+    """Problems of drafts (draft_id; arrays memory and evidence of the draft, selected claims, available spans, required spans)."""
+    c = F.col
+    return _codes(drafts, "draft_id", {
+        "draft_missing_memory": _none(c("memory")), "draft_missing_evidence": _none(c("evidence")), "draft_unsupported_memory": _lacks(c("memory"), c("selected")),
+        "draft_missing_selected_memory": _lacks(c("selected"), c("memory")), "draft_unsupported_evidence": _lacks(c("evidence"), c("available")),
+        "draft_missing_selected_memory_evidence": _lacks(c("required"), c("evidence")),
+    })
+
+
+def suggested_draft_checks(drafts: DataFrame) -> DataFrame:
+    """Further problems of suggested drafts (also inactive, loose: arrays; scope; disclosed: array or null; n_contradictions).
+
+    ``loose`` are the required spans that are not of their claim's version.
+    """
+    c = F.col
+    return draft_traceability(drafts).union(_codes(drafts, "draft_id", {
+        "draft_inactive_memory": F.size("inactive") > 0, "draft_evidence_binding_invalid": F.size("loose") > 0,
+        "draft_missing_scope": F.length(F.trim(F.coalesce("scope", F.lit("")))) == 0, "draft_missing_uncertainty_section": c("disclosed").isNull(),
+        "draft_omits_contradictions": (c("n_contradictions") > 0) & _none(c("disclosed")),
+    }))
+
+
+def bundle_readiness(bundles: DataFrame, links: DataFrame) -> DataFrame:
+    """ready, skips and warnings of bundles (bundle_id, n_missing, n_claims, n_spans, n_inactive) with their links (bundle_id, reason, strength)."""
+    found = links.groupBy("bundle_id").agg(
+        F.bool_or(F.col("strength") == "strong").alias("strong"), F.bool_or(F.col("strength") == "blocking").alias("blocked"),
+        F.bool_or(F.col("reason") == "contradiction_warning").alias("warned"),
+    )
+    rows = bundles.join(found, "bundle_id", "left").fillna(False, ["strong", "blocked", "warned"])
+    c = F.col
+    codes = {
+        "missing_seed": c("n_missing") > 0, "too_few_claims": c("n_claims") < 2, "too_few_spans": c("n_spans") < 2, "no_strong_link": ~c("strong"),
+        "inactive_claim": c("n_inactive") > 0, "blocking_contradiction": c("blocked"),
+    }
+    skips = F.array_compact(F.array(*[F.when(bad, F.lit(code)) for code, bad in codes.items()]))
+    return rows.select(
+        "bundle_id", (F.size(skips) == 0).alias("ready"), F.array_join(skips, ",").alias("skips"),
+        F.when(c("warned"), F.lit("contradiction_warning")).otherwise(F.lit("")).alias("warnings"),
+    )
+
+
+def evidence_sets(members: DataFrame, claims: DataFrame, spans: DataFrame) -> DataFrame:
+    """Per bundle its claims, the spans they cite, and which of those exist (members: bundle_id, claim_id)."""
+    cited = members.join(claims.select("claim_id", F.explode("evidence").alias("span_id")), "claim_id").select("bundle_id", "span_id").distinct()
+    known = spans.select("span_id").distinct().withColumn("known", F.lit(True))
+    per_span = cited.join(known, "span_id", "left").groupBy("bundle_id").agg(
+        F.array_sort(F.collect_list("span_id")).alias("span_ids"), F.count("known").alias("n_known")
+    )
+    own = members.groupBy("bundle_id").agg(F.array_sort(F.collect_set("claim_id")).alias("claim_ids"))
+    return own.join(per_span, "bundle_id", "left")
+
+
+def create_briefs(drafts: DataFrame, claims: DataFrame, active: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(problems, bindings) of new briefs (brief_id, claim_ids): claims named once, existing, active and with evidence.
+
+    Bindings (brief_id, claim_id, span_id) are made for briefs without a problem.
+    """
+    named = drafts.select("brief_id", F.explode("claim_ids").alias("claim_id"))
+    again = named.groupBy("brief_id", "claim_id").count().where("count > 1").select("brief_id", F.lit("repeated_claim").alias("code"))
+    lost = named.join(claims.select("claim_id"), "claim_id", "left_anti").select("brief_id", F.lit("unknown_claim").alias("code"))
+    known = named.join(claims.select("claim_id", "evidence"), "claim_id")
+    idle = known.join(active.select("claim_id"), "claim_id", "left_anti").select("brief_id", F.lit("inactive_claim").alias("code"))
+    bare = known.where(_none(F.col("evidence"))).select("brief_id", F.lit("claim_without_evidence").alias("code"))
+    problems = again.union(lost).union(idle).union(bare).distinct()
+    good = known.join(problems.select("brief_id").distinct(), "brief_id", "left_anti")
+    return problems, good.select("brief_id", "claim_id", F.explode("evidence").alias("span_id")).distinct()
+
+
+def brief_decisions(log: DataFrame, bindings: DataFrame, active: DataFrame) -> DataFrame:
+    """The last status of each brief (brief_id, decision, ts, event_id); an approval with an inactive support does not count."""
+    idle = bindings.join(active.select("claim_id"), "claim_id", "left_anti").select("brief_id").distinct().withColumn("idle", F.lit(True))
+    rows = log.join(idle, "brief_id", "left").withColumn("blocked", (F.col("decision") == "approved") & F.coalesce("idle", F.lit(False)))
+    return rows.groupBy("brief_id").agg(
+        F.coalesce(F.max_by("decision", F.when(~F.col("blocked"), F.struct("ts", "event_id"))), F.lit("draft")).alias("status"), F.count_if("blocked").alias("n_blocked")
+    )
+
+
+def brief_documents(briefs: DataFrame, bindings: DataFrame, decisions: DataFrame, limit: int = 100) -> DataFrame:
+    """Briefs (brief_id, updated_at) with their claims, spans and decisions nested, the newest first."""
+    support = bindings.groupBy("brief_id").agg(F.array_sort(F.collect_set("claim_id")).alias("claim_ids"), F.array_sort(F.collect_set("span_id")).alias("span_ids"))
+    taken = decisions.groupBy("brief_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "decision"))).alias("decisions"))
+    rows = briefs.join(support, "brief_id", "left").join(taken, "brief_id", "left")
+    return rows.orderBy(F.desc("updated_at"), "brief_id").limit(max(1, min(limit, 100)))
+
+
+def first_sentence(text: Column) -> Column:
+    """Up to the first full stop, question or exclamation mark; else the first 320 characters and a full stop."""
+    plain = F.trim(text)
+    return F.when(plain.rlike("[.!?]"), F.regexp_extract(plain, "^[^.!?]*[.!?]", 0)).otherwise(F.concat(F.substring(plain, 1, 320), F.lit(".")))
+
+
+def brief_reader(briefs: DataFrame, bindings: DataFrame, claims: DataFrame, spans: DataFrame, versions: DataFrame) -> DataFrame:
+    """What a reader sees of each brief (brief_id, problem, proposal): summary, number of sources, risks, dependencies and citations.
+
+    ``claims``: claim_id, statement, claim_type, created_at; ``spans``: span_id, source_version_id, start_char, text;
+    ``versions``: source_version_id, item_id, occurred_at.
+    """
+    kinds = bindings.select("brief_id", "claim_id").distinct().join(claims, "claim_id")
+    said = lambda kind: F.transform(
+        F.array_sort(F.collect_list(F.when(F.col("claim_type") == kind, F.struct("created_at", "claim_id", "statement")))), lambda x: x["statement"]
+    )
+    listed = kinds.groupBy("brief_id").agg(said("risk").alias("risks"), said("dependency").alias("dependencies"))
+    cited = bindings.select("brief_id", "span_id").distinct().join(spans, "span_id").join(versions, "source_version_id")
+    citation = F.struct("occurred_at", "start_char", "span_id", "text")
+    sources = cited.groupBy("brief_id").agg(F.countDistinct("item_id").alias("n_sources"), F.array_sort(F.collect_list(citation)).alias("citations"))
+    summary = F.trim(F.concat_ws(" ", first_sentence(F.col("problem")), first_sentence(F.col("proposal"))))
+    return briefs.withColumn("summary", summary).join(listed, "brief_id", "left").join(sources, "brief_id", "left").fillna(0, ["n_sources"])
+
+
+def brief_versions(existing: DataFrame, generated: DataFrame, edits: DataFrame) -> DataFrame:
+    """New versions of suggested briefs: a generated one once per (cluster_key, cluster_version, intent), then one for each edit.
+
+    ``existing`` and ``generated``: brief_id, cluster_key, cluster_version, intent, draft (a map), at; ``existing`` also version;
+    ``edits``: brief_id, changes (a map), at. An edit changes the draft before it, field by field.
+    """
+    key = ["cluster_key", "cluster_version", "intent"]
+    first = Window.partitionBy(*key).orderBy("at", "brief_id")
+    new = generated.join(existing.select(*key).distinct(), key, "left_anti").withColumn("_n", F.row_number().over(first)).where("_n = 1")
+    none = F.lit(None).cast("int")
+    steps = (
+        existing.select("brief_id", "at", F.col("version").cast("int").alias("version"), "draft")
+        .union(new.select("brief_id", "at", none, "draft")).union(edits.select("brief_id", "at", none, "changes"))
+    )
+    order = Window.partitionBy("brief_id").orderBy("at")
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    fields = F.aggregate(F.collect_list("draft").over(upto), F.create_map().cast("map<string,string>"), lambda a, b: F.map_zip_with(a, b, lambda k, x, y: F.coalesce(y, x)))
+    return steps.withColumn("draft", fields).withColumn("number", F.row_number().over(order)).where("version is null").select(
+        "brief_id", "at", F.col("number").alias("version"), "draft"
+    )
+
+
+def brief_origins(briefs: DataFrame, versions: DataFrame, readiness: DataFrame) -> DataFrame:
+    """Whether a brief has a generated version (brief_id, cluster_key, cluster_version), and why: the last evaluation's first reason.
+
+    ``readiness``: cluster_key, cluster_version, reasons, evaluated_at.
+    """
+    default = F.lit("Generated after an evidence cluster passed its readiness checks.")
+    last = readiness.groupBy("cluster_key", "cluster_version").agg(F.max_by(F.get("reasons", 0), "evaluated_at").alias("reason"))
+    made = versions.join(last, ["cluster_key", "cluster_version"], "left").groupBy("brief_id").agg(
+        F.min_by("reason", F.when(F.length("reason") > 0, F.struct("cluster_key", "cluster_version"))).alias("reason"), F.lit(True).alias("generated")
+    )
+    rows = briefs.join(made, "brief_id", "left")
+    return rows.select("brief_id", F.coalesce("generated", F.lit(False)).alias("generated"), F.when(F.col("generated"), F.coalesce("reason", default)).alias("reason"))
+
+
+def opportunities(readiness: DataFrame, records: DataFrame, drafts: DataFrame, limit: int = 50) -> DataFrame:
+    """Clusters by their score, the best first, with their record and number of drafts (cluster_key in all)."""
+    n = drafts.groupBy("cluster_key").agg(F.count("*").alias("n_drafts"))
+    rows = readiness.join(records, "cluster_key").join(n, "cluster_key", "left").fillna(0, ["n_drafts"])
+    return rows.orderBy(F.desc("score"), "cluster_key").limit(max(1, min(limit, 100)))
+
+
+def cluster_labels(memberships: DataFrame, claims: DataFrame) -> DataFrame:
+    """What the claims of a cluster share: entities and tags that all its core members have, in order.
+
+    ``claims``: claim_id, entities, tags (arrays).
+    """
+    named = memberships.where("role = 'core'").join(claims, "claim_id").select("cluster_key", "claim_id", F.explode(F.array_distinct(F.concat("entities", "tags"))).alias("name"))
+    size = memberships.where("role = 'core'").groupBy("cluster_key").agg(F.count("*").alias("n_core"))
+    shared = named.groupBy("cluster_key", "name").agg(F.count("*").alias("n")).join(size, "cluster_key").where("n = n_core")
+    return shared.groupBy("cluster_key").agg(F.array_join(F.array_sort(F.collect_list("name")), ",").alias("label"))
 
 
 def incremental_targets(claims: DataFrame, processed: DataFrame, limit: int = 500) -> DataFrame:

@@ -556,10 +556,12 @@ def _candidates(spark, d):
     return checkpointed(retrieval.normalize_candidates(every))
 
 
-def _ask(spark, d, iterations=retrieval.ASK["iterations"], tolerance=retrieval.ASK["tolerance"]):
-    """Candidates, snapshot, reset weights and ranks of the questions, by the ask profile."""
+def _ask(spark, d, iterations=retrieval.ASK["iterations"], tolerance=retrieval.ASK["tolerance"], links=None):
+    """Candidates, snapshot, reset weights and ranks of the questions, by the ask profile (with connection edges, if given)."""
     candidates = _candidates(spark, d)
-    nodes, edges = retrieval.graph_snapshot(candidates.select("query_id", "node_id"), graph_edges(spark, d), retrieval.ASK["nodes"], retrieval.ASK["edges"])
+    parts = review.claim_tables(derive.claims(spark, d))
+    every = checkpointed(graph.graph_edges(parts["evidence"], parts["entities"], parts["schemas"], links))
+    nodes, edges = retrieval.graph_snapshot(candidates.select("query_id", "node_id"), every, retrieval.ASK["nodes"], retrieval.ASK["edges"])
     nodes, edges = checkpointed(nodes), checkpointed(edges)
     reset = retrieval.reset_weights(candidates, nodes)
     ranks = retrieval.personalized_pagerank(nodes, edges, reset, iterations, retrieval.ASK["restart"], tolerance)

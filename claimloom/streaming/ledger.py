@@ -102,6 +102,41 @@ def proposal_state(log: DataFrame) -> DataFrame:
     return state.withColumn("decision", F.coalesce("decision", F.lit("pending")))
 
 
+def graph_events(events: DataFrame, schema: str, field: str) -> DataFrame:
+    """The rows of an array in the events' JSON payload (event_id, ts, payload), for the upserts of connections and conflicts."""
+    body = F.from_json("payload", f"{field} array<struct<{schema}>>")
+    return events.select("event_id", "ts", F.inline(body[field]))
+
+
+def stage_status(records: DataFrame, stages: list[str]) -> DataFrame:
+    """Per item the state of every stage by its latest record (item_id, stage, status, ts, event_id), a summary and whether it is over.
+
+    A stage without records waits; the item has failed if a stage has, and is complete if all are.
+    """
+    last = records.where(F.col("stage").isin(*stages)).groupBy("item_id", "stage").agg(F.max_by("status", F.struct("ts", "event_id")).alias("status"))
+    wide = last.groupBy("item_id").agg(*[F.coalesce(F.max(F.when(F.col("stage") == s, F.col("status"))), F.lit("waiting")).alias(s) for s in stages])
+    states = F.array(*stages)
+    summary = (
+        F.when(F.exists(states, lambda x: x == "failed"), F.lit("failed")).when(F.forall(states, lambda x: x == "completed"), F.lit("completed"))
+        .when(F.exists(states, lambda x: x == "running"), F.lit("running")).otherwise(F.lit("waiting"))
+    )
+    return wide.withColumn("summary", summary).withColumn("terminal", F.col("summary").isin("failed", "completed"))
+
+
+def suppressed(events: DataFrame, causes: DataFrame, readiness: DataFrame) -> DataFrame:
+    """Pending events that need no work (event_id, resolution).
+
+    A change of a cluster (subject, version) that a neighbourhood sweep caused is redundant if that version was
+    evaluated already; a pending sweep itself is superseded.
+    """
+    pending = events.where(F.col("status").isin("pending", "processing"))
+    swept = causes.where("cause_type = 'synthesis_neighborhood_dirty'").select("event_id")
+    done = readiness.select(F.col("cluster_key").alias("subject"), "version").distinct()
+    again = pending.where("event_type = 'cluster_changed'").join(swept, "event_id", "left_semi").join(done, ["subject", "version"], "left_semi")
+    sweeps = pending.where("event_type = 'synthesis_neighborhood_dirty' and actor = 'global_synthesis_sweep'")
+    return again.select("event_id", F.lit("redundant").alias("resolution")).union(sweeps.select("event_id", F.lit("superseded")))
+
+
 # Streams ------------------------------------------------------------------------------
 
 
