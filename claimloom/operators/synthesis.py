@@ -219,12 +219,16 @@ def corpus_neighborhood(candidates: DataFrame, limit: int = 500) -> DataFrame:
 
 
 def text_match(seeds: DataFrame, claims: DataFrame, tokens: str = "tokens") -> DataFrame:
-    """Claims that hold all tokens of a seed (unstemmed containment), by an inverted list of tokens."""
-    wanted = seeds.select(F.col("claim_id").alias("seed_id"), F.explode(F.array_distinct(tokens)).alias("token"))
-    need = wanted.groupBy("seed_id").agg(F.count("*").alias("need"))
+    """Claims that hold all tokens of a seed (unstemmed containment): they meet at the seed's rarest token alone."""
     has = claims.select("claim_id", F.explode(F.array_distinct(tokens)).alias("token"))
-    met = wanted.join(has, "token").where("seed_id <> claim_id").groupBy("seed_id", "claim_id").agg(F.count("*").alias("met"))
-    return met.join(need, "seed_id").where("met = need").select("seed_id", "claim_id")
+    wanted = seeds.select(F.col("claim_id").alias("seed_id"), F.array_distinct(tokens).alias("wanted"))
+    common = has.groupBy("token").agg(F.count("*").alias("df"))
+    rarest = wanted.select("seed_id", F.explode("wanted").alias("token")).join(common, "token", "left").groupBy("seed_id").agg(
+        F.min_by("token", F.struct(F.coalesce("df", F.lit(0)).alias("df"), "token")).alias("token")
+    )
+    met = rarest.join(has, "token").where("seed_id <> claim_id").select("seed_id", "claim_id")
+    both = met.join(wanted, "seed_id").join(claims.select("claim_id", F.col(tokens).alias("own")), "claim_id")
+    return both.where(F.size(F.array_except("wanted", "own")) == 0).select("seed_id", "claim_id")
 
 
 def synthesis_context(seeds: DataFrame, connections: DataFrame, limit: int = 200) -> DataFrame:

@@ -172,7 +172,7 @@ def seed_counts(spark, d):
     return retrieval.seed_counts(rows)
 
 
-@query(f"""WITH {V.CLAIMS}, seeds AS (SELECT * FROM claims WHERE doc_id % 100 = 0),
+@query(f"""WITH {V.CLAIMS}, seeds AS (SELECT * FROM claims WHERE doc_id % 20 = 0),
 l AS (SELECT DISTINCT s.claim_id AS seed_id, c.claim_id, 'evidence' AS reason, 3 AS w FROM seeds s JOIN claims c ON s.doc_id = c.doc_id AND s.claim_id <> c.claim_id
   UNION ALL SELECT s.claim_id, c.claim_id, 'entity', 1 FROM seeds s JOIN claims c ON s.source = c.source AND s.claim_id <> c.claim_id),
 r AS (SELECT seed_id, claim_id, sum(w)::BIGINT AS score, row_number() OVER (PARTITION BY seed_id ORDER BY sum(w) DESC, claim_id) AS place FROM l GROUP BY 1, 2)
@@ -182,24 +182,24 @@ def synthesis_bundles(spark, d):
     keyed = rows.select("claim_id", F.lit("evidence").alias("reason"), F.col("doc_id").cast("string").alias("key"), F.lit("strong").alias("strength")).union(
         rows.select("claim_id", F.lit("entity"), "source", F.lit("weak"))
     )
-    found = synthesis.synthesis_bundle(synthesis.synthesis_links(rows.where("doc_id % 100 = 0"), keyed))
+    found = synthesis.synthesis_bundle(synthesis.synthesis_links(rows.where("doc_id % 20 = 0"), keyed))
     return found.select("seed_id", "claim_id", F.col("score").cast("long").alias("score"))
 
 
-@query(f"""WITH {V.CLAIMS}, t AS (SELECT claim_id, doc_id, {V.TOKENS.format("substr(statement, 1, 40)")} AS w, {V.TOKENS.format('statement')} AS k FROM claims)
+@query(f"""WITH {V.CLAIMS}, t AS (SELECT claim_id, doc_id, {V.TOKENS.format("statement")} AS w, {V.TOKENS.format('statement')} AS k FROM claims)
 SELECT a.claim_id AS seed_id, b.claim_id FROM t a JOIN t b ON a.claim_id <> b.claim_id AND a.doc_id % 20 = 0 AND len(a.w) > 0 AND len(list_intersect(a.w, b.k)) = len(a.w)""")
 def text_matches(spark, d):
     rows = derive.claims(spark, d).select("claim_id", "doc_id", "statement")
-    seeds = rows.where("doc_id % 20 = 0").select("claim_id", T.connection_tokens(F.substring("statement", 1, 40)).alias("tokens"))
+    seeds = rows.where("doc_id % 20 = 0").select("claim_id", T.connection_tokens(F.col("statement")).alias("tokens"))
     return synthesis.text_match(seeds, rows.select("claim_id", T.connection_tokens(F.col("statement")).alias("tokens")))
 
 
-@query(f"""WITH {V.CLAIMS}, c AS (SELECT claim_id, 0 AS priority, doc_id AS created FROM claims WHERE doc_id % 50 = 0 UNION ALL SELECT claim_id, 2, doc_id FROM claims WHERE source = 'src3' UNION ALL SELECT claim_id, 4, doc_id FROM claims)
+@query(f"""WITH {V.CLAIMS}, c AS (SELECT claim_id, 0 AS priority, doc_id AS created FROM claims WHERE doc_id % 20 = 0 UNION ALL SELECT claim_id, 2, doc_id FROM claims WHERE source = 'src3' UNION ALL SELECT claim_id, 4, doc_id FROM claims)
 SELECT claim_id, priority::BIGINT AS priority FROM (SELECT claim_id, min(priority) AS priority, max(created) AS created FROM c GROUP BY 1) ORDER BY 2, created DESC, claim_id LIMIT 500""")
 def corpus_neighborhoods(spark, d):
     rows = derive.claims(spark, d)
     pick = lambda df, p: df.select("claim_id", F.lit(p).alias("priority"), F.col("doc_id").alias("created"))
-    every = pick(rows.where("doc_id % 50 = 0"), 0).union(pick(rows.where("source = 'src3'"), 2)).union(pick(rows, 4))
+    every = pick(rows.where("doc_id % 20 = 0"), 0).union(pick(rows.where("source = 'src3'"), 2)).union(pick(rows, 4))
     return synthesis.corpus_neighborhood(every).select("claim_id", F.col("priority").cast("long").alias("priority"))
 
 

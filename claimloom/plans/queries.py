@@ -151,7 +151,13 @@ def _files(spark, d):
     )
 
 
-@query()
+@query("""
+WITH RECURSIVE f AS (SELECT o_custkey AS message_id, o_orderkey::VARCHAR AS file_id, o_orderkey % 5 < 4 AND o_orderkey % 5 <> 2 AS known, floor(o_totalprice * 40)::BIGINT AS size, o_orderkey % 7 <> 0 AS url, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i FROM orders),
+walk AS (
+  SELECT DISTINCT message_id, 0::BIGINT AS i, 0::BIGINT AS n, 0::BIGINT AS bytes, NULL::VARCHAR AS file_id, NULL::VARCHAR AS verdict FROM f
+  UNION ALL SELECT w.message_id, f.i, w.n + (v.verdict = 'supported')::BIGINT, w.bytes + f.size * (v.verdict = 'supported')::BIGINT, f.file_id, v.verdict FROM walk w JOIN f ON f.message_id = w.message_id AND f.i = w.i + 1,
+    LATERAL (SELECT CASE WHEN NOT f.known THEN 'unsupported_media' WHEN w.n >= 5 THEN 'attachment_limit' WHEN f.size > 10485760 OR w.bytes + f.size > 26214400 THEN 'size_limit' WHEN NOT f.url THEN 'missing_download_url' ELSE 'supported' END AS verdict) v
+) SELECT message_id, file_id, verdict FROM walk WHERE i > 0""")
 def route_attachments(spark, d):
     return evidence.route_attachments(_files(spark, d))
 
@@ -182,14 +188,34 @@ def nearby_messages(spark, d):
     return found.withColumn("place", F.col("place").cast("long"))
 
 
-@query()
+@query("""
+WITH RECURSIVE m AS (SELECT user_id AS thread_id, event_id AS ts, floor(value)::BIGINT * 9 AS chars, event_id IN (min(event_id) OVER w, max(event_id) OVER w) AS must, count(*) OVER w AS n_all, sum(floor(value)::BIGINT * 9) OVER w AS chars_all FROM events WINDOW w AS (PARTITION BY user_id)),
+rest AS (SELECT *, row_number() OVER (PARTITION BY thread_id ORDER BY ts) AS i FROM m WHERE NOT must),
+seed AS (SELECT thread_id, count(*) AS n_must, sum(chars) AS chars, list(ts) AS kept FROM m WHERE must GROUP BY 1),
+early AS (
+  SELECT thread_id, 0::BIGINT AS i, n_must AS n, chars::BIGINT AS chars, 0::BIGINT AS added, kept, (50 - n_must) // 2 AS most FROM seed
+  UNION ALL SELECT e.thread_id, r.i, e.n + f.fits::BIGINT, e.chars + r.chars * f.fits::BIGINT, e.added + f.fits::BIGINT, CASE WHEN f.fits THEN list_append(e.kept, r.ts) ELSE e.kept END, e.most
+  FROM early e JOIN rest r ON r.thread_id = e.thread_id AND r.i = e.i + 1, LATERAL (SELECT e.n < 50 AND e.chars + r.chars <= 40000 AND e.added < e.most AS fits) f
+), first AS (SELECT thread_id, arg_max(n, i) AS n, arg_max(chars, i) AS chars, arg_max(kept, i) AS kept FROM early GROUP BY 1),
+left_ AS (SELECT r.*, row_number() OVER (PARTITION BY thread_id ORDER BY ts DESC) AS j FROM rest r JOIN first USING (thread_id) WHERE NOT list_contains(first.kept, ts)),
+late AS (
+  SELECT thread_id, 0::BIGINT AS j, n, chars, kept FROM first
+  UNION ALL SELECT e.thread_id, r.j, e.n + f.fits::BIGINT, e.chars + r.chars * f.fits::BIGINT, CASE WHEN f.fits THEN list_append(e.kept, r.ts) ELSE e.kept END
+  FROM late e JOIN left_ r ON r.thread_id = e.thread_id AND r.j = e.j + 1, LATERAL (SELECT e.n < 50 AND e.chars + r.chars <= 40000 AS fits) f
+), final AS (SELECT thread_id, arg_max(n, j) AS n, arg_max(chars, j) AS chars, arg_max(kept, j) AS kept FROM late GROUP BY 1),
+size AS (SELECT thread_id, any_value(n_all) AS n_all, any_value(chars_all)::BIGINT AS chars_all, list(ts ORDER BY ts) AS every FROM m GROUP BY 1)
+SELECT thread_id, n_all > 50 OR chars_all > 40000 AS truncated, n_all AS n_messages, CASE WHEN n_all > 50 OR chars_all > 40000 THEN n ELSE n_all END AS n_retained, CASE WHEN n_all > 50 OR chars_all > 40000 THEN chars ELSE chars_all END AS chars_retained,
+  array_to_string(CASE WHEN n_all > 50 OR chars_all > 40000 THEN list_sort(kept) ELSE every END, ',') AS retained FROM size JOIN final USING (thread_id)""")
 def bounded_threads(spark, d):
-    rows = table(spark, d, "conversations")
-    last = Window.partitionBy("conv_id")
-    role = F.when(F.col("turn") == F.min("turn").over(last), F.lit("root")).when(F.col("turn") == F.max("turn").over(last), F.lit("selected")).otherwise(F.lit("other"))
-    messages = rows.select(F.col("conv_id").alias("thread_id"), F.col("turn").alias("ts"), F.coalesce("text", F.lit("")).alias("content"), role.alias("role"))
-    found = context.bound_thread(messages, max_messages=6, max_chars=2000)
-    return found.withColumns({c: F.array_join(F.col(c).cast("array<string>"), ",") for c in ("retained", "omitted")})
+    """Users' events as threads of more messages and characters than fit."""
+    rows = table(spark, d, "events")
+    own = Window.partitionBy("user_id")
+    role = F.when(F.col("event_id") == F.min("event_id").over(own), F.lit("root")).when(F.col("event_id") == F.max("event_id").over(own), F.lit("selected")).otherwise(F.lit("other"))
+    content = F.repeat(F.lit("nine char"), F.floor("value").cast("int"))
+    found = context.bound_thread(rows.select(F.col("user_id").alias("thread_id"), F.col("event_id").alias("ts"), content.alias("content"), role.alias("role")))
+    return found.select(
+        "thread_id", "truncated", *[F.col(c).cast("long").alias(c) for c in ("n_messages", "n_retained", "chars_retained")], F.array_join(F.col("retained").cast("array<string>"), ",").alias("retained")
+    )
 
 
 @query("""
@@ -281,14 +307,16 @@ def section_splits(spark, d):
     return found.select("source_version_id", F.col("split_at").cast("long").alias("split_at"))
 
 
-@query()
+@query(f"""WITH {V.CLAIMS}, n AS (SELECT lang AS scope, doc_id, part, evidence, doc_id % 2 = 0 AS review, trim(regexp_replace(nfc_normalize(lower(statement)), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) AS norm FROM claims),
+e AS (SELECT scope, norm, count(DISTINCT span) AS spans FROM (SELECT scope, norm, unnest(evidence) AS span FROM n) GROUP BY 1, 2)
+SELECT scope, sha256(norm) AS norm_sha256, least(12, any_value(spans))::BIGINT AS n_evidence, bool_and(review) AS review_required, count(*) - 1 AS n_duplicates FROM n JOIN e USING (scope, norm) GROUP BY scope, norm""")
 def consolidated_claims(spark, d):
     rows = derive.claims(spark, d).select(
         F.col("lang").alias("scope"), F.col("doc_id").alias("ordinal"), "statement", F.lit("verified").alias("verification"), "epistemic", "evidence",
         (F.col("doc_id") % 2 == 0).alias("review_required"),
     )
     found = sections.consolidate(rows)
-    return found.select("scope", F.sha2("norm", 256).alias("norm_sha256"), F.size("evidence").alias("n_evidence"), "review_required", "n_duplicates")
+    return found.select("scope", F.sha2("norm", 256).alias("norm_sha256"), F.size("evidence").cast("long").alias("n_evidence"), "review_required", "n_duplicates")
 
 
 # D: validation ----------------------------------------------------------------------------
@@ -328,7 +356,7 @@ def routed_candidates(spark, d):
 
 @query("""
 WITH e AS (SELECT doc_id, i, w, trim(regexp_replace(lower(w), '[^a-z0-9]+', ' ', 'g')) AS label FROM (
-  SELECT doc_id, unnest(string_split(text, ' ')[1:8]) AS w, generate_subscripts(string_split(text, ' ')[1:8], 1) AS i FROM documents))
+  SELECT doc_id, unnest(string_split(text, ' ')) AS w, generate_subscripts(string_split(text, ' '), 1) AS i FROM documents))
 SELECT doc_id::VARCHAR AS claim_id, label FROM e WHERE trim(w) <> '' AND label <> '' AND len(list_filter(string_split(label, ' '), lambda t: NOT list_contains(
  ['a','an','and','any','are','be','but','four','here','in','it','many','no','of','one','or','some','that','the','there','this','three','to','two','yes'], t))) > 0
  AND NOT (len(string_split(label, ' ')) = 1 AND (length(label) <= 1 OR (length(label) <= 3 AND NOT list_contains(['api','rpc','sdk','ux','ui','usdc','usdt','defi'], label))))
@@ -421,7 +449,15 @@ def claim_connections(spark, d):
     return graph.connections(_graph_claims(spark, d)).select("from_id", "to_id", "connection_type", "confidence")
 
 
-@query()
+_WORDS = lambda values: "[" + ", ".join(f"'{v}'" for v in values) + "]"
+
+
+@query(f"""WITH {V.CLAIMS}, s AS (SELECT claim_id, claim_type, doc_id, statement || CASE WHEN doc_id % 2 = 0 THEN ' approved' ELSE ' blocked' END AS statement FROM claims),
+f AS (SELECT claim_id, claim_type, {V.NORM_WORDS.format('statement')} AS t, {V.TOKENS.format('statement')} AS k FROM s), g AS (SELECT *, len(list_intersect(k, {_WORDS(T.POSITIVE)})) > 0 AS up, len(list_intersect(k, {_WORDS(T.NEGATIVE)})) > 0 AS down FROM f),
+p AS (SELECT a.claim_id AS left_id, b.claim_id AS right_id, [a.claim_type, b.claim_type] AS types, a.t || ' | ' || b.t AS said FROM g a JOIN g b ON a.claim_id < b.claim_id AND ((a.up AND b.down) OR (a.down AND b.up)) WHERE {V.JACCARD.format('a.k', 'b.k')} >= 0.35),
+c AS (SELECT left_id, right_id, CASE WHEN list_contains(types, 'reported_decision') OR contains(said, 'approved') OR contains(said, 'rejected') THEN 'decision' WHEN list_contains(types, 'ownership_statement') OR contains(said, 'owner') OR contains(said, 'owned') THEN 'ownership'
+  WHEN list_contains(types, 'dependency') OR contains(said, 'blocked') THEN 'dependency' WHEN list_contains(types, 'metric') THEN 'metric_definition' WHEN list_contains(types, 'scope_statement') THEN 'scope' ELSE 'mutual' END AS conflict_type FROM p)
+SELECT left_id, right_id, conflict_type, CASE WHEN conflict_type IN ('decision', 'ownership', 'dependency') THEN 'blocking' ELSE 'warning' END AS severity FROM c""")
 def claim_conflicts(spark, d):
     rows = _graph_claims(spark, d).withColumn(
         "statement", F.concat("statement", F.when(F.col("doc_id") % 2 == 0, F.lit(" approved")).otherwise(F.lit(" blocked")))
@@ -714,29 +750,59 @@ def opportunity_scores(spark, d):
     return rounded(found, "cohesion", "evidence_breadth", "actionability", "duplication")
 
 
-@query()
+_OPPORTUNITY = f"""{_KEYS}, {_CONNECTIONS}, facts AS (
+  SELECT cluster_key, count(*) AS n, sum(score) AS ms, sum(len(evidence)) AS ne, count(DISTINCT doc_id) AS ns,
+    count(*) FILTER (claim_type IN ('risk','dependency','constraint','reported_decision','scope_statement','ownership_statement')) AS na,
+    count(*) FILTER (claim_type IN ('strategic_statement','reported_decision','metric')) AS st FROM memberships JOIN claims USING (claim_id) GROUP BY 1
+), inside AS (
+  SELECT a.cluster_key, count(*) AS nl, sum(confidence) AS ls, count(*) FILTER (connection_type = 'duplicates') AS nd
+  FROM connections JOIN memberships a ON a.claim_id = from_id JOIN memberships b ON b.claim_id = to_id AND a.cluster_key = b.cluster_key GROUP BY 1
+), scored AS (SELECT cluster_key, n, greatest(0, least(100, ((least(1, (coalesce(ls, 0) + ms) / greatest(1, coalesce(nl, 0) + n)) * 0.2 + least(1, ne / 8) * 0.14 + 0.65 * 0.1 + least(1, ns / 4) * 0.1
+    + least(1, na / greatest(2, n * 0.6)) * 0.14 + least(1, st / greatest(1, n * 0.5)) * 0.08 + least(1, n / 6) * 0.1 + 0.05
+    + least(1, least(n / 4, ne / 6) * CASE WHEN na > 0 THEN 1.0 ELSE 0.6 END) * 0.08) / 1.05 - least(1, coalesce(nd, 0) / n) * 0.05) * 100)) AS score FROM facts LEFT JOIN inside USING (cluster_key))"""
+
+
+@query(f"""WITH {V.CLAIMS}, {_OPPORTUNITY}, done AS (SELECT claim_id, CASE WHEN doc_id % 50 = 7 THEN 3 ELSE 4 END AS done FROM claims), missing AS (SELECT cluster_key, sum(4 - done) AS n_missing FROM memberships JOIN done USING (claim_id) GROUP BY 1)
+SELECT cluster_key, CASE WHEN n_missing > 0 THEN 'pending_enrichment' WHEN n < 2 OR round(score, 6) < 62 OR cluster_key LIKE 'topic:a%' THEN 'not_ready' ELSE 'ready' END AS state, n_missing::BIGINT AS n_missing FROM scored JOIN missing USING (cluster_key)""")
 def cluster_readiness(spark, d):
-    facets = derive.claims(spark, d).where("doc_id % 3 <> 0").select("claim_id", F.explode(T.words_array(synthesis.FACETS)).alias("facet"))
-    found = synthesis.cluster_readiness(_scored(spark, d), _memberships(spark, d), facets)
-    return found.select("cluster_key", "state", "n_missing")
+    """Documents 7 of every 50 lack one facet; topics that begin with a are blocked."""
+    facets = derive.claims(spark, d).select("claim_id", "doc_id", F.explode(T.words_array(synthesis.FACETS)).alias("facet")).where("not (doc_id % 50 = 7 and facet = 'graph')")
+    memberships = checkpointed(_memberships(spark, d))
+    scored = _scored(spark, d).withColumn("score", F.round("score", 6))
+    found = synthesis.cluster_readiness(scored, memberships, facets, memberships.where("cluster_key like 'topic:a%'"))
+    return found.select("cluster_key", "state", F.col("n_missing").cast("long").alias("n_missing"))
 
 
-@query()
+def _dossier_sql(rounds: int) -> str:
+    """The greedy choice, one claim of each cluster a round."""
+    parts = ["p0 AS (SELECT DISTINCT cluster_key, 0::BIGINT AS chars, 0::BIGINT AS place, NULL::VARCHAR AS claim_id FROM ranked_members)"]
+    for i in range(1, rounds + 1):
+        parts.append(f"""p{i} AS (SELECT cluster_key, chars, place, claim_id FROM (SELECT m.cluster_key, p.chars + m.cost AS chars, m.place, m.claim_id, row_number() OVER (PARTITION BY m.cluster_key ORDER BY m.place) AS n
+    FROM p{i - 1} p JOIN ranked_members m ON m.cluster_key = p.cluster_key AND m.place > p.place AND p.chars + m.cost <= 30000) WHERE n = 1)""")
+    return ", ".join(parts)
+
+
+@query(f"""WITH {V.CLAIMS}, {_KEYS}, cost AS (SELECT claim_id, length(any_value(statement)) + sum(length(text)) AS cost FROM (SELECT claim_id, statement, unnest(evidence) AS span_id FROM claims) JOIN spans USING (span_id) GROUP BY 1),
+ranked_members AS (SELECT cluster_key, claim_id, cost::BIGINT AS cost, row_number() OVER (PARTITION BY cluster_key ORDER BY score DESC, claim_id) AS place FROM memberships JOIN cost USING (claim_id)), {_dossier_sql(16)}
+SELECT cluster_key, max(chars) OVER (PARTITION BY cluster_key) AS n_chars, position, claim_id FROM ({' UNION ALL '.join(f'SELECT *, {i - 1}::BIGINT AS position FROM p{i}' for i in range(1, 17))})""")
 def cluster_dossiers(spark, d):
-    cost = derive.claims(spark, d).select("claim_id", (F.length("statement") * 2).cast("long").alias("cost"))
+    """A claim costs the characters of its statement and of its evidence."""
+    rows = checkpointed(derive.claims(spark, d))
+    texts = derive.claim_evidence(rows).join(derive.spans(spark, d).select("span_id", F.length("text").alias("chars")), "span_id")
+    cost = texts.groupBy("claim_id").agg(F.sum("chars").alias("chars")).join(rows, "claim_id").select("claim_id", (F.col("chars") + F.length("statement")).cast("long").alias("cost"))
     found = synthesis.cluster_dossier(_memberships(spark, d), cost)
-    return found
+    return found.withColumn("position", F.col("position").cast("long"))
 
 
 @query(f"""WITH {V.CLAIMS}, {_CONNECTIONS}, links AS (SELECT from_id, to_id, confidence FROM connections UNION ALL SELECT to_id, from_id, confidence FROM connections),
-h0 AS (SELECT claim_id, 10.0::DOUBLE AS score, 0 AS hop FROM claims WHERE doc_id % 50 = 0),
+h0 AS (SELECT claim_id, 10.0::DOUBLE AS score, 0 AS hop FROM claims WHERE doc_id % 20 = 0),
 h1 AS (SELECT to_id AS claim_id, max(score * confidence) AS score, 1 AS hop FROM h0 JOIN links ON from_id = claim_id GROUP BY 1),
 h2 AS (SELECT to_id AS claim_id, max(score * confidence) AS score, 2 AS hop FROM h1 JOIN links ON from_id = claim_id GROUP BY 1),
 best AS (SELECT claim_id, min(hop) AS hop, max(score) AS score FROM (SELECT * FROM h0 UNION ALL SELECT * FROM h1 UNION ALL SELECT * FROM h2) GROUP BY 1)
 SELECT claim_id, hop::BIGINT AS hop, round(score, 6) AS score FROM best ORDER BY (hop > 0)::INT, best.score DESC, claim_id LIMIT 200""")
 def synthesis_contexts(spark, d):
     rows = _graph_claims(spark, d)
-    found = synthesis.synthesis_context(rows.where("doc_id % 50 = 0"), graph.connections(rows))
+    found = synthesis.synthesis_context(rows.where("doc_id % 20 = 0"), graph.connections(rows))
     return rounded(found.select("claim_id", F.col("hop").cast("long").alias("hop"), "score"), "score")
 
 
