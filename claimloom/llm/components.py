@@ -3,7 +3,8 @@
 Every round replaces a node's links by links to the least node it knows; after few rounds
 (logarithmic in the longest chain) each node links to its component's least node. Rounds are
 joins and aggregations over the edge table; it is cut through the shared checkpoint
-folder after each, and only a row count and a sum of hashes reach the driver.
+folder after each, and only a row count and a sum of hashes reach the driver. Joins are sort-merge joins at every
+size, so that many rounds leave no broadcast tables in the driver.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ def _with_least(links: DataFrame) -> DataFrame:
     least = links.groupBy("x").agg(F.min("y").alias("least"))
     least = least.select("x", F.least("x", "least").alias("least"),
                          F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    return links.withColumn("salt", F.pmod(F.xxhash64("y"), F.lit(SALTS)).cast("int")).join(least, ["x", "salt"])
+    return links.withColumn("salt", F.pmod(F.xxhash64("y"), F.lit(SALTS)).cast("int")).join(least.hint("merge"), ["x", "salt"])
 
 
 def _both(edges: DataFrame) -> DataFrame:
