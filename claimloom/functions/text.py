@@ -24,6 +24,12 @@ POSITIVE = ["approved", "clear", "ready", "unblocked", "owned", "included", "ena
 NEGATIVE = ["not", "no", "blocked", "unresolved", "unclear", "rejected", "excluded", "disabled", "delayed"]
 SYSTEM_SUBTYPES = ["channel_archive", "channel_join", "channel_leave", "channel_name", "channel_purpose", "channel_topic",
                    "group_archive", "group_join", "group_leave", "message_deleted", "tombstone"]
+# Patterns of secrets (A19), of headings and of what titles lose (C4, C5), of blocks of a page (A5).
+SECRET_BEARER = "(?i)(bearer\\s+)[^\\s\"']+"
+SECRET_PARAMETER = "(?i)([?&](?:key|token|secret|password)=)[^&\\s]+"
+SECRET_KEY = "\\b(?:sk|pk|eyJ)[A-Za-z0-9._-]{16,}\\b"
+HEADING_MARK, HEADING_LINE, TITLE_MARK = "^#{1,6}\\s", "^[A-Z][^.!?]{0,100}:?$", "^#{1,6}\\s*"
+PAGE_BLOCK = "(?is)<(?:p|h[1-6]|li|blockquote|td|th)(?:\\s[^>]*)?>(.*?)</(?:p|h[1-6]|li|blockquote|td|th)>"
 
 
 def words_array(values) -> Column:
@@ -109,20 +115,19 @@ def merged_identities(found: Column, known: Column) -> Column:
 
 def redact_secrets(text: Column) -> Column:
     """Bearer tokens, secret query parameters and keys replaced; at most 1000 characters."""
-    out = F.regexp_replace(text, "(?i)(bearer\\s+)[^\\s\"']+", "$1[redacted]")
-    out = F.regexp_replace(out, "(?i)([?&](?:key|token|secret|password)=)[^&\\s]+", "$1[redacted]")
-    return F.substring(F.regexp_replace(out, "\\b(?:sk|pk|eyJ)[A-Za-z0-9._-]{16,}\\b", "[redacted]"), 1, 1000)
+    out = F.regexp_replace(F.regexp_replace(text, SECRET_BEARER, "$1[redacted]"), SECRET_PARAMETER, "$1[redacted]")
+    return F.substring(F.regexp_replace(out, SECRET_KEY, "[redacted]"), 1, 1000)
 
 
 def is_likely_heading(text: Column) -> Column:
     plain = trim_space(text)
     return (F.length(plain) <= 120) & (
-        plain.rlike("^#{1,6}\\s") | plain.rlike("^[A-Z][^.!?]{0,100}:?$")
+        plain.rlike(HEADING_MARK) | plain.rlike(HEADING_LINE)
     )
 
 
 def section_title(text: Column, ordinal: Column) -> Column:
-    compact = trim_space(F.regexp_replace(F.regexp_replace(text, "^#{1,6}\\s*", ""), "(?U)\\s+", " "))
+    compact = trim_space(F.regexp_replace(F.regexp_replace(text, TITLE_MARK, ""), "(?U)\\s+", " "))
     return F.when(
         (F.length(compact) > 0) & (F.length(compact) <= 100), F.regexp_replace(compact, ":$", "")
     ).otherwise(F.concat(F.lit("Section "), ordinal.cast("string")))

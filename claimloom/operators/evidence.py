@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimloom.functions.text import attachment_kind, content_hash, normalize_text, trim_space
+from claimloom.functions.text import PAGE_BLOCK, attachment_kind, content_hash, normalize_text, trim_space
 
 MAX_SPAN_CHARS, MIN_SPAN_CHARS = 2000, 200
 MAX_DOCUMENT_CHARS = 200_000
@@ -115,10 +115,11 @@ def structured_document(blocks: DataFrame) -> DataFrame:
 
 
 def html_blocks(pages: DataFrame, html: str = "html") -> DataFrame:
-    """Text of p, h1-h6, li, blockquote, td and th elements, tags stripped, entities decoded."""
-    found = F.regexp_extract_all(
-        F.col(html), F.lit("(?is)<(p|h[1-6]|li|blockquote|td|th)(?:\\s[^>]*)?>(.*?)</\\1>"), F.lit(2)
-    )
+    """Text of p, h1-h6, li, blockquote, td and th elements, tags stripped, entities decoded.
+
+    A block ends at the next end tag of any of these, so of nested ones the inner end counts.
+    """
+    found = F.regexp_extract_all(F.col(html), F.lit(PAGE_BLOCK), F.lit(1))
     rows = pages.select(*[c for c in pages.columns if c != html], F.posexplode(found).alias("block", "raw"))
     text = F.regexp_replace(F.regexp_replace("raw", "(?i)<br\\s*/?>", "\n"), "<[^>]+>", "")
     for name, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):

@@ -78,14 +78,17 @@ def structured_documents(spark, d):
     return found.select(F.col("document_id").alias("conv_id"), F.col("block").alias("turn"), "start_char", "lines_before", "rejected")
 
 
-@query("""
-SELECT page_id, count(*)::BIGINT AS n_blocks FROM (
-  SELECT page_id, unnest(regexp_extract_all(html, '(?is)<(?:p|h[1-6]|li|blockquote|td|th)(?:\\s[^>]*)?>(.*?)</(?:p|h[1-6]|li|blockquote|td|th)>', 1)) AS raw FROM pages
-) WHERE length(trim(regexp_replace(raw, '<[^>]+>', '', 'g'))) > 0 GROUP BY page_id
+@query(r"""
+WITH b AS (SELECT page_id, unnest(raws) AS raw, generate_subscripts(raws, 1) AS i FROM (SELECT page_id, regexp_extract_all(html, '(?is)<(?:p|h[1-6]|li|blockquote|td|th)(?:\s[^>]*)?>(.*?)</(?:p|h[1-6]|li|blockquote|td|th)>', 1) AS raws FROM pages)),
+t AS (SELECT page_id, i, regexp_replace(regexp_replace(raw, '(?i)<br\s*/?>', chr(10), 'g'), '<[^>]+>', '', 'g') AS x FROM b),
+d AS (SELECT page_id, i, regexp_replace(replace(replace(replace(replace(replace(replace(x, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&'), '^\s+|\s+$', '', 'g') AS x FROM t)
+SELECT page_id, count(*)::BIGINT AS n_blocks, sha256(string_agg(x, chr(10) || chr(10) ORDER BY i)) AS texts_sha256 FROM d WHERE length(x) > 0 GROUP BY page_id
 """)
 def html_blocks(spark, d):
     found = evidence.html_blocks(table(spark, d, "pages").select("page_id", "html"))
-    return found.groupBy("page_id").agg(F.count("*").alias("n_blocks"))
+    listed = F.array_sort(F.collect_list(F.struct("block", "text")))
+    texts = F.array_join(F.transform(listed, lambda x: x["text"]), "\n\n")
+    return found.groupBy("page_id").agg(F.count("*").alias("n_blocks"), F.sha2(texts, 256).alias("texts_sha256"))
 
 
 @query("SELECT doc_id, length(regexp_replace(text, '[^\\p{L}\\p{N}]', '', 'g'))::BIGINT AS n_letters FROM documents WHERE length(regexp_replace(text, '[^\\p{L}\\p{N}]', '', 'g')) >= 20")
