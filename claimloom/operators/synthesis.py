@@ -87,20 +87,28 @@ def cluster_records(memberships: DataFrame) -> DataFrame:
     ).select("*", F.sha2(F.concat_ws("|", "cluster_key", "membership_mark"), 256).alias("version"))
 
 
-def changed_clusters(new: DataFrame, old: DataFrame) -> DataFrame:
-    """cluster_key and change: new, changed, unchanged or superseded."""
+def changed_clusters(new: DataFrame, old: DataFrame, forced: DataFrame | None = None) -> DataFrame:
+    """cluster_key and change: new, changed, unchanged or superseded; ``forced`` clusters (cluster_key) count as changed."""
     rows = new.select("cluster_key", "version").join(old.select("cluster_key", F.col("version").alias("before")), "cluster_key", "full")
     change = (
         F.when(F.col("before").isNull(), F.lit("new")).when(F.col("version").isNull(), F.lit("superseded"))
         .when(F.col("version") != F.col("before"), F.lit("changed")).otherwise(F.lit("unchanged"))
     )
-    return rows.select("cluster_key", change.alias("change"))
+    if forced is None:
+        return rows.select("cluster_key", change.alias("change"))
+    rows = rows.join(forced.select("cluster_key").distinct().withColumn("_forced", F.lit(True)), "cluster_key", "left").withColumn("change", change)
+    return rows.select("cluster_key", F.when((F.col("change") == "unchanged") & F.col("_forced"), F.lit("changed")).otherwise(F.col("change")).alias("change"))
 
 
-def opportunity_breakdown(memberships: DataFrame, claims: DataFrame, connections: DataFrame, conflict_counts: DataFrame | None = None) -> DataFrame:
-    """The components of each cluster's score.
+def opportunity_breakdown(
+    memberships: DataFrame, claims: DataFrame, connections: DataFrame, conflict_counts: DataFrame | None = None, urgent: DataFrame | None = None,
+    signals: DataFrame | None = None, briefed: DataFrame | None = None, as_of: str | None = None,
+) -> DataFrame:
+    """The fourteen components of each cluster's score.
 
     ``claims``: claim_id, doc_id, n_evidence, claim_type, confirmed; ``connections``: from_id, to_id, confidence, connection_type.
+    ``urgent`` claims (claim_id) have a deadline; ``signals`` (claim_id, at: timestamp) age against ``as_of``; ``briefed`` clusters
+    (cluster_key) have an equivalent brief.
     """
     facts = memberships.join(claims, "claim_id").groupBy("cluster_key").agg(
         F.count("*").alias("n"), F.sum("score").alias("member_score"), F.sum("n_evidence").alias("n_evidence"),
@@ -118,7 +126,13 @@ def opportunity_breakdown(memberships: DataFrame, claims: DataFrame, connections
     )
     rows = facts.join(inside, "cluster_key", "left")
     rows = rows.join(conflict_counts, "cluster_key", "left") if conflict_counts is not None else rows.withColumn("n_conflicts", F.lit(0))
-    rows = rows.fillna(0, ["n_links", "link_score", "n_duplicates", "n_conflicts"])
+    own = lambda df: memberships.select("cluster_key", "claim_id").join(df, "claim_id").groupBy("cluster_key")
+    rows = rows.join(own(urgent.select("claim_id").distinct()).agg(F.count("*").alias("n_urgent")), "cluster_key", "left") if urgent is not None else rows.withColumn("n_urgent", F.lit(0))
+    age = F.greatest(F.lit(0.0), (F.unix_timestamp(F.lit(as_of).cast("timestamp")) - F.unix_timestamp("newest")) / 86_400)
+    rows = rows.join(own(signals).agg(F.max("at").alias("newest")), "cluster_key", "left") if signals is not None else rows.withColumn("newest", F.lit(None).cast("timestamp"))
+    rows = rows.withColumn("age", age)
+    rows = rows.join(briefed.select("cluster_key").distinct().withColumn("briefed", F.lit(True)), "cluster_key", "left") if briefed is not None else rows.withColumn("briefed", F.lit(None).cast("boolean"))
+    rows = rows.fillna(0, ["n_links", "link_score", "n_duplicates", "n_conflicts", "n_urgent"])
     c = F.col
     return rows.select(
         "cluster_key", "n",
@@ -128,12 +142,12 @@ def opportunity_breakdown(memberships: DataFrame, claims: DataFrame, connections
         clamp01(c("n_sources") / 4).alias("source_diversity"),
         clamp01(c("n_actionable") / F.greatest(F.lit(2.0), c("n") * 0.6)).alias("actionability"),
         clamp01(c("n_strategic") / F.greatest(F.lit(1.0), c("n") * 0.5)).alias("strategic_importance"),
-        clamp01(c("n") / 6).alias("recent_momentum"),
-        F.lit(0.0).alias("urgency"), F.lit(1.0).alias("novelty"),
+        (clamp01(c("n") / 6) * F.coalesce(clamp01(1 - c("age") / 180), F.lit(1.0))).alias("recent_momentum"),
+        clamp01(c("n_urgent") / F.greatest(F.lit(1.0), c("n") * 0.4)).alias("urgency"), F.when(c("briefed"), 0.2).otherwise(1.0).alias("novelty"),
         clamp01(F.least(c("n") / 4, c("n_evidence") / 6) * F.when(c("n_actionable") > 0, 1.0).otherwise(0.6)).alias("completeness"),
         F.least(F.lit(1.0), c("n_conflicts") / c("n")).alias("contradiction"),
         clamp01(c("n_duplicates") / c("n")).alias("duplication"),
-        F.lit(0.0).alias("staleness"), F.lit(0.0).alias("existing_brief"),
+        F.coalesce(clamp01((c("age") - 90) / 275), F.lit(0.0)).alias("staleness"), F.when(c("briefed"), 1.0).otherwise(0.0).alias("existing_brief"),
     )
 
 
@@ -202,6 +216,46 @@ def synthesis_links(seeds: DataFrame, keyed: DataFrame) -> DataFrame:
     return left.join(right, ["reason", "key"]).where("seed_id <> claim_id").select("seed_id", "claim_id", "reason", "strength").distinct()
 
 
+def link_keys(claims: DataFrame) -> DataFrame:
+    """(claim_id, reason, key, strength): all that two claims can share.
+
+    ``claims``: claim_id, source_version_id, supersedes, and arrays entities, relations, schemas, evidence, decisions.
+    """
+    out = None
+    for column, reason, strength in (
+        ("entities", "shared_entity", "strong"), ("relations", "compatible_relation", "strong"), ("schemas", "matching_schema_candidate", "strong"),
+        ("evidence", "shared_evidence", "weak"), ("decisions", "decision_reference", "strong"),
+    ):
+        key = F.explode(F.array_distinct(F.transform(column, normalize_key)))
+        rows = claims.select("claim_id", F.lit(reason).alias("reason"), key.alias("key"), F.lit(strength).alias("strength"))
+        out = rows if out is None else out.union(rows)
+    line = F.explode(F.array_compact(F.array(F.col("claim_id"), F.col("supersedes"))))
+    return out.union(claims.select("claim_id", F.lit("shared_source_context"), "source_version_id", F.lit("weak"))).union(
+        claims.select("claim_id", F.lit("edit_supersession_lineage"), line, F.lit("strong"))
+    )
+
+
+def pair_reasons(links: DataFrame, claims: DataFrame) -> DataFrame:
+    """``links`` and what the claims' types and marks add to each linked pair: complementary types and contradictions.
+
+    ``claims``: claim_id, claim_type, severity (blocking, warning or null). Only pairs that share something are told apart.
+    """
+    pairs = links.select("seed_id", "claim_id").distinct()
+    for side in ("seed_id", "claim_id"):
+        pairs = pairs.join(claims.select(F.col("claim_id").alias(side), F.col("claim_type").alias(f"type_{side}"), F.col("severity").alias(f"severity_{side}")), side)
+    types = F.array_sort(F.array("type_seed_id", "type_claim_id"))
+    fits = F.lit(False)
+    for a, b in COMPLEMENTARY:
+        fits = fits | (types == F.array(*[F.lit(x) for x in sorted((a, b))]))
+    has = lambda x: F.coalesce(F.col("severity_seed_id") == x, F.lit(False)) | F.coalesce(F.col("severity_claim_id") == x, F.lit(False))
+    reason = lambda name, strength: F.struct(F.lit(name).alias("reason"), F.lit(strength).alias("strength"))
+    found = F.array_compact(F.array(
+        F.when(fits, reason("complementary_claim_type", "strong")),
+        F.when(has("blocking"), reason("blocking_contradiction", "blocking")).when(has("warning"), reason("contradiction_warning", "strong")),
+    ))
+    return links.unionByName(pairs.select("seed_id", "claim_id", F.inline(found)))
+
+
 def synthesis_bundle(links: DataFrame, most: int = 8) -> DataFrame:
     """The best related claims of each seed by summed link strength."""
     weight = F.lit(1)

@@ -272,6 +272,68 @@ def fallback_briefs(spark, d):
     return found.select("cluster_key", F.sha2("draft", 256).alias("draft_sha256"), "n_claims")
 
 
+_MARKED = """marked AS (SELECT *, CASE WHEN claim_type = 'reported_decision' THEN 'd' || doc_id % 50 END AS decision, CASE WHEN part = 1 THEN 'mem_' || doc_id || '_0' END AS supersedes,
+  CASE doc_id % 30 WHEN 1 THEN 'blocking' WHEN 2 THEN 'warning' END AS severity FROM claims), seeds AS (SELECT * FROM marked WHERE doc_id % 20 = 0)"""
+
+
+@query(f"""WITH {V.CLAIMS}, {_MARKED}, l AS (
+ SELECT s.claim_id AS seed_id, c.claim_id, 'shared_entity' AS reason, 'strong' AS strength FROM seeds s JOIN marked c ON s.source = c.source UNION SELECT s.claim_id, c.claim_id, 'matching_schema_candidate', 'strong' FROM seeds s JOIN marked c ON s.source = c.source AND s.lang = c.lang
+ UNION SELECT s.claim_id, c.claim_id, 'shared_source_context', 'weak' FROM seeds s JOIN marked c USING (doc_id) UNION SELECT s.claim_id, c.claim_id, 'decision_reference', 'strong' FROM seeds s JOIN marked c ON s.decision = c.decision
+ UNION SELECT s.claim_id, c.claim_id, 'edit_supersession_lineage', 'strong' FROM seeds s JOIN marked c ON s.supersedes = c.claim_id OR c.supersedes = s.claim_id OR s.supersedes = c.supersedes
+), k AS (SELECT * FROM l WHERE seed_id <> claim_id), p AS (SELECT DISTINCT k.seed_id, k.claim_id, s.claim_type AS a, c.claim_type AS b, [s.severity, c.severity] AS v FROM k JOIN marked s ON s.claim_id = seed_id JOIN marked c ON c.claim_id = k.claim_id),
+e AS (SELECT * FROM k UNION ALL SELECT seed_id, claim_id, 'complementary_claim_type', 'strong' FROM p WHERE list_sort([a, b]) IN (['dependency', 'risk'], ['metric', 'strategic_statement'], ['constraint', 'scope_statement'], ['ownership_statement', 'reported_decision'], ['fact', 'user_signal'])
+ UNION ALL SELECT seed_id, claim_id, CASE WHEN list_contains(v, 'blocking') THEN 'blocking_contradiction' ELSE 'contradiction_warning' END, CASE WHEN list_contains(v, 'blocking') THEN 'blocking' ELSE 'strong' END FROM p WHERE list_contains(v, 'blocking') OR list_contains(v, 'warning'))
+SELECT seed_id, claim_id, string_agg(reason, ',' ORDER BY reason) AS reasons, sum(CASE strength WHEN 'blocking' THEN 4 WHEN 'strong' THEN 3 ELSE 1 END)::BIGINT AS score FROM e GROUP BY 1, 2""")
+def synthesis_link_reasons(spark, d):
+    """All reasons that link the claims of every twentieth document to others."""
+    none = F.array().cast("array<string>")
+    rows = derive.claims(spark, d).join(_graph_claims(spark, d).select("claim_id", "source_version_id", "entities", "schemas"), "claim_id").select(
+        "claim_id", "doc_id", "claim_type", "source_version_id", "entities", "schemas", "evidence", none.alias("relations"),
+        F.when(F.col("claim_type") == "reported_decision", F.array(F.concat(F.lit("d"), F.col("doc_id") % 50))).otherwise(none).alias("decisions"),
+        F.when(F.col("part") == 1, F.concat(F.lit("mem_"), "doc_id", F.lit("_0"))).alias("supersedes"),
+        F.when(F.col("doc_id") % 30 == 1, F.lit("blocking")).when(F.col("doc_id") % 30 == 2, F.lit("warning")).alias("severity"),
+    )
+    rows = checkpointed(rows)
+    links = synthesis.synthesis_links(rows.where("doc_id % 20 = 0"), synthesis.link_keys(rows))
+    every = synthesis.pair_reasons(links, rows)
+    weight = F.when(F.col("strength") == "blocking", 4).when(F.col("strength") == "strong", 3).otherwise(1)
+    return every.groupBy("seed_id", "claim_id").agg(F.array_join(F.array_sort(F.collect_list("reason")), ",").alias("reasons"), F.sum(weight).alias("score"))
+
+
+@query(f"""WITH {V.CLAIMS}, {_KEYS}, m AS (SELECT cluster_key, count(*) AS n, count(*) FILTER (doc_id % 4 = 0) AS u, max(epoch(TIMESTAMP '2024-01-01') + (doc_id % 400) * 86400) FILTER (doc_id % 3 = 0) AS newest FROM memberships JOIN claims USING (claim_id) GROUP BY 1),
+a AS (SELECT *, greatest(0, (epoch(TIMESTAMP '2025-02-01') - newest) / 86400) AS age FROM m)
+SELECT cluster_key, round(least(1, n / 6) * coalesce(greatest(0, least(1, 1 - age / 180)), 1), 6) AS recent_momentum, round(least(1, u / greatest(1, n * 0.4)), 6) AS urgency, CASE WHEN length(cluster_key) % 2 = 0 THEN 0.2::DOUBLE ELSE 1.0::DOUBLE END AS novelty,
+ round(coalesce(greatest(0, least(1, (age - 90) / 275)), 0), 6) AS staleness, CASE WHEN length(cluster_key) % 2 = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS existing_brief FROM a""")
+def opportunity_signals(spark, d):
+    """The components that depend on deadlines, dates and existing briefs."""
+    rows = derive.claims(spark, d)
+    memberships = checkpointed(_memberships(spark, d))
+    claims = rows.select("claim_id", "doc_id", F.size("evidence").alias("n_evidence"), "claim_type", F.lit(False).alias("confirmed"))
+    links = spark.createDataFrame([], "from_id string, to_id string, confidence double, connection_type string")
+    at = F.timestamp_seconds(F.unix_timestamp(F.lit("2024-01-01").cast("timestamp")) + F.col("doc_id") % 400 * 86_400)
+    found = synthesis.opportunity_breakdown(
+        memberships, claims, links, urgent=rows.where("doc_id % 4 = 0"), signals=rows.where("doc_id % 3 = 0").select("claim_id", at.alias("at")),
+        briefed=memberships.where(F.length("cluster_key") % 2 == 0), as_of="2025-02-01",
+    )
+    return rounded(found.select("cluster_key", "recent_momentum", "urgency", "novelty", "staleness", "existing_brief"), "recent_momentum", "urgency", "staleness")
+
+
+@query(f"""WITH {V.CLAIMS}, {_KEYS}, {_CONNECTIONS}, near AS (SELECT DISTINCT 'mem_' || user_id || '_0' AS a, 'mem_' || event_id % 97 || '_0' AS b, (event_id % 97) / 100 AS c FROM events WHERE event_id < 600 AND user_id <> event_id % 97),
+sim AS (SELECT least(a, b) || '|' || greatest(a, b) AS pair, unnest([a, b]) AS claim_id, least(0.9, 0.5 + c * 0.4) AS score FROM near WHERE c >= 0.55),
+more AS (SELECT * FROM keys UNION ALL SELECT CASE WHEN connection_type IN ('depends_on', 'blocks') THEN 'dependency:' ELSE 'connection:' || connection_type || ':' END || from_id || '|' || to_id, 'narrow_decision', unnest([from_id, to_id]), least(0.98, 0.55 + confidence * 0.4) FROM connections
+ UNION ALL SELECT 'similarity:' || pair, 'narrow_decision', claim_id, score FROM sim),
+one AS (SELECT cluster_key, resolution, claim_id, max(score) AS score FROM more GROUP BY 1, 2, 3)
+SELECT cluster_key, resolution, count(*) AS n_members, round(sum(score), 6) AS total FROM one GROUP BY 1, 2 HAVING count(*) > 1""")
+def linked_clusters(spark, d):
+    """Clusters by all keys, those of connections and of similar claims among them."""
+    claims = _graph_claims(spark, d)
+    near = table(spark, d, "events").where("event_id < 600 and user_id <> event_id % 97").select(
+        F.concat(F.lit("mem_"), "user_id", F.lit("_0")).alias("from_id"), F.concat(F.lit("mem_"), F.col("event_id") % 97, F.lit("_0")).alias("to_id"), (F.col("event_id") % 97 / 100).alias("similarity")
+    ).distinct()
+    found = synthesis.discover_clusters(synthesis.cluster_keys(claims, graph.connections(claims), near))
+    return rounded(found.groupBy("cluster_key", "resolution").agg(F.count("*").alias("n_members"), F.sum("score").alias("total")), "total")
+
+
 # The graph's read models ------------------------------------------------------------------
 
 
