@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimloom.llm.common import checkpointed
+from claimloom.llm.common import checkpointed, forget
 
 #: A node's own links are joined in this many parts, so that a hub is not one join key.
 SALTS = 16
@@ -55,6 +55,7 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
             F.struct(F.col("x").alias("p"), F.col("least").alias("q")),
         )).alias("e")).select("e.p", "e.q")
         edges = checkpointed(_edges(pairs))
+        forget(edges.sparkSession)
         now = edges.agg(
             F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
         ).first()
