@@ -244,6 +244,14 @@ def entity_clusters(claims: DataFrame, entities: DataFrame, found: DataFrame) ->
     )
 
 
+def entity_cluster_states(members: DataFrame, claims: DataFrame, conflicts: DataFrame, limit: int = 100) -> DataFrame:
+    """Clusters (cluster, claim_id) with the time of their latest claim (claim_id, created_at) and their open conflicts, the largest first."""
+    ends = conflicts.where("status = 'open'").select("conflict_id", F.explode(F.array("left_id", "right_id")).alias("claim_id"))
+    touched = members.join(ends, "claim_id").groupBy("cluster").agg(F.countDistinct("conflict_id").alias("n_open_conflicts"))
+    rows = members.join(claims.select("claim_id", "created_at"), "claim_id").groupBy("cluster").agg(F.count("*").alias("n_claims"), F.max("created_at").alias("latest"))
+    return rows.join(touched, "cluster", "left").fillna(0, ["n_open_conflicts"]).orderBy(F.desc("n_claims"), F.desc("latest"), "cluster").limit(max(1, min(limit, 100)))
+
+
 def claim_degree(edges: DataFrame) -> DataFrame:
     """Degree and weight of every node over both directions."""
     both = edges.select(F.col("from_node").alias("node_id"), "weight").union(edges.select("to_node", "weight"))

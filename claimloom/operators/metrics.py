@@ -24,6 +24,20 @@ def extraction_metrics(expected: DataFrame, generated: DataFrame) -> DataFrame:
     )
 
 
+def nearby_recall(expected: DataFrame, generated: DataFrame) -> DataFrame:
+    """Per fixture the share of expected claims for which one of their type with overlapping support was generated."""
+    e = expected.select("fixture_id", "claim_type", F.array_sort(F.array_distinct("support")).alias("support")).distinct()
+    key = ["fixture_id", "claim_type", "span"]
+    have = generated.select("fixture_id", "claim_type", F.explode("support").alias("span")).distinct().withColumn("hit", F.lit(1))
+    hits = e.select("*", F.explode("support").alias("span")).join(have, key, "left").groupBy("fixture_id", "claim_type", "support").agg(F.max("hit").alias("hit"))
+    return hits.groupBy("fixture_id").agg(F.avg(F.coalesce("hit", F.lit(0)).cast("double")).alias("nearby_recall"))
+
+
+def connection_histogram(connections: DataFrame, components: list[str]) -> DataFrame:
+    """Per connection type: number, mean confidence and mean of each score component."""
+    return connections.groupBy("connection_type").agg(F.count("*").alias("n"), F.avg("confidence").alias("mean_confidence"), *[F.avg(c).alias(f"mean_{c}") for c in components])
+
+
 def connection_density(sizes: DataFrame, connections: DataFrame, key: str) -> DataFrame:
     """Per group: possible pairs, connections, density and mean confidence."""
     found = connections.groupBy(key).agg(F.count("*").alias("n_connections"), F.avg("confidence").alias("mean_confidence"))

@@ -63,6 +63,17 @@ def claim_documents(claims: DataFrame, evidence: DataFrame, spans: DataFrame, st
     return claims.join(texts, "claim_id", "left").join(states, "claim_id", "left")
 
 
+def nested_claims(claims: DataFrame, parts: dict[str, DataFrame], states: DataFrame) -> DataFrame:
+    """Claims with their evidence ids, entities and schemas nested in order, and their review state; each child table is gathered once."""
+    ids = parts["evidence"].groupBy("claim_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "span_id"))), lambda x: x["span_id"]).alias("evidence_ids"))
+    names = parts["entities"].groupBy("claim_id").agg(F.array_sort(F.collect_set(F.struct("name", "entity_type"))).alias("entities"))
+    patterns = parts["schemas"].groupBy("claim_id").agg(F.array_sort(F.collect_set(F.struct("subject_type", "predicate", "object_type"))).alias("schemas"))
+    rows = claims
+    for part in (ids, names, patterns, states):
+        rows = rows.join(part, "claim_id", "left")
+    return rows
+
+
 def pending_reviews(proposals: DataFrame, limit: int = 100) -> DataFrame:
     ready = proposals.where("valid and approval_required and status = 'pending'")
     return ready.orderBy(F.col("created_at").desc(), "proposal_id").limit(limit)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from claimloom.operators import graph, retrieval, review, synthesis
+from claimloom.operators import graph, metrics, retrieval, review, synthesis
 from claimloom.plans import views as V
 from claimloom.plans.queries import (
     _ask, _CONNECTIONS, _EDGES, _graph_claims, _KEYS, _memberships, _questions, _reviews, _RESET, _scored, _SNAPSHOT, _SPARSE, _VECTORS, graph_edges, query, rounded,
@@ -545,3 +545,66 @@ def retrieve(spark, d):
     none = spark.createDataFrame([], "left_id string, right_id string, status string")
     found = retrieval.hydrate(final, _active(spark, d, rows), derive.claim_evidence(rows), links, none)
     return rounded(found.select("query_id", "claim_id", "final_rank", "graph", "vector", "lexical", F.size("spans").alias("n_spans"), F.coalesce(F.size("links"), F.lit(0)).alias("n_links")), "graph", "vector", "lexical")
+
+
+@query(f"""WITH {V.CLAIMS}, {_SPARSE}, {_VECTORS}, {_EDGES}, {_SNAPSHOT}, {_RESET}, c AS (SELECT query_id, count(*) FILTER (source = 'vector') AS n_vector, count(*) FILTER (source = 'sparse') AS n_sparse FROM candidates GROUP BY 1),
+n AS (SELECT query_id, count(*) AS n_nodes FROM nodes GROUP BY 1), e AS (SELECT query_id, count(*) AS n_edges FROM kept GROUP BY 1)
+SELECT query_id, n_vector, n_sparse, n_nodes, n_edges, concat_ws(',', CASE WHEN n_vector >= 64 THEN 'vector' END, CASE WHEN n_sparse >= 32 THEN 'sparse' END, CASE WHEN n_nodes >= 1000 THEN 'nodes' END, CASE WHEN n_edges >= 4000 THEN 'edges' END) AS limits_hit
+FROM c JOIN n USING (query_id) JOIN e USING (query_id)""")
+def retrieval_metadata(spark, d):
+    candidates, nodes, edges, _, _ = _ask(spark, d)
+    return retrieval.retrieval_metadata(candidates, nodes, edges, retrieval.ASK).drop("n_seed")
+
+
+@query(f"""WITH {V.CLAIMS}, {_CONNECTIONS}, m AS (SELECT 'entity:' || source AS cluster, claim_id, doc_id FROM claims), x AS (SELECT from_id || to_id AS conflict_id, unnest([from_id, to_id]) AS claim_id FROM connections WHERE connection_type = 'blocks' AND length(from_id) % 2 = 0),
+t AS (SELECT cluster, count(DISTINCT conflict_id) AS n FROM m JOIN x USING (claim_id) GROUP BY 1) SELECT cluster, count(*) AS n_claims, max(doc_id) AS latest, coalesce(any_value(n), 0) AS n_open_conflicts FROM m LEFT JOIN t USING (cluster) GROUP BY 1 ORDER BY 2 DESC, 3 DESC, 1 LIMIT 100""")
+def entity_cluster_states(spark, d):
+    rows = checkpointed(_graph_claims(spark, d))
+    pairs = graph.connections(rows).where("connection_type = 'blocks'")
+    status = F.when(F.length("from_id") % 2 == 0, F.lit("open")).otherwise(F.lit("resolved"))
+    conflicts = pairs.select(F.concat("from_id", "to_id").alias("conflict_id"), F.col("from_id").alias("left_id"), F.col("to_id").alias("right_id"), status.alias("status"))
+    members = rows.select(F.concat(F.lit("entity:"), F.get("entities", 0)).alias("cluster"), "claim_id")
+    return graph.entity_cluster_states(members, rows.select("claim_id", F.col("doc_id").alias("created_at")), conflicts)
+
+
+@query(f"""WITH {V.CLAIMS}, {V.REVIEWS}, s AS (SELECT claim_id, bool_or(review = 'remove') AS r, bool_or(review = 'edit') AS e, bool_or(review = 'confirm') AS c FROM reviews GROUP BY 1)
+SELECT claim_id, array_to_string(evidence, ',') AS evidence_ids, source || ':source' AS entities, lang || ':states:' || source AS schemas, CASE WHEN r THEN 'removed' WHEN e THEN 'superseded' WHEN c THEN 'confirmed' ELSE 'unreviewed' END AS review_state FROM claims LEFT JOIN s USING (claim_id)""")
+def nested_claims(spark, d):
+    rows = derive.claims(spark, d)
+    found = review.nested_claims(rows.select("claim_id"), review.claim_tables(rows), review.review_state(rows, _reviews(spark, d)))
+    text = lambda c, *names: F.array_join(F.transform(c, lambda x: F.concat_ws(":", *[x[n] for n in names])), ",").alias(c)
+    return found.select("claim_id", F.array_join("evidence_ids", ",").alias("evidence_ids"), text("entities", "name", "entity_type"), text("schemas", "subject_type", "predicate", "object_type"), "review_state")
+
+
+@query("SELECT event_type AS policy, round(avg((event_id % 7 = 0)::INT), 6) AS fallback_share, sum(event_id % 1000)::BIGINT AS tokens_in, sum(user_id % 50)::BIGINT AS tokens_out FROM events GROUP BY 1")
+def run_costs(spark, d):
+    rows = table(spark, d, "events").select(F.col("event_type").alias("policy"), (F.col("event_id") % 7 == 0).alias("fallback"), (F.col("event_id") % 1000).alias("tokens_in"), (F.col("user_id") % 50).alias("tokens_out"))
+    return rounded(L.run_costs(rows), "fallback_share")
+
+
+_KIND_OF = {"event": "view", "work": "click", "run": "error", "proposal": "purchase"}
+
+
+@query("WITH k AS (" + " UNION ALL ".join(f"SELECT '{k}' AS kind, event_id AS id, ts, '{k} of ' || user_id AS label, CASE WHEN '{k}' = 'run' THEN 'error' ELSE 'info' END AS severity FROM events WHERE event_type = '{t}'" for k, t in _KIND_OF.items()) + ") SELECT kind, id, label, severity FROM k ORDER BY ts DESC, kind, id DESC LIMIT 100")
+def merged_timeline(spark, d):
+    rows = table(spark, d, "events")
+    kinds = {
+        k: rows.where(F.col("event_type") == t).select(F.col("event_id").alias("id"), "ts", F.concat(F.lit(f"{k} of "), "user_id").alias("label"), F.lit("error" if k == "run" else "info").alias("severity"))
+        for k, t in _KIND_OF.items()
+    }
+    return L.merged_timeline(kinds).select("kind", "id", "label", "severity")
+
+
+@query(f"""WITH {V.CLAIMS}, g AS (SELECT DISTINCT source, CASE WHEN doc_id % 5 = 0 THEN 'fact' ELSE claim_type END AS claim_type, unnest(evidence[2:]) AS span FROM claims WHERE doc_id % 3 <> 0),
+e AS (SELECT source, claim_type, claim_id, bool_or((source, claim_type, span) IN (SELECT source, claim_type, span FROM g)) AS hit FROM (SELECT source, claim_type, claim_id, unnest(evidence) AS span FROM claims) GROUP BY 1, 2, 3) SELECT source AS fixture_id, round(avg(hit::INT), 6) AS nearby_recall FROM e GROUP BY 1""")
+def nearby_recalls(spark, d):
+    rows = derive.claims(spark, d).select(F.col("source").alias("fixture_id"), "claim_type", F.col("evidence").alias("support"), "doc_id")
+    cut = F.slice("support", F.lit(2), F.greatest(F.size("support") - 1, F.lit(0)))
+    made = rows.where("doc_id % 3 <> 0").withColumns({"claim_type": F.when(F.col("doc_id") % 5 == 0, F.lit("fact")).otherwise(F.col("claim_type")), "support": cut})
+    return rounded(metrics.nearby_recall(rows, made), "nearby_recall")
+
+
+@query(f"WITH {V.CLAIMS}, {_CONNECTIONS} SELECT connection_type, count(*) AS n, round(avg(c.confidence), 6) AS mean_confidence, round(avg(p.entities), 6) AS mean_entities, round(avg(p.tokens), 6) AS mean_tokens, round(avg(p.same_source), 6) AS mean_same_source FROM connections c JOIN p USING (from_id, to_id) GROUP BY 1")
+def connection_histograms(spark, d):
+    found = metrics.connection_histogram(graph.connections(_graph_claims(spark, d)), ["entities", "tokens", "same_source"])
+    return rounded(found, "mean_confidence", "mean_entities", "mean_tokens", "mean_same_source")

@@ -11,6 +11,7 @@ from claimloom.plans import views as V
 from claimloom.plans.queries import _questions, _reviews, _sparse, _SPARSE, query, rounded
 from claimloom.sources import derive
 from claimloom.sources.derive import table
+from claimloom.sources.shared import checkpointed
 from claimloom.streaming import ledger as L
 
 
@@ -246,9 +247,16 @@ def proposal_states(spark, d):
     return L.proposal_state(rows).select("proposal_id", "valid", "decision")
 
 
-@query(f"""WITH {V.CLAIMS}, {_SPARSE} SELECT item_id AS case_id, coalesce(n, 0) AS n_returned, coalesce(n, 0) >= 3 AS passed FROM benchmark LEFT JOIN (SELECT query_id, count(*) AS n FROM sparse WHERE rank <= 5 GROUP BY 1) ON query_id = item_id""")
+@query(f"""WITH {V.CLAIMS}, {_SPARSE}, g AS (SELECT query_id, list(claim_id) AS got FROM sparse WHERE rank <= 5 GROUP BY 1), tops AS (SELECT claim_id FROM sparse WHERE rank = 1 AND query_id % 3 = 0),
+c AS (SELECT item_id AS case_id, coalesce(got, []) AS got, [CASE WHEN item_id % 2 = 0 THEN (SELECT min(claim_id) FROM sparse x WHERE x.query_id = item_id AND x.rank = 2) ELSE 'mem_none' END] AS expected, (SELECT list(DISTINCT claim_id) FROM tops) AS forbidden FROM benchmark LEFT JOIN g ON query_id = item_id),
+n AS (SELECT case_id, len(got)::BIGINT AS n_returned, len(list_filter(expected, lambda x: NOT list_contains(got, x)))::BIGINT AS n_missing, len(list_intersect(forbidden, got))::BIGINT AS n_forbidden FROM c)
+SELECT *, n_missing = 0 AND n_forbidden = 0 AND n_returned >= 3 AS passed FROM n""")
 def retrieval_expectations(spark, d):
-    none = F.array().cast("array<string>")
-    cases = _questions(spark, d).select(F.col("query_id").alias("case_id"), none.alias("expected"), none.alias("forbidden"), F.lit(3).alias("least"))
-    results = _sparse(spark, d).where("rank <= 5").select(F.col("query_id").alias("case_id"), "claim_id")
-    return metrics.retrieval_expectations(cases, results).select("case_id", F.col("n_returned").cast("long").alias("n_returned"), "passed")
+    """Even cases expect their second claim, odd ones a claim that is not there; the first claims of every third case are forbidden."""
+    found = checkpointed(_sparse(spark, d).where("rank <= 5").select(F.col("query_id").alias("case_id"), "claim_id", "rank"))
+    second = found.where("rank = 2").select("case_id", F.col("claim_id").alias("second"))
+    forbidden = found.where("rank = 1 and case_id % 3 = 0").agg(F.collect_set("claim_id").alias("forbidden"))
+    expected = F.array(F.when(F.col("case_id") % 2 == 0, F.col("second")).otherwise(F.lit("mem_none")))
+    cases = _questions(spark, d).select(F.col("query_id").alias("case_id"), F.lit(3).alias("least")).join(second, "case_id", "left").join(F.broadcast(forbidden))
+    checked = metrics.retrieval_expectations(cases.select("case_id", expected.alias("expected"), "forbidden", "least"), found)
+    return checked.select("case_id", *[F.col(c).cast("long").alias(c) for c in ("n_returned", "n_missing", "n_forbidden")], "passed")

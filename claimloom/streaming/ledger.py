@@ -82,6 +82,22 @@ def run_metrics(events: DataFrame) -> DataFrame:
     )
 
 
+def run_costs(events: DataFrame) -> DataFrame:
+    """Per policy: share of runs on the fallback, and tokens in and out (policy, fallback: boolean, tokens_in, tokens_out)."""
+    return events.groupBy("policy").agg(
+        F.avg(F.col("fallback").cast("double")).alias("fallback_share"), F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out")
+    )
+
+
+def merged_timeline(kinds: dict[str, DataFrame], limit: int = 100) -> DataFrame:
+    """The newest records of several kinds (id, ts, label, severity) in one list."""
+    out = None
+    for kind, rows in kinds.items():
+        part = rows.select(F.lit(kind).alias("kind"), "id", "ts", "label", "severity")
+        out = part if out is None else out.union(part)
+    return out.orderBy(F.desc("ts"), "kind", F.desc("id")).limit(max(1, min(limit, 100)))
+
+
 def causal_chain(events: DataFrame, links: DataFrame, depth: int = 4) -> DataFrame:
     """event_id, cause_id, depth: causes (event_id, cause_id) followed up to ``depth`` steps."""
     rows = events.select("event_id", F.col("event_id").alias("at"), F.lit(0).alias("depth"))
