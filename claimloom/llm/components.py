@@ -4,7 +4,8 @@ Every round replaces a node's links by links to the least node it knows; after f
 (logarithmic in the longest chain) each node links to its component's least node. Rounds are
 joins and aggregations over the edge table; it is cut through the shared checkpoint
 folder after each, and only a row count and a sum of hashes reach the driver. Joins are sort-merge joins at every
-size, so that many rounds leave no broadcast tables in the driver.
+size, so that many rounds leave no broadcast tables in the driver, and they are planned once each: hubs are salted, so there
+is nothing for adaptive execution to mend, and its threads and plans would pile up in the driver over the rounds.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimloom.llm.common import checkpointed, forget
+from claimloom.llm.common import checkpointed, forget, planned_once
 
 #: A node's own links are joined in this many parts, so that a hub is not one join key.
 SALTS = 16
@@ -44,6 +45,11 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
 
     ``component`` is the least node of the component. Nodes are of any ordered type but null.
     """
+    with planned_once(edges.sparkSession):
+        return _components(edges, a, b)
+
+
+def _components(edges: DataFrame, a: str, b: str) -> DataFrame:
     edges = checkpointed(_edges(edges.select(F.col(a).alias("p"), F.col(b).alias("q"))))
     mark = None
     while True:
