@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimloom.llm import decontaminate, html, lines, packing, quality, sharding, simhash, sql, substrings, suffixes, urls
+from claimloom.llm import (
+    decontaminate, html, lines, negatives, neighbours, packing, quality, sharding, simhash, sql, substrings, suffixes, urls, whitening,
+)
 from claimloom.llm.common import table
 
 
@@ -71,6 +73,28 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", "text", "n_chars")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    model = whitening.fit_whitening(rows, components=4)
+    flat = whitening.whiten(rows, model).select("row.vec_id", "deviation", F.posexplode("whitened").alias("component", "whitened"))
+    explained = F.lit([float(v / model.trace) if model.trace else None for v in model.values] if model else [None])
+    return flat.select(
+        "vec_id", (F.col("component") + 1).alias("component"), F.lit(model.n if model else 0).cast("long").alias("n"), "deviation",
+        "whitened", F.get(explained, "component").cast("double").alias("explained"),
+        F.lit(model.identity_error if model else 0.0).alias("identity_error"),
+    )
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(rows.withColumn("label", moved), lambda key: key % 50 == 0)
+
+
+def op13_near_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.near_neighbours(table(spark, sf_dir, "embeddings"), lambda key: key % 20 == 0)
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_sharding": op2_sharding,
@@ -82,6 +106,9 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_decontamination": op9_decontamination,
     "op10_html_extraction": op10_html_extraction,
+    "op11_whitening": op11_whitening,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_near_neighbours": op13_near_neighbours,
 }
 
 SQL: dict[str, str] = {
@@ -89,4 +116,5 @@ SQL: dict[str, str] = {
     "op3_line_dedup": sql.LINES,
     "op5_substring_dedup": sql.SUBSTRINGS,
     "op8_suffix_dedup": sql.SUFFIXES,
+    "op12_hard_negatives": sql.NEGATIVES,
 }
