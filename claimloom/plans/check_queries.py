@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from claimloom.functions import text as T
-from claimloom.operators import context, evidence, graph, metrics, retrieval, review, sections, synthesis, validation
+from claimloom.operators import context, evidence, graph, metrics, retrieval, review, sections, synthesis, validation, vector_index
 from claimloom.plans import views as V
 from claimloom.plans.queries import query, rounded
 from claimloom.sources import derive
@@ -447,6 +447,24 @@ def similar_active_pairs(spark, d):
     return rounded(found.select("query_id", "target_id", "score"), "score")
 
 
+@query()
+def indexed_candidates(spark, d):
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("target_id"), "embedding")
+    queries = rows.where("target_id % 20 = 0").withColumnRenamed("target_id", "query_id")
+    return rounded(vector_index.indexed_candidates(queries, vector_index.build_index(rows), 64), "score")
+
+
+@query("""WITH q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id % 20 = 0),
+s AS (SELECT query_id, vec_id AS target_id, greatest(0, round(list_cosine_similarity(e::DOUBLE[], embedding::DOUBLE[]), 9)) AS score FROM q, embeddings WHERE vec_id % 7 <> 3),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, target_id) AS rank FROM s)
+SELECT query_id, target_id, round(score, 6) AS score FROM r WHERE rank <= 64 AND score >= 0.25 AND query_id <> target_id""")
+def indexed_pairs(spark, d):
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("target_id"), "embedding")
+    seeds = rows.where("target_id % 20 = 0").withColumnRenamed("target_id", "query_id")
+    found = vector_index.indexed_pairs(seeds, vector_index.build_index(rows), 0.25, without=rows.where("target_id % 7 = 3"))
+    return rounded(found.select("query_id", "target_id", "score"), "score")
+
+
 # J: evaluation ----------------------------------------------------------------------------
 
 
