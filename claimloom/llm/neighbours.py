@@ -337,28 +337,6 @@ def _search(classes: DataFrame, queries: DataFrame, index: Index, first: int, la
                 yield pa.RecordBatch.from_arrays([pa.array([table.number] * len(keys), pa.int32()), pa.array(keys, pa.binary()), *batch.columns],
                                                  ["tab", "bucket", "cid", "ids", "v"])
 
-    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here, cids, ids, rows = None, [], [], []
-
-        def piece() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays(
-                [pa.array([here[0]], pa.int32()), pa.array([here[1]], pa.binary()), pa.array([cids], pa.list_(pa.int64())),
-                 pa.array([ids], pa.list_(pa.list_(pa.int64()))), pa.array([rows], pa.list_(pa.binary()))],
-                ["tab", "bucket", "cids", "ids", "rows"],
-            )
-
-        for batch in batches:
-            for t, b, c, i, v in zip(*(batch.column(n).to_pylist() for n in range(5)), strict=True):
-                if here is not None and (here != (t, b) or len(cids) == PIECE):
-                    yield piece()
-                    cids, ids, rows = [], [], []
-                here = (t, b)
-                cids.append(c)
-                ids.append(i)
-                rows.append(v)
-        if cids:
-            yield piece()
-
     def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, CHUNK):
@@ -390,8 +368,11 @@ def _search(classes: DataFrame, queries: DataFrame, index: Index, first: int, la
         yield from best.batches()
 
     held = classes.select("cid", "ids", "v").mapInArrow(bucketed, "tab int, bucket binary, cid long, ids array<long>, v binary")
-    dealt = held.repartitionByRange("tab", "bucket", "cid").sortWithinPartitions("tab", "bucket", "cid")
-    shelves = dealt.mapInArrow(pieces, "tab int, bucket binary, cids array<long>, ids array<array<long>>, rows array<binary>")
+    # A bucket is cut into pieces of about PIECE vectors, as many as its count asks for; none meets a task as a whole.
+    counts = held.groupBy("tab", "bucket").agg(F.ceil(F.count("*") / PIECE).alias("pieces"))
+    dealt = held.join(counts, ["tab", "bucket"]).withColumn("piece", F.pmod(F.xxhash64("cid"), F.col("pieces")))
+    shelves = dealt.groupBy("tab", "bucket", "piece").agg(F.collect_list(F.struct("cid", "ids", "v")).alias("s")).select(
+        "tab", "bucket", F.col("s.cid").alias("cids"), F.col("s.ids").alias("ids"), F.col("s.v").alias("rows"))
     going = queries.select("q", "v", "least").mapInArrow(visits, "tab int, bucket binary, qs array<long>, least array<double>, asked array<binary>")
     return shelves.join(going, ["tab", "bucket"]).mapInArrow(compare, RESULT)
 
