@@ -114,7 +114,7 @@ def score_pairs(pairs: DataFrame, features: DataFrame) -> DataFrame:
     total = F.when(grounded & F.col("fits"), F.lit(TYPE_BONUS)).otherwise(F.lit(0.0))
     for c, w in WEIGHTS.items():
         total = total + F.col(c) * w
-    rows = rows.withColumn(
+    rows = rows.withColumn("grounded", grounded).withColumn(
         "raw", F.when(F.col("equal"), F.lit(EQUAL_TEXT)).otherwise(F.least(F.lit(CAP), total))
     )
     has = lambda t: (F.col("left_claim_type") == t) | (F.col("right_claim_type") == t)
@@ -124,14 +124,15 @@ def score_pairs(pairs: DataFrame, features: DataFrame) -> DataFrame:
     )
     return rows.select(
         F.col("left_id").alias("from_id"), F.col("right_id").alias("to_id"), kind.alias("connection_type"),
-        F.round("raw", 3).alias("confidence"), "same_source", *SIDES,
+        F.round("raw", 3).alias("confidence"), "same_source", *SIDES, "grounded", "left_claim_type", "right_claim_type",
     )
 
 
 def connections(claims: DataFrame, least: float = LEAST) -> DataFrame:
     """All pairs of claims with a confidence of at least ``least`` (not below .55)."""
     features = checkpointed(connection_features(claims))  # read by every blocking key
-    return score_pairs(candidate_pairs(features), features).where(F.col("confidence") >= least)
+    found = score_pairs(candidate_pairs(features), features).where(F.col("confidence") >= least)
+    return found.drop("grounded", "left_claim_type", "right_claim_type")
 
 
 def upsert_connections(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -265,15 +266,72 @@ def promote_predicates(relations: DataFrame) -> DataFrame:
     )
 
 
-def connection_candidates(pairs: DataFrame, signals: DataFrame, least: float = 0.12, k: int = 120) -> DataFrame:
-    """Scored pairs at or above ``least``, or touching a claim with a work signal (claim_id); the k best of each left claim."""
-    marked = signals.select("claim_id").distinct()
-    rows = pairs.join(marked.select(F.col("claim_id").alias("from_id"), F.lit(True).alias("_a")), "from_id", "left").join(
-        marked.select(F.col("claim_id").alias("to_id"), F.lit(True).alias("_b")), "to_id", "left"
+# Claim types that are work signals, and the least score of a candidate without one.
+WORK_SIGNALS = ["dependency", "risk", "constraint", "ownership_statement", "reported_decision"]
+LEAST_CANDIDATE, MOST_CANDIDATES = 0.12, 120
+
+
+def connection_candidates(claims: DataFrame, k: int = MOST_CANDIDATES) -> DataFrame:
+    """The k best partners (to_id > from_id) of each claim: from_id, to_id, connection_type, confidence, place.
+
+    A pair is a candidate with a confidence of .12, or with less if it is grounded and one claim's type is a work signal; the best come
+    first, ties by to_id. Claims as for ``connections``. The search is exact: pairs meet on one kind of key after another, in the order of
+    the greatest score that a pair can have which meets on no earlier one. What a key leaves to the tokens bounds it further: with t the score of
+    the k-th partner so far and b the most that the pair has without its tokens, its Jaccard must reach (t - b) / .20, so
+    that the partner holds one of the claim's rarest tokens. A claim whose k partners no later pair can beat goes no further.
+    """
+    features = checkpointed(connection_features(claims))
+    tokens = features.select("claim_id", F.explode("tokens").alias("token"))
+    common = tokens.groupBy("token").agg(F.count("*").alias("df"))
+    rank = Window.partitionBy("claim_id").orderBy("df", "token")
+    ranked = checkpointed(tokens.join(common, "token").withColumn("n_before", F.row_number().over(rank) - 1))
+    sizes = features.select("claim_id", F.size("tokens").alias("n"))
+    key = lambda kind, *cols: F.concat_ws("\x1f", F.lit(kind), *cols)
+    listed = lambda kind, c: features.select("claim_id", F.explode(c).alias("v")).select("claim_id", key(kind, F.col("v")).alias("key"))
+    strong = (
+        features.where("text <> ''").select("claim_id", key("text", F.col("text")).alias("key"))
+        .union(features.select("claim_id", key("source", F.col("source_version_id"))))
+        .union(listed("evidence", "evidence")).union(listed("relation", "relations"))
     )
-    rows = rows.where((F.col("confidence") >= least) | F.col("_a") | F.col("_b"))
-    best = Window.partitionBy("from_id").orderBy(F.desc("confidence"), "to_id")
-    return rows.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k).select("from_id", "to_id", "confidence", "place")
+    grounded = features.select("claim_id", "claim_type", F.explode("entities").alias("e"), "schemas").select("claim_id", "claim_type", "e", F.explode("schemas").alias("s"))
+    pair_of = F.lit(None).cast("string")
+    for a, b in COMPLEMENTARY:
+        pair_of = F.when(F.col("claim_type").isin(a, b), F.lit(a)).otherwise(pair_of)
+    typed = grounded.where(pair_of.isNotNull()).select("claim_id", key("typed", pair_of, F.col("e"), F.col("s")).alias("key"))
+    both = grounded.select("claim_id", key("both", F.col("e"), F.col("s")).alias("key"))
+    w, bonus = WEIGHTS, TYPE_BONUS
+    anywhere = features.select("claim_id", F.lit("").alias("key"))
+    # (keys, what a pair has at most without tokens if it meets on no earlier key, least Jaccard that can make it a candidate at all)
+    steps = [
+        (strong, None, 0.0), (typed, w["entities"] + w["schemas"] + bonus, 0.0), (both, w["entities"] + w["schemas"], 0.0),
+        (listed("entity", "entities"), w["entities"] + bonus, 0.0), (listed("schema", "schemas"), w["schemas"] + bonus, 0.0),
+        (anywhere, bonus, GROUNDED_TOKENS),
+    ]
+    best = None
+    for keys, most, floor in steps:
+        left, right = keys.withColumnRenamed("claim_id", "left_id"), keys.withColumnRenamed("claim_id", "right_id")
+        if most is None:
+            pairs = left.join(right, "key").where("left_id < right_id").select("left_id", "right_id")
+        else:
+            # Scores have three decimals: .001 more room than the bound needs.
+            kth = best.where(F.col("place") == k).select(F.col("from_id").alias("claim_id"), F.col("confidence").alias("kth"))
+            need = F.greatest(F.lit(floor), F.coalesce((F.col("kth") - F.lit(most + 0.001)) / F.lit(w["tokens"]), F.lit(0.0)))
+            asking = sizes.join(kth, "claim_id", "left").select("claim_id", "n", need.alias("need")).where("need <= 1")
+            asking = checkpointed(asking)
+            free = asking.where("need <= 0").select(F.col("claim_id").alias("left_id"))
+            pairs = left.join(free, "left_id").join(right, "key").where("left_id < right_id").select("left_id", "right_id")
+            prefix = asking.where("need > 0").join(ranked, "claim_id").where(F.col("n_before") <= F.col("n") - F.ceil(F.col("need") * F.col("n") - 1e-9))
+            rare = prefix.select(F.col("claim_id").alias("left_id"), "token").join(left, "left_id")
+            held = ranked.select(F.col("claim_id").alias("right_id"), "token").join(right, "right_id")
+            pairs = pairs.union(rare.join(held, ["key", "token"]).where("left_id < right_id").select("left_id", "right_id"))
+        scored = score_pairs(pairs.distinct(), features)
+        signal = F.col("left_claim_type").isin(*WORK_SIGNALS) | F.col("right_claim_type").isin(*WORK_SIGNALS)
+        ground = F.col("grounded")
+        fit = scored.where((F.col("confidence") >= LEAST_CANDIDATE) | (ground & signal)).select("from_id", "to_id", "connection_type", "confidence")
+        order = Window.partitionBy("from_id").orderBy(F.desc("confidence"), "to_id")
+        fit = fit if best is None else fit.unionByName(best.drop("place")).distinct()
+        best = checkpointed(fit.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k))
+    return best
 
 
 def apply_connection_decisions(candidates: DataFrame, decisions: DataFrame) -> DataFrame:

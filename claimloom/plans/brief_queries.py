@@ -344,13 +344,28 @@ def promoted_predicates(spark, d):
     return graph.promote_predicates(rows)
 
 
-@query(f"""WITH {V.CLAIMS}, {_CONNECTIONS}, x AS (SELECT from_id, to_id, confidence - 0.5 AS confidence FROM connections), risks AS (SELECT claim_id FROM claims WHERE claim_type = 'risk'),
-r AS (SELECT *, row_number() OVER (PARTITION BY from_id ORDER BY confidence DESC, to_id) AS place FROM x WHERE confidence >= 0.12 OR from_id IN (SELECT claim_id FROM risks) OR to_id IN (SELECT claim_id FROM risks)) SELECT from_id, to_id, round(confidence, 6) AS confidence, place FROM r WHERE place <= 120""")
+_SIGNALS = ", ".join(f"'{t}'" for t in graph.WORK_SIGNALS)
+
+
+@query(f"""WITH {V.CLAIMS}, f AS MATERIALIZED (
+  SELECT claim_id, doc_id, source, lang, claim_type, {V.NORM_WORDS.format('statement')} AS t, {V.TOKENS.format('statement')} AS k FROM claims
+), j AS (
+  SELECT a.claim_id AS from_id, b.claim_id AS to_id, a.claim_type AS ta, b.claim_type AS tb, a.t = b.t AND a.t <> '' AS equal, (a.source = b.source)::INT::DOUBLE AS entities,
+    (a.source = b.source AND a.lang = b.lang)::INT::DOUBLE AS schemas, (a.doc_id = b.doc_id)::INT::DOUBLE AS same_source, {V.JACCARD.format('a.k', 'b.k')} AS tokens
+  FROM f a JOIN f b ON a.claim_id < b.claim_id
+), g AS (
+  SELECT *, equal OR entities > 0 OR schemas > 0 OR same_source > 0 OR tokens >= 0.22 AS grounded, ta IN ({_SIGNALS}) OR tb IN ({_SIGNALS}) AS signal FROM j
+), s AS (
+  SELECT *, CASE WHEN equal THEN 0.97::DOUBLE ELSE least(0.94::DOUBLE, CASE WHEN grounded AND
+    list_sort([ta, tb]) IN (['dependency', 'risk'], ['ownership_statement', 'reported_decision'], ['scope_statement', 'strategic_statement']) THEN 0.1::DOUBLE ELSE 0.0::DOUBLE END
+    + entities * 0.24::DOUBLE + schemas * 0.2::DOUBLE + same_source * 0.12::DOUBLE + tokens * 0.2::DOUBLE) END AS raw FROM g
+), r AS (
+  SELECT from_id, to_id, round(raw, 3) AS confidence, row_number() OVER (PARTITION BY from_id ORDER BY round(raw, 3) DESC, to_id) AS place
+  FROM s WHERE round(raw, 3) >= 0.12 OR (grounded AND signal)
+) SELECT * FROM r WHERE place <= 120""")
 def connection_candidates(spark, d):
-    rows = _graph_claims(spark, d)
-    pairs = graph.connections(rows).select("from_id", "to_id", (F.col("confidence") - 0.5).alias("confidence"))
-    found = graph.connection_candidates(pairs, rows.where("claim_type = 'risk'"))
-    return rounded(found.withColumn("place", F.col("place").cast("long")), "confidence")
+    found = graph.connection_candidates(_graph_claims(spark, d)).select("from_id", "to_id", "confidence", F.col("place").cast("long").alias("place"))
+    return rounded(found, "confidence")
 
 
 @query(f"""WITH {V.CLAIMS}, {_CONNECTIONS}, n AS (SELECT *, length(from_id || to_id) % 4 AS h FROM connections)

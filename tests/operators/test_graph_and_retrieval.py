@@ -26,6 +26,24 @@ def test_connections_lose_no_pair(spark):
     assert got == expected and len(got) > 50
 
 
+def test_connection_candidates_are_the_best_of_all_pairs(spark):
+    rng = random.Random(9)
+    types = ["risk", "dependency", "fact", "metric", "user_signal", "ownership_statement", "reported_decision"]
+    pick = lambda p, m, n: [f"{p}{rng.randint(0, m)}" for _ in range(rng.randint(0, n))]
+    rows = [(f"c{i:03}", f"v{rng.randint(0, 60)}", " ".join(rng.choices([f"word{k}" for k in range(14)], k=rng.randint(1, 9))), rng.choice(types),
+             pick("ev", 40, 1), pick("ent", 3, 2), pick("sch", 2, 2), pick("rel", 20, 1), []) for i in range(140)]
+    features = graph.connection_features(claims(spark, rows))
+    every = features.select(F.col("claim_id").alias("left_id")).crossJoin(features.select(F.col("claim_id").alias("right_id"))).where("left_id < right_id")
+    for k in (4, 120):
+        best: dict = {}
+        for r in graph.score_pairs(every, features).collect():
+            work = {r.left_claim_type, r.right_claim_type} & set(graph.WORK_SIGNALS)
+            if r.confidence >= 0.12 or (r.grounded and work):
+                best.setdefault(r.from_id, []).append((-r.confidence, r.to_id))
+        expected = {(a, b, -c) for a, near in best.items() for c, b in sorted(near)[:k]}
+        assert {(r.from_id, r.to_id, r.confidence) for r in graph.connection_candidates(claims(spark, rows), k).collect()} == expected
+
+
 def test_conflicts(spark):
     rows = [("a", "v1", "launch plan approved for north region", "fact", [], ["North"], [], [], []),
             ("b", "v2", "north region blocked", "dependency", [], ["north"], [], [], []),
