@@ -102,6 +102,12 @@ def jaccard(left: Column, right: Column) -> Column:
     )
 
 
+def distinct_jaccard(left: Column, right: Column) -> Column:
+    """``jaccard`` of arrays without repeated values, by their sizes and what they share."""
+    both = F.size(F.array_intersect(left, right))
+    return F.when((F.size(left) == 0) | (F.size(right) == 0), F.lit(0.0)).otherwise(both / (F.size(left) + F.size(right) - both))
+
+
 def issue_tickets(text: Column) -> Column:
     """Ticket ids such as ABC-12 in upper case, distinct and sorted."""
     found = F.regexp_extract_all(F.upper(text), F.lit("\\b[A-Z][A-Z0-9]{1,15}-[0-9]{1,10}\\b"), F.lit(0))
