@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import gc
 import tempfile
-from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,18 +56,6 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-@contextmanager
-def planned_once(spark: SparkSession):
-    """Jobs that run inside are not planned again while they run; the session's setting comes back afterwards."""
-    name = "spark.sql.adaptive.enabled"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "false")
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
 def forget(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files and plans of past rounds, which it does when the driver collects garbage."""
     gc.collect()

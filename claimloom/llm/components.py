@@ -1,22 +1,27 @@
-"""Connected components of an edge table by alternating large and small stars.
+"""Connected components of an edge table: forests inside partitions, then alternating large and small stars.
 
-Every round replaces a node's links by links to the least node it knows; after few rounds
-(logarithmic in the longest chain) each node links to its component's least node. Rounds are
-joins and aggregations over the edge table; it is cut through the shared checkpoint
+First every partition replaces its edges by a spanning forest, each tree's nodes linked to its least node (union-find over
+a bounded number of nodes at a time), so that chains and dense groups are mostly gone before anything is shuffled. Every
+round then replaces a node's links by links to the least node it knows; after few rounds each node links to its
+component's least node. Rounds are joins and aggregations over the edge table; it is cut through the shared checkpoint
 folder after each, and only a row count and a sum of hashes reach the driver. Joins are sort-merge joins at every
-size, so that many rounds leave no broadcast tables in the driver, and they are planned once each: hubs are salted, so there
-is nothing for adaptive execution to mend, and its threads and plans would pile up in the driver over the rounds.
+size, so that many rounds leave no broadcast tables in the driver; hubs are salted.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimloom.llm.common import checkpointed, forget, planned_once
+from claimloom.llm.common import checkpointed, forget
 
 #: A node's own links are joined in this many parts, so that a hub is not one join key.
 SALTS = 16
+#: Nodes that a partition's union-find holds before its forest is put out.
+FOREST = 200_000
 
 
 def _with_least(links: DataFrame) -> DataFrame:
@@ -40,17 +45,46 @@ def _edges(pairs: DataFrame) -> DataFrame:
     return pairs.where("p <> q").select(F.greatest("p", "q").alias("u"), F.least("p", "q").alias("v")).distinct()
 
 
+def _forests(pairs: DataFrame) -> DataFrame:
+    """(p, q) pairs with the components of the given ones: per partition a star for each tree of its spanning forest."""
+
+    def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least: dict = {}
+
+        def root(x):
+            top = x
+            while (up := least.get(top, top)) != top:
+                top = up
+            while (up := least.get(x, x)) != top:
+                least[x] = top
+                x = up
+            return top
+
+        def found() -> pa.RecordBatch:
+            nodes = [x for x in least if root(x) != x]
+            return pa.RecordBatch.from_arrays([pa.array(nodes, kind), pa.array([least[x] for x in nodes], kind)], ["p", "q"])
+
+        for batch in batches:
+            kind = batch.schema.field(0).type
+            for p, q in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                a, b = root(p), root(q)
+                least[max(a, b)] = least[min(a, b)] = min(a, b)
+            if len(least) > FOREST:
+                yield found()
+                least.clear()
+        if least:
+            yield found()
+
+    return pairs.mapInArrow(stars, pairs.schema)
+
+
 def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component) for every node of an edge between two different nodes.
 
     ``component`` is the least node of the component. Nodes are of any ordered type but null.
     """
-    with planned_once(edges.sparkSession):
-        return _components(edges, a, b)
-
-
-def _components(edges: DataFrame, a: str, b: str) -> DataFrame:
-    edges = checkpointed(_edges(edges.select(F.col(a).alias("p"), F.col(b).alias("q"))))
+    edges = edges.select(F.col(a).alias("p"), F.col(b).alias("q")).where("p <> q")
+    edges = checkpointed(_edges(_forests(edges)))
     mark = None
     while True:
         large = _with_least(_both(edges)).where("y > x").select(F.col("y").alias("p"), F.col("least").alias("q"))
