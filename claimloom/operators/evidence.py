@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 
 import pandas as pd
@@ -138,6 +139,43 @@ def message_content(text: Column, parts: Column) -> Column:
     return F.concat_ws("\n\n", F.array_distinct(F.filter(trimmed, lambda p: F.length(p) > 0)))
 
 
+# Fields of nested parts whose strings are content.
+TEXT_FIELDS = ("text", "title", "pretext", "fallback", "author_name", "footer")
+
+
+@F.pandas_udf("array<string>")
+def nested_texts(parts: pd.Series) -> pd.Series:
+    """The strings under the content fields of a JSON value, at any depth, in the order in which they are written.
+
+    A field that repeats in an object counts once, at its first place with its last value. What is no JSON has none. (VARIANT sorts an
+    object's fields, so the written order is lost there.)
+    """
+
+    def found(part) -> list[str]:
+        try:
+            stack, out = [json.loads(part)], []
+        except (TypeError, ValueError, RecursionError):
+            return []
+        if isinstance(stack[0], str):
+            return []
+        while stack:
+            value = stack.pop()
+            if isinstance(value, str):
+                out.append(value)
+            elif isinstance(value, list):
+                stack.extend(v for v in reversed(value) if isinstance(v, dict | list))
+            elif isinstance(value, dict):
+                stack.extend(v for k, v in reversed(value.items()) if isinstance(v, dict | list) or isinstance(v, str) and k in TEXT_FIELDS)
+        return out
+
+    return parts.map(found)
+
+
+def nested_message_content(text: Column, blocks: Column, attachments: Column) -> Column:
+    """A message's text and the texts in its blocks, then its attachments (JSON), each once, joined by a blank line."""
+    return message_content(text, F.concat(nested_texts(blocks), nested_texts(attachments)))
+
+
 def ingest_once(batch: DataFrame, existing: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """The first row of each key that is not there yet."""
     first = Window.partitionBy(*key).orderBy(*order)

@@ -6,7 +6,6 @@ to finish within that start's lease, and is timed out if no finish lies between
 
 from __future__ import annotations
 
-import datetime
 import json
 from collections.abc import Iterator
 
@@ -53,7 +52,7 @@ class _Deadlines(StatefulProcessor):
         kept = json.loads(self.held.get()[0]) if self.held.exists() else {"start": None, "ends": [], "timer": None}
         for pdf in rows:
             for r in pdf.itertuples():
-                at = _micros(r.ts)
+                at = int(r.at)
                 if r.kind == "started":
                     new = [at, float(r.lease_seconds)]
                     kept["start"] = new if kept["start"] is None else min(kept["start"], new)
@@ -77,28 +76,23 @@ class _Deadlines(StatefulProcessor):
             start, deadline = kept["start"][0], _deadline(kept["start"])
             if not any(start <= e <= deadline for e in kept["ends"]):
                 name = "terminal" if int(key[1]) >= ATTEMPTS else "retryable"
-                yield pd.DataFrame({"run_id": [key[0]], "attempt": [int(key[1])], "started_at": [_time(start)], "deadline": [_time(deadline)], "outcome": [name]})
+                yield pd.DataFrame({"run_id": [key[0]], "attempt": [int(key[1])], "start": [start], "end": [deadline], "outcome": [name]})
 
     def close(self) -> None:
         pass
 
 
-def _micros(ts: pd.Timestamp) -> int:
-    return int(ts.value // 1000)
-
-
 def _deadline(start: list) -> int:
     return start[0] + round(start[1] * 1e6)
 
 
-def _time(micros: int) -> pd.Timestamp:
-    return pd.Timestamp(datetime.datetime(1970, 1, 1) + datetime.timedelta(microseconds=micros))
-
-
 def stream_expired_runs(events: DataFrame, late: str = "10 minutes") -> DataFrame:
     """The attempts that missed their deadline, each once, when the watermark passes the deadline; its state goes then.
 
     Equal to ``expired_runs`` as of the watermark for events in any order, repeated or up to ``late`` behind. Needs the
     RocksDB state store.
     """
-    return events.withWatermark("ts", late).groupBy("run_id", "attempt").transformWithStateInPandas(_Deadlines(), RESULT, "Append", "EventTime")
+    # Times go to the state as microseconds, which no time zone changes.
+    rows = events.withWatermark("ts", late).withColumn("at", F.unix_micros("ts")).groupBy("run_id", "attempt")
+    found = rows.transformWithStateInPandas(_Deadlines(), "run_id string, attempt int, start long, end long, outcome string", "Append", "EventTime")
+    return found.select("run_id", "attempt", F.timestamp_micros("start").alias("started_at"), F.timestamp_micros("end").alias("deadline"), "outcome")

@@ -3,12 +3,12 @@
 import duckdb
 import pytest
 
-from claimloom.plans import brief_queries, check_queries
+from claimloom.plans import brief_queries, check_queries, stream_queries
 from claimloom.plans.queries import QUERIES, SQL
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = ["documents", "embeddings", "pages", "benchmark", "conversations", "events", "orders"]
-NAMES = sorted(n for n, f in QUERIES.items() if f.__module__ in (check_queries.__name__, brief_queries.__name__) and n in SQL)
+NAMES = sorted(n for n, f in QUERIES.items() if f.__module__ in (check_queries.__name__, brief_queries.__name__, stream_queries.__name__) and n in SQL)
 
 
 @pytest.fixture(scope="module")
