@@ -23,12 +23,12 @@ def _active(spark, d, rows):
 
 # Briefs -----------------------------------------------------------------------------------
 
-_MEMBERS = """members AS (SELECT conv_id AS brief_id, turn, claim_id, evidence, doc_id, statement, claim_type FROM conversations JOIN claims ON claim_id = 'mem_' || (conv_id * 3 + turn) || '_0' WHERE turn < 4)"""
+_MEMBERS = """members AS (SELECT conv_id AS brief_id, turn, claim_id, evidence, doc_id, statement, claim_type FROM conversations JOIN claims ON claim_id = 'mem_' || (conv_id * 3 + turn) || '_0')"""
 
 
 def _members(spark, d, rows):
-    """Four claims for each conversation, as its brief."""
-    asked = table(spark, d, "conversations").where("turn < 4").select(
+    """A claim for each turn of a conversation, as its brief."""
+    asked = table(spark, d, "conversations").select(
         F.col("conv_id").alias("brief_id"), "turn", F.concat(F.lit("mem_"), (F.col("conv_id") * 3 + F.col("turn")).cast("string"), F.lit("_0")).alias("claim_id")
     )
     return asked.join(rows, "claim_id")
@@ -318,7 +318,7 @@ def opportunity_signals(spark, d):
     return rounded(found.select("cluster_key", "recent_momentum", "urgency", "novelty", "staleness", "existing_brief"), "recent_momentum", "urgency", "staleness")
 
 
-@query(f"""WITH {V.CLAIMS}, {_KEYS}, {_CONNECTIONS}, near AS (SELECT DISTINCT 'mem_' || user_id || '_0' AS a, 'mem_' || event_id % 97 || '_0' AS b, (event_id % 97) / 100 AS c FROM events WHERE event_id < 600 AND user_id <> event_id % 97),
+@query(f"""WITH {V.CLAIMS}, {_KEYS}, {_CONNECTIONS}, near AS (SELECT DISTINCT 'mem_' || user_id || '_0' AS a, 'mem_' || event_id % 97 || '_0' AS b, (event_id % 97) / 100 AS c FROM events WHERE user_id <> event_id % 97),
 sim AS (SELECT least(a, b) || '|' || greatest(a, b) AS pair, unnest([a, b]) AS claim_id, least(0.9, 0.5 + c * 0.4) AS score FROM near WHERE c >= 0.55),
 more AS (SELECT * FROM keys UNION ALL SELECT CASE WHEN connection_type IN ('depends_on', 'blocks') THEN 'dependency:' ELSE 'connection:' || connection_type || ':' END || from_id || '|' || to_id, 'narrow_decision', unnest([from_id, to_id]), least(0.98, 0.55 + confidence * 0.4) FROM connections
  UNION ALL SELECT 'similarity:' || pair, 'narrow_decision', claim_id, score FROM sim),
@@ -327,7 +327,7 @@ SELECT cluster_key, resolution, count(*) AS n_members, round(sum(score), 6) AS t
 def linked_clusters(spark, d):
     """Clusters by all keys, those of connections and of similar claims among them."""
     claims = _graph_claims(spark, d)
-    near = table(spark, d, "events").where("event_id < 600 and user_id <> event_id % 97").select(
+    near = table(spark, d, "events").where("user_id <> event_id % 97").select(
         F.concat(F.lit("mem_"), "user_id", F.lit("_0")).alias("from_id"), F.concat(F.lit("mem_"), F.col("event_id") % 97, F.lit("_0")).alias("to_id"), (F.col("event_id") % 97 / 100).alias("similarity")
     ).distinct()
     found = synthesis.discover_clusters(synthesis.cluster_keys(claims, graph.connections(claims), near))
@@ -493,19 +493,19 @@ def lexical_recall(spark, d):
     return retrieval.lexical_recall(_questions(spark, d), rows, texts).withColumn("rank", F.col("rank").cast("long"))
 
 
-_PHRASES = """asked AS (SELECT item_id AS query_id, lower(trim(text)) AS phrase FROM benchmark WHERE length(trim(text)) > 0 UNION ALL SELECT -1 - (doc_id % 20), lower(substr(statement, 3, 30)) FROM claims WHERE claim_id = 'mem_' || doc_id || '_0' AND doc_id < 20 UNION ALL SELECT -100, 'a '),
+_PHRASES = """asked AS (SELECT item_id AS query_id, lower(trim(text)) AS phrase FROM benchmark WHERE length(trim(text)) > 0 UNION ALL SELECT -1000 - doc_id, lower(trim(substr(statement, 3, 30))) FROM claims WHERE claim_id = 'mem_' || doc_id || '_0' AND doc_id % 20 = 0 UNION ALL SELECT -100, 'a '),
 words AS (SELECT DISTINCT query_id, unnest(list_filter(regexp_split_to_array(trim(phrase), '\\s+'), lambda t: length(t) > 2)) AS token FROM asked),
 h AS (SELECT query_id, claim_id, count(*) AS n FROM words JOIN claims ON contains(lower(statement), token) GROUP BY 1, 2),
 phrases AS (SELECT query_id, claim_id, (coalesce(n, 0) + CASE WHEN contains(lower(statement), trim(phrase)) THEN 2 ELSE 0 END)::DOUBLE AS score FROM asked JOIN claims ON true LEFT JOIN h USING (query_id, claim_id) WHERE n > 0 OR contains(lower(statement), trim(phrase)))"""
 
 
-@query(f"WITH {V.CLAIMS}, {_PHRASES} SELECT query_id, claim_id, score FROM phrases WHERE score >= 4 OR query_id = -100")
+@query(f"WITH {V.CLAIMS}, {_PHRASES} SELECT query_id, claim_id, score FROM phrases")
 def phrase_scores(spark, d):
     """Benchmark items, pieces of statements and one query without a word, against all statements."""
     rows = derive.claims(spark, d)
-    pieces = rows.where("doc_id < 20 and part = 0").select((-1 - F.col("doc_id") % 20).alias("query_id"), F.substring("statement", 3, 30).alias("query"))
+    pieces = rows.where("doc_id % 20 = 0 and part = 0").select((-1000 - F.col("doc_id")).alias("query_id"), F.substring("statement", 3, 30).alias("query"))
     queries = _questions(spark, d).union(pieces).union(spark.createDataFrame([(-100, "a ")], "query_id long, query string"))
-    return retrieval.phrase_scores(queries, rows.select("claim_id", "statement")).where("score >= 4 or query_id = -100")
+    return retrieval.phrase_scores(queries, rows.select("claim_id", "statement"))
 
 
 @query("SELECT DISTINCT user_id AS query_id, 'claim:mem_' || event_id % 9 || '_0' AS node_id, 'mem_' || event_id % 9 || '_0' AS target_id, 1.0::DOUBLE AS score FROM events WHERE event_type = 'click'")

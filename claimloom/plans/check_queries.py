@@ -47,11 +47,11 @@ def merged_tickets(spark, d):
     return rows.select("doc_id", F.array_join(T.merged_identities(found, known), ",").alias("tickets"))
 
 
-@query("""SELECT event_id, 'T1:C' || user_id || ':' || floor(epoch(ts))::BIGINT || '.' || lpad((event_id % 1000000)::VARCHAR, CASE WHEN event_id % 9 = 0 THEN 5 ELSE 6 END, '0') AS external_id, event_id % 9 <> 0 AS canonical FROM events WHERE event_id < 100000""")
+@query("""SELECT event_id, 'T1:C' || user_id || ':' || floor(epoch(ts))::BIGINT || '.' || lpad((event_id % 1000000)::VARCHAR, CASE WHEN event_id % 9 = 0 THEN 5 ELSE 6 END, '0') AS external_id, event_id % 9 <> 0 AS canonical FROM events""")
 def external_ids(spark, d):
     part = F.lpad((F.col("event_id") % 1000000).cast("string"), 6, "0")
     ts = F.concat(F.unix_timestamp("ts").cast("string"), F.lit("."), F.when(F.col("event_id") % 9 == 0, F.lpad((F.col("event_id") % 1000000).cast("string"), 5, "0")).otherwise(part))
-    rows = table(spark, d, "events").where("event_id < 100000").select("event_id", F.lit("T1").alias("workspace"), F.concat(F.lit("C"), "user_id").alias("channel"), ts.alias("ts"))
+    rows = table(spark, d, "events").select("event_id", F.lit("T1").alias("workspace"), F.concat(F.lit("C"), "user_id").alias("channel"), ts.alias("ts"))
     return context.saved_ids(rows).select("event_id", "external_id", "canonical")
 
 
@@ -290,11 +290,11 @@ def approvals_required(spark, d):
     return validation.approval_required(rows)
 
 
-_DECIDED = f"""decided AS (SELECT 'mem_' || (event_id % 2000) || '_0' AS claim_id, CASE event_id % 3 WHEN 0 THEN 'corrected' ELSE 'verified' END AS decision, CASE WHEN event_id % 2 = 0 THEN 'x' END AS correction FROM events WHERE event_id < 4500)"""
+_DECIDED = f"""decided AS (SELECT 'mem_' || (event_id % 2000) || '_0' AS claim_id, CASE event_id % 3 WHEN 0 THEN 'corrected' ELSE 'verified' END AS decision, CASE WHEN event_id % 2 = 0 THEN 'x' END AS correction FROM events)"""
 
 
 def _decided(spark, d):
-    return table(spark, d, "events").where("event_id < 4500").select(
+    return table(spark, d, "events").select(
         F.concat(F.lit("mem_"), (F.col("event_id") % 2000).cast("string"), F.lit("_0")).alias("claim_id"),
         F.when(F.col("event_id") % 3 == 0, F.lit("corrected")).otherwise(F.lit("verified")).alias("decision"), F.when(F.col("event_id") % 2 == 0, F.lit("x")).alias("correction"),
     )
@@ -328,20 +328,20 @@ def conflict_issues(spark, d):
     return validation.conflict_issues(rows)
 
 
-_TRIED = """tried AS (SELECT event_id % 3000 AS candidate_id, event_type AS connection_type, value / 100 AS confidence, CASE WHEN event_id % 5 = 0 THEN 'b' ELSE 'a' END AS e FROM events WHERE event_id < 4000)"""
+_TRIED = """tried AS (SELECT event_id % 3000 AS candidate_id, event_type AS connection_type, value / 100 AS confidence, CASE WHEN event_id % 5 = 0 THEN 'b' ELSE 'a' END AS e FROM events)"""
 
 
-@query(f"""WITH {_TRIED}, known AS (SELECT event_id AS candidate_id FROM events WHERE event_id < 2500)
+@query(f"""WITH {_TRIED}, known AS (SELECT DISTINCT event_id % 3000 AS candidate_id FROM events WHERE event_id % 6 <> 5)
 SELECT candidate_id AS subject_id, 'unknown_candidate' AS code FROM tried WHERE candidate_id NOT IN (SELECT candidate_id FROM known) UNION SELECT candidate_id, 'duplicate_decision' FROM tried GROUP BY 1 HAVING count(*) > 1
 UNION SELECT candidate_id, 'unknown_connection_type' FROM tried WHERE connection_type = 'error' UNION SELECT candidate_id, 'invalid_connection_confidence' FROM tried WHERE confidence > 1
 UNION SELECT candidate_id, 'unavailable_evidence' FROM tried JOIN known USING (candidate_id) WHERE e = 'b'""")
 def connection_decision_issues(spark, d):
     events = table(spark, d, "events")
-    rows = events.where("event_id < 4000").select(
+    rows = events.select(
         (F.col("event_id") % 3000).alias("candidate_id"), F.col("event_type").alias("connection_type"), (F.col("value") / 100).alias("confidence"),
         F.when(F.col("event_id") % 5 == 0, F.array(F.lit("b"))).otherwise(F.array(F.lit("a"))).alias("evidence"),
     )
-    known = events.where("event_id < 2500").select(F.col("event_id").alias("candidate_id"), F.array(F.lit("a")).alias("evidence"))
+    known = events.where("event_id % 6 <> 5").select((F.col("event_id") % 3000).alias("candidate_id"), F.array(F.lit("a")).alias("evidence")).distinct()
     return validation.connection_decision_issues(rows, known, ["view", "click", "purchase", "search", "login", "logout", "signup"])
 
 

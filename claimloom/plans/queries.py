@@ -685,11 +685,11 @@ def cited_answers(spark, d):
 
 
 @query(f"""WITH {V.CLAIMS}, {_SPARSE}, {_CONNECTIONS}, links AS (SELECT from_id, to_id, confidence FROM connections UNION ALL SELECT to_id, from_id, confidence FROM connections),
-every AS (SELECT query_id, claim_id, score FROM sparse WHERE rank <= 8 UNION ALL SELECT query_id, to_id, score * confidence FROM sparse JOIN links ON from_id = claim_id WHERE rank <= 8),
+every AS (SELECT query_id, claim_id, score FROM sparse WHERE rank <= 32 UNION ALL SELECT query_id, to_id, score * confidence FROM sparse JOIN links ON from_id = claim_id WHERE rank <= 32),
 best AS (SELECT query_id, claim_id, round(max(score), 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY max(score) DESC, claim_id) AS rank FROM every GROUP BY 1, 2)
 SELECT query_id, claim_id, score FROM best WHERE rank <= 20""")
 def one_hop_recall(spark, d):
-    found = retrieval.expand_one_hop(_sparse(spark, d).where("rank <= 8"), graph.connections(_graph_claims(spark, d)))
+    found = retrieval.expand_one_hop(_sparse(spark, d).where("rank <= 32"), graph.connections(_graph_claims(spark, d)))
     return rounded(found.select("query_id", "claim_id", "score"), "score")
 
 
