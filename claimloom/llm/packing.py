@@ -119,11 +119,11 @@ class WordEncoder:
         return [b"".join(map(known.__getitem__, words)) for words in texts]
 
 
-def shared_encoder(path: str) -> WordEncoder:
+def shared_encoder(path: str, cache_words: int = CACHE_WORDS) -> WordEncoder:
     """The worker process's encoder for a file, kept from one task to the next."""
     kept = sys.modules.setdefault("claimloom_worker_state", types.ModuleType("claimloom_worker_state"))
-    if getattr(kept, "path", None) != path:
-        kept.path, kept.encoder = path, WordEncoder(path)
+    if getattr(kept, "of", None) != (path, cache_words):
+        kept.of, kept.encoder = (path, cache_words), WordEncoder(path, cache_words)
     return kept.encoder
 
 
@@ -247,9 +247,12 @@ def pack_documents(
     text: str = "text",
     size: int = WINDOW,
     with_ids: bool = True,
+    cache_words: int = CACHE_WORDS,
 ) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids.
 
+    ``cache_words`` bounds what each worker process keeps (some 300 bytes a word); results do not depend on it.
+
     ``tokenizer_path`` must be readable on the executors; by default it is the installed
     public vocabulary's file there.
     """
@@ -260,7 +263,7 @@ def pack_documents(
             import public_tokenizers
 
             path = public_tokenizers.path("word_bpe_49k.json")
-        yield from pack_partition(batches, shared_encoder(path), size, TaskContext.get().partitionId(), with_ids)
+        yield from pack_partition(batches, shared_encoder(path, cache_words), size, TaskContext.get().partitionId(), with_ids)
 
     rows = docs.select(F.col(key).cast("long"), F.coalesce(F.col(text), F.lit("")).cast("binary"))
     packed = rows.mapInArrow(pack, PIECES)
