@@ -8,6 +8,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from claimloom.functions.text import PAGE_BLOCK, attachment_kind, content_hash, normalize_text, trim_space
 
@@ -143,7 +144,7 @@ def message_content(text: Column, parts: Column) -> Column:
 TEXT_FIELDS = ("text", "title", "pretext", "fallback", "author_name", "footer")
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def nested_texts(parts: pd.Series) -> pd.Series:
     """The strings under the content fields of a JSON value, at any depth, in the order in which they are written.
 

@@ -6,9 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from claimloom.functions import text as T
-from claimloom.operators import context, evidence, graph, metrics, retrieval, review, sections, synthesis, validation
+from claimloom.functions.stemming import lexemes
+from claimloom.operators import context, evidence, graph, metrics, neighborhoods, retrieval, review, sections, synthesis, validation, vector_index
 from claimloom.plans import views as V
-from claimloom.plans.queries import _questions, _reviews, _sparse, _SPARSE, query, rounded
+from claimloom.plans.queries import _CONNECTIONS, _graph_claims, _questions, _reviews, _sparse, _SPARSE, query, rounded
 from claimloom.sources import derive
 from claimloom.sources.derive import table
 from claimloom.sources.shared import checkpointed
@@ -195,13 +196,46 @@ def text_matches(spark, d):
     return synthesis.text_match(seeds, rows.select("claim_id", T.connection_tokens(F.col("statement")).alias("tokens")))
 
 
-@query(f"""WITH {V.CLAIMS}, c AS (SELECT claim_id, 0 AS priority, doc_id AS created FROM claims WHERE doc_id % 20 = 0 UNION ALL SELECT claim_id, 2, doc_id FROM claims WHERE source = 'src3' UNION ALL SELECT claim_id, 4, doc_id FROM claims)
-SELECT claim_id, priority::BIGINT AS priority FROM (SELECT claim_id, min(priority) AS priority, max(created) AS created FROM c GROUP BY 1) ORDER BY 2, created DESC, claim_id LIMIT 500""")
+def _seed_neighborhoods(spark, d, matches):
+    rows = checkpointed(derive.claims(spark, d))
+    active = review.active_claims(rows, _reviews(spark, d)).select("claim_id", F.col("doc_id").alias("created"))
+    vectors = table(spark, d, "embeddings").select(F.concat(F.lit("mem_"), "vec_id", F.lit("_0")).alias("target_id"), "embedding", "vec_id")
+    asked = vectors.where("vec_id % 20 = 0").select(F.col("target_id").alias("query_id"), "embedding")
+    similar = vector_index.indexed_pairs(asked, vector_index.build_index(vectors), 0.25)
+    named = rows.select("claim_id", F.explode(F.array(F.concat(F.lit("entity:"), "source"), F.concat_ws(":", F.lit("schema"), "lang", "source"))).alias("key"))
+    seeds = rows.where("doc_id % 20 = 0")
+    found = neighborhoods.seed_neighborhoods(
+        seeds.select(F.col("doc_id").alias("seed_group"), "claim_id"), active, graph.connections(_graph_claims(spark, d)), similar, named, matches(seeds, rows))
+    return found.select("seed_group", "claim_id", F.col("priority").cast("long").alias("priority"), F.col("place").cast("long").alias("place"))
+
+
+@query(f"""WITH {V.CLAIMS}, {V.REVIEWS}, {_CONNECTIONS}, act AS (SELECT claim_id, doc_id AS created FROM claims WHERE claim_id NOT IN (SELECT claim_id FROM reviews WHERE review IN ('remove', 'edit'))),
+seeds AS (SELECT doc_id AS seed_group, claim_id, source FROM claims WHERE doc_id % 20 = 0), t AS (SELECT claim_id, doc_id, {V.TOKENS.format('statement')} AS k FROM claims),
+v AS (SELECT 'mem_' || vec_id || '_0' AS id, vec_id, embedding::DOUBLE[] AS e FROM embeddings), scored AS (SELECT a.id AS q, b.id AS t, round(list_cosine_similarity(a.e, b.e), 9) AS score FROM v a JOIN v b ON a.vec_id % 20 = 0),
+cos AS (SELECT q, t FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, t) AS n FROM scored) WHERE n <= 64 AND score >= 0.25 AND q <> t),
+c AS (
+  SELECT seed_group, claim_id, 0 AS priority FROM seeds UNION ALL SELECT seed_group, to_id, 1 FROM seeds JOIN connections ON from_id = claim_id UNION ALL SELECT seed_group, from_id, 1 FROM seeds JOIN connections ON to_id = claim_id
+  UNION ALL SELECT seed_group, t, 1 FROM seeds JOIN cos ON q = claim_id UNION ALL SELECT seed_group, claims.claim_id, 2 FROM (SELECT DISTINCT seed_group, source FROM seeds) JOIN claims USING (source)
+  UNION ALL SELECT a.doc_id, b.claim_id, 3 FROM t a JOIN t b ON a.claim_id <> b.claim_id AND a.doc_id % 20 = 0 AND len(a.k) > 0 AND len(list_intersect(a.k, b.k)) = len(a.k)
+  UNION ALL SELECT seed_group, claims.claim_id, 4 FROM (SELECT DISTINCT seed_group FROM seeds), claims
+), m AS (SELECT seed_group, claim_id, min(priority) AS priority FROM c GROUP BY 1, 2)
+SELECT seed_group, claim_id, priority::BIGINT AS priority, place FROM (SELECT *, row_number() OVER (PARTITION BY seed_group ORDER BY priority, created DESC, claim_id) AS place FROM m JOIN act USING (claim_id)) WHERE place <= 500""")
 def corpus_neighborhoods(spark, d):
+    """Around each twentieth document's claims, with texts matched by their words as they are."""
+    words = lambda df: df.select("claim_id", T.connection_tokens(F.col("statement")).alias("tokens"))
+    return _seed_neighborhoods(spark, d, lambda seeds, rows: synthesis.text_match(words(seeds), words(rows)))
+
+
+@query()
+def stemmed_neighborhoods(spark, d):
+    """The same with texts matched by their lexemes."""
+    return _seed_neighborhoods(spark, d, lambda seeds, rows: synthesis.text_match(lexemes(seeds), lexemes(rows)))
+
+
+@query()
+def stemmed_text_matches(spark, d):
     rows = derive.claims(spark, d)
-    pick = lambda df, p: df.select("claim_id", F.lit(p).alias("priority"), F.col("doc_id").alias("created"))
-    every = pick(rows.where("doc_id % 20 = 0"), 0).union(pick(rows.where("source = 'src3'"), 2)).union(pick(rows, 4))
-    return synthesis.corpus_neighborhood(every).select("claim_id", F.col("priority").cast("long").alias("priority"))
+    return synthesis.text_match(lexemes(rows.where("doc_id % 20 = 0")), lexemes(rows))
 
 
 @query(f"""WITH {V.LEDGER}, v AS (SELECT user_id AS draft_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS version, event_type, k FROM ledger)
