@@ -8,13 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimloom.functions import text as T
-from claimloom.operators import chains, evidence
+from claimloom.operators import chains, cluster_versions, evidence
 from claimloom.plans import views as V
 from claimloom.plans.queries import query
 from claimloom.sources import derive
 from claimloom.sources.derive import table
-from claimloom.sources.shared import shared_folder
-from claimloom.streaming import routing, runs
+from claimloom.sources.shared import checkpointed, shared_folder
+from claimloom.streaming import ledger, routing, runs
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -162,6 +162,53 @@ def streamed_expired_runs(spark, d):
     return _plain(run_up(spark, runs.stream_expired_runs(_runs(_events_stream(spark, d)), "1 day"), "append", runs.RESULT))
 
 
+# I13 --------------------------------------------------------------------------------------
+
+_SKETCH = """sketch AS (
+  SELECT event_type AS policy, date_trunc('hour', ts) AS hour, CASE WHEN value > 0 THEN floor(ln(value) / ln(1.02::DOUBLE))::BIGINT END AS bucket, count(*) AS n FROM events WHERE value IS NOT NULL GROUP BY 1, 2, 3
+), days AS (SELECT policy, bucket, sum(n) AS n FROM sketch GROUP BY 1, 2), ranked AS (
+  SELECT *, sum(n) OVER (PARTITION BY policy ORDER BY bucket NULLS FIRST) AS upto, sum(n) OVER (PARTITION BY policy) AS every FROM days
+)"""
+
+
+@query(f"WITH {_SKETCH} SELECT policy, round(arg_min(pow(1.02::DOUBLE, bucket + 0.5), upto), 6) AS p95_latency FROM ranked WHERE upto >= ceil(0.95 * every) GROUP BY 1")
+def latency_quantiles(spark, d):
+    """Sketches stored per hour and policy, merged to policies, read at 95 per cent."""
+    rows = table(spark, d, "events").select(F.date_trunc("hour", "ts").alias("hour"), F.col("event_type").alias("policy"), F.col("value").alias("latency"))
+    merged = ledger.merge_sketches(ledger.latency_sketch(rows, ["hour", "policy"]), ["policy"])
+    return ledger.sketch_quantile(merged, ["policy"], 0.95, "p95_latency").withColumn("p95_latency", F.round("p95_latency", 6))
+
+
+# H11, H12 ---------------------------------------------------------------------------------
+
+_VERSIONS = f"""m AS (SELECT 'entity:' || source AS cluster_key, claim_id, 0.9 AS score, doc_id FROM claims UNION ALL SELECT 'tag:' || lang || ':' || claim_type, claim_id, 0.82, doc_id FROM claims),
+e0 AS (SELECT 'x' || doc_id AS conflict_id, 'mem_' || (doc_id + unnest([0, 1])) || '_0' AS claim_id, 'open' AS status FROM documents), e1 AS (SELECT conflict_id, claim_id, CASE WHEN substr(conflict_id, 2)::BIGINT % 50 = 0 THEN 'resolved' ELSE status END AS status FROM e0),
+s AS (SELECT cluster_key, claim_id, ('0x' || substr(md5(claim_id || ':' || printf('%.3f', score)), 1, 12))::BIGINT::HUGEINT AS h, doc_id FROM m),
+h0 AS (SELECT claim_id, sum(('0x' || substr(md5(conflict_id || ':' || status || ':warning'), 1, 12))::BIGINT::HUGEINT) AS h FROM e0 GROUP BY 1), h1 AS (SELECT claim_id, sum(('0x' || substr(md5(conflict_id || ':' || status || ':warning'), 1, 12))::BIGINT::HUGEINT) AS h FROM e1 GROUP BY 1),
+v0 AS (SELECT cluster_key, count(*) AS n, sha256(cluster_key || '|' || sum(s.h) || '|' || coalesce(sum(h0.h), 0)) AS version FROM s LEFT JOIN h0 USING (claim_id) WHERE doc_id % 25 <> 0 GROUP BY 1),
+v1 AS (SELECT cluster_key, count(*) AS n, sha256(cluster_key || '|' || sum(s.h) || '|' || coalesce(sum(h1.h), 0)) AS version FROM s LEFT JOIN h1 USING (claim_id) WHERE doc_id % 40 <> 1 GROUP BY 1)"""
+
+
+@query(f"""WITH {V.CLAIMS}, {_VERSIONS} SELECT cluster_key, v1.n AS n_members, v1.version, CASE WHEN v0.version = v1.version THEN 0 ELSE 1 END AS last_change,
+CASE WHEN v1.n > 1 AND coalesce(v0.n, 0) < 2 THEN 'new' WHEN v1.n < 2 AND coalesce(v0.n, 0) > 1 THEN 'superseded' WHEN v1.n > 1 AND v0.version = v1.version THEN 'unchanged' WHEN v1.n > 1 THEN 'changed' END AS change FROM v1 LEFT JOIN v0 USING (cluster_key)""")
+def kept_cluster_versions(spark, d):
+    """Clusters of entities and of tagged claim types over two days: documents came and went, and some conflicts were resolved."""
+    rows = checkpointed(derive.claims(spark, d).select("claim_id", "doc_id", "source", "lang", "claim_type"))
+    every = rows.select("doc_id", F.concat(F.lit("entity:"), "source").alias("cluster_key"), "claim_id", F.lit(0.9).alias("score")).union(
+        rows.select("doc_id", F.concat(F.lit("tag:"), "lang", F.lit(":"), "claim_type"), "claim_id", F.lit(0.82)))
+    before, after = "doc_id % 25 <> 0", "doc_id % 40 <> 1"
+    part = lambda where: every.where(where).drop("doc_id")
+    ends = table(spark, d, "documents").select(
+        F.concat(F.lit("x"), "doc_id").alias("conflict_id"), F.explode(F.array("doc_id", F.col("doc_id") + 1)).alias("doc"), (F.col("doc_id") % 50 == 0).alias("over"))
+    state = lambda where, status: ends.where(where).select("conflict_id", F.concat(F.lit("mem_"), "doc", F.lit("_0")).alias("claim_id"), status.alias("status"), F.lit("warning").alias("severity"))
+    first, last = state("true", F.lit("open")), state("true", F.when(F.col("over"), F.lit("resolved")).otherwise(F.lit("open")))
+    old = cluster_versions.cluster_state(part(before), first, F.lit(0))
+    new = cluster_versions.update_state(
+        old, part(before), last, part(f"{after} and not ({before})"), part(f"{before} and not ({after})"),
+        state("over", F.lit("resolved")), state("over", F.lit("open")), F.lit(1))
+    return new.where("n_members > 0").select("cluster_key", "n_members", "version", "last_change", "change")
+
+
 # I15, E4 ----------------------------------------------------------------------------------
 
 

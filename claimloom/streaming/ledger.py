@@ -75,13 +75,47 @@ def timeline(events: DataFrame, limit: int = 100) -> DataFrame:
 
 
 def run_metrics(events: DataFrame) -> DataFrame:
-    """Per policy: runs, mean and 95th percentile latency, share of retries."""
+    """Per policy: runs, mean and exact 95th percentile latency, share of retries; holds the distinct latencies of a policy, as ``latency_sketch`` does not."""
     return events.groupBy("policy").agg(
         F.count("*").alias("n_runs"), F.avg("latency").alias("mean_latency"), F.percentile("latency", 0.95).alias("p95_latency"),
         F.avg((F.col("attempt") > 1).cast("double")).alias("retry_share"),
     )
 
 
+#: Ratio of the bounds of a sketch's buckets: a quantile read from it is within a hundredth of the true one.
+SKETCH_GROWTH = 1.02
+
+
+def latency_sketch(runs: DataFrame, by: list[str], value: str = "latency") -> DataFrame:
+    """``by``, bucket, n: counts of values in buckets that grow by ``SKETCH_GROWTH`` (zero and less in one of their own).
+
+    Counts add up in any order, so sketches of hours merge into days, and of policies into all, by ``merge_sketches``; a group has at most
+    some hundred buckets for each power of ten of its values, whatever it holds. Works on a stream as on a table.
+    """
+    bucket = F.when(F.col(value) > 0, F.floor(F.log(F.col(value)) / F.log(F.lit(SKETCH_GROWTH)))).otherwise(F.lit(None).cast("long"))
+    return runs.where(F.col(value).isNotNull()).groupBy(*by, bucket.alias("bucket")).agg(F.count("*").alias("n"))
+
+
+def merge_sketches(sketches: DataFrame, by: list[str]) -> DataFrame:
+    return sketches.groupBy(*by, "bucket").agg(F.sum("n").alias("n"))
+
+
+def sketch_quantile(sketches: DataFrame, by: list[str], share: float, name: str) -> DataFrame:
+    """The value below which a ``share`` of a sketch's values lies: the middle of its bucket, within one per cent."""
+    order = Window.partitionBy(*by).orderBy(F.col("bucket").asc_nulls_first())
+    rows = sketches.withColumn("_upto", F.sum("n").over(order)).withColumn("_all", F.sum("n").over(Window.partitionBy(*by)))
+    first = rows.where(F.col("_upto") >= F.greatest(F.ceil(F.lit(share) * F.col("_all")), F.lit(1))).groupBy(*by).agg(
+        F.min_by(F.struct("bucket"), F.col("_upto")).alias("_at"))
+    middle = F.pow(F.lit(SKETCH_GROWTH), F.col("_at.bucket") + 0.5)
+    return first.select(*by, F.coalesce(middle, F.lit(0.0)).alias(name))
+
+
+def stream_latency_sketch(runs: DataFrame, width: str = "1 hour", late: str = "1 hour") -> DataFrame:
+    """Sketches per policy and hour of a stream (ts, policy, latency), each window once it is over."""
+    found = latency_sketch(runs.withWatermark("ts", late).withColumn("hour", F.window("ts", width)), ["hour", "policy"])
+    return found.select(F.col("hour.start").alias("hour"), "policy", "bucket", "n")
+
+
 def run_costs(events: DataFrame) -> DataFrame:
     """Per policy: share of runs on the fallback, and tokens in and out (policy, fallback: boolean, tokens_in, tokens_out)."""
     return events.groupBy("policy").agg(
