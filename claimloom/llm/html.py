@@ -301,7 +301,7 @@ def features(node: Node) -> list[str]:
         return [f"text links {dense}", "text", f"text size {size}", f"text in {parent.tag}"]
     plain = _bucket((node.total - node.links) / page if page else 0.0, (0.1, 0.3, 0.6))
     blocks = _bucket(node.paragraphs, (1, 2, 4))
-    out = [f"tag {node.tag}", f"links {dense}", "element", f"plain {plain}", f"blocks {blocks}"]
+    out = [f"tag {node.tag}", f"links {dense}", "element", f"plain {plain}", f"blocks {blocks}", f"tag {node.tag} blocks {blocks}"]
     if parent is not None:
         out += [f"tag {node.tag} in {parent.tag}", f"beside {_bucket(parent.paragraphs, (1, 2, 4))}"]
     return out + [f"name {n}" for n in node.names]
@@ -464,7 +464,7 @@ _LOOSE = (
 )
 
 
-def training_pages(n: int = 360, seed: int = 11, families: tuple[str, ...] = _AROUND + _LOOSE) -> list[str]:
+def training_pages(n: int = 600, seed: int = 11, families: tuple[str, ...] = _AROUND + _LOOSE) -> list[str]:
     """Labelled pages made from families of layouts; ``data-content`` marks the article."""
     rng = random.Random(seed)
 
@@ -487,13 +487,13 @@ def training_pages(n: int = 360, seed: int = 11, families: tuple[str, ...] = _AR
     pages = []
     for i in range(n):
         body = ["<h1>{short}</h1>"] * rng.randint(0, 1) + rng.choices(_BODY, k=rng.randint(1, 9))
-        if rng.random() < 0.5:
+        for _ in range(rng.choice((0, 1, 1, 2))):
             body.insert(rng.randint(1, len(body)), rng.choice(_INSIDE))
         around = families[i % len(families)]
         if around in _LOOSE:
             # no element of its own holds the article: every part is marked, and long enough to be one
-            body = [x for x in body if x not in _INSIDE] + ["<p>{paragraph}</p>"] * rng.randint(1, 4)
-            body = [re.sub("^<([a-z0-9]+)", r'<\1 data-content="yes"', x) for x in body]
+            body += ["<p>{paragraph}</p>"] * rng.randint(1, 4)
+            body = [x if x in _INSIDE else re.sub("^<([a-z0-9]+)", r'<\1 data-content="yes"', x) for x in body]
             half = rng.randint(1, len(body))
             article = around.replace("{first}", "".join(body[:half])).replace("{rest}", "".join(body[half:]) or '<p data-content="yes">{paragraph}</p>')
             article = article.replace("{mark}", ' data-content="yes"')
@@ -505,4 +505,4 @@ def training_pages(n: int = 360, seed: int = 11, families: tuple[str, ...] = _AR
         inner = outer.replace("{}", "".join([*before, article, *after]))
         pages.append(f"<!DOCTYPE html><html><head><title>x</title></head><body>{fill(inner)}</body></html>")
     bare = ('<html><body data-content="yes">{}</body></html>', '<html data-content="yes">{}')
-    return pages + [fill(bare[k % 4 // 2].replace("{}", "{paragraph}" if k % 2 else "<p>{paragraph}</p>" * k)) for k in range(1, 1 + n // 24)]
+    return pages + [fill(bare[k % 4 // 2].replace("{}", "{paragraph}" if k % 2 else "<p>{paragraph}</p>" * k)) for k in range(1, 1 + n // 12)]

@@ -87,10 +87,10 @@ def test_broken_pages_take_linear_time(model):
 def test_held_out_families():
     """Layouts of families that the training pages do not hold."""
     every = _AROUND + _LOOSE
-    for k in range(4):
-        out = every[k::4]
-        fitted = train(training_pages(300, families=tuple(f for f in every if f not in out)))
-        assert share_right(fitted, training_pages(60, seed=77, families=out)) > 0.93
+    for k in range(5):
+        out = every[k::5]
+        fitted = train(training_pages(400, families=tuple(f for f in every if f not in out)))
+        assert share_right(fitted, training_pages(60, seed=77, families=out)) > 0.95
 
 
 def test_deep_nesting_keeps_ancestors():
