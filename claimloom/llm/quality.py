@@ -7,10 +7,12 @@ Two layers decide about a document:
   least twice in the text;
 * adaptive rules: for each feature a quantile sketch is built per (lang, source)
   over the documents, and a document is rejected when the feature lies outside the
-  group's fence ``median -/+ (margin + reach * (q75 - q25))``. Sketches merge, so a group with
+  group's fence: its median -/+ the greatest of a small ``floor``, ``reach`` times its q75 - q25, ``upper`` times its
+  q90 - median, and ``present`` times the first tenth of the documents that have any of it. Where nearly no
+  document of a group has a feature (symbols, say), the first quantiles are zero, and those that do are judged by what is
+  usual among them; where having it is the group's own style, the quantiles say so. Sketches merge, so a group with
   fewer than ``min_group`` documents takes the fence of its language, from its
-  groups' merged sketches, and a language that small takes that of all documents. Where most
-  documents of a group have none of a feature (symbols, say), all three quantiles are zero and the margin decides.
+  groups' merged sketches, and a language that small takes that of all documents.
 
 A sketch counts values in buckets whose bounds grow by ``GROWTH``, so a quantile is right to one part in a hundred.
 Counts add up in any order: sketches merge by sums, and the thresholds are the same however rows
@@ -52,17 +54,19 @@ class Fence:
     """How far from the median of its group a feature may lie."""
 
     feature: str
-    margin: float
+    floor: float
     reach: float
+    upper: float = 0.0
+    present: float = 0.0
     lower: bool = False
 
 
 #: Ratios per word, but for the mean word length (characters).
 FENCES = (
-    Fence("symbols_per_word", margin=0.15, reach=4.0),
-    Fence("shouts_per_word", margin=0.25, reach=4.0),
-    Fence("duplicate_lines_share", margin=0.4, reach=4.0),
-    Fence("word_length", margin=3.0, reach=6.0, lower=True),
+    Fence("symbols_per_word", floor=0.1, reach=4.0, upper=3.0, present=0.5),
+    Fence("shouts_per_word", floor=0.1, reach=4.0, upper=3.0, present=0.5),
+    Fence("duplicate_lines_share", floor=0.25, reach=4.0, upper=3.0, present=8.0),
+    Fence("word_length", floor=1.5, reach=12.0, lower=True),
 )
 
 
@@ -162,13 +166,16 @@ def merged(sketch: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def quantiles(sketch: DataFrame, keys: list[str], names: list[str], prefix: str) -> DataFrame:
-    """Per group (keys, <prefix>n, and <prefix><feature> with its quarters q25, q50 and q75)."""
+    """Per group (keys, <prefix>n, and <prefix><feature> with its q25, q50, q75, q90, and the first tenth p10 of its values above zero, null without any)."""
     own = Window.partitionBy(*keys, "feature")
     reached = F.sum("n").over(own.orderBy("bucket"))
-    rows = sketch.select(*keys, "feature", "bucket", reached.alias("reached"), F.sum("n").over(own).alias("total"))
+    none = F.coalesce(F.sum(F.when(F.col("bucket") == ZERO, F.col("n"))).over(own), F.lit(0))
+    rows = sketch.select(*keys, "feature", "bucket", reached.alias("reached"), F.sum("n").over(own).alias("total"), none.alias("none"))
     at = lambda q: value_of(F.min(F.when(F.col("reached") >= q * F.col("total"), F.col("bucket")))).alias(f"q{int(100 * q)}")
-    per_feature = rows.groupBy(*keys, "feature").agg(F.max("total").alias("total"), at(0.25), at(0.5), at(0.75))
-    quarters = F.struct("q25", "q50", "q75")
+    tenth = (F.col("bucket") != ZERO) & (F.col("reached") - F.col("none") >= 0.1 * (F.col("total") - F.col("none")))
+    present = value_of(F.min(F.when(tenth, F.col("bucket")))).alias("p10")
+    per_feature = rows.groupBy(*keys, "feature").agg(F.max("total").alias("total"), at(0.25), at(0.5), at(0.75), at(0.9), present)
+    quarters = F.struct("q25", "q50", "q75", "q90", "p10")
     return per_feature.groupBy(*keys).agg(
         F.max("total").alias(f"{prefix}n"),
         *[F.max(F.when(F.col("feature") == i, quarters)).alias(f"{prefix}{x}") for i, x in enumerate(names)],
@@ -200,7 +207,8 @@ def thresholds(docs: DataFrame, text: str = "text", min_group: int = 200, fences
             .when(F.col("up_n") >= min_group, F.col(f"up_{f.feature}"))
             .otherwise(F.col(f"all_{f.feature}"))
         )
-        width = F.lit(f.margin) + F.lit(f.reach) * (taken["q75"] - taken["q25"])
+        width = F.greatest(
+            F.lit(f.floor), F.lit(f.reach) * (taken["q75"] - taken["q25"]), F.lit(f.upper) * (taken["q90"] - taken["q50"]), F.lit(f.present) * taken["p10"])
         columns.append((taken["q50"] + width).alias(f"{f.feature}_high"))
         if f.lower:
             columns.append((taken["q50"] - width).alias(f"{f.feature}_low"))

@@ -73,6 +73,25 @@ def test_thresholds_follow_the_group(spark):
     assert {r.g: r.share for r in verdicts.collect()} == {0: 1.0, 1: 0.0, 2: 1.0}
 
 
+def test_fences_differ_between_groups(spark):
+    """No feature is judged by one constant in all groups of the table."""
+    df = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    limits = thresholds(df).collect()
+    for f in FENCES:
+        assert len({getattr(r, f"{f.feature}_high") for r in limits}) > 3, f
+
+
+def test_code_keeps_its_symbols(spark):
+    """A source of code, where symbols are usual, keeps them; a few symbols in prose are kept as well."""
+    rng = random.Random(2)
+    prose = lambda some: " ".join(f"word{rng.randint(0, 999)}" + ("%" if rng.random() < some else "") for _ in range(80))
+    code = lambda: " ".join(rng.choice(["if", "x", "=", "&y", "|", "a<b", "*p", "#end", "call", "z"]) + str(rng.randint(0, 9)) for _ in range(80))
+    rows = [(i, code(), "en", "code", "") for i in range(300)] + [(1000 + i, prose(0), "en", "prose", "") for i in range(300)]
+    rows += [(2000 + i, prose(0.03), "en", "prose", "") for i in range(20)] + [(3000 + i, prose(0.95), "en", "prose", "") for i in range(20)]
+    kept = Counter(r.doc_id // 1000 for r in quality_filter(spark.createDataFrame(rows, SCHEMA)).select("doc_id").collect())
+    assert kept[0] >= 297 and kept[1] == 300 and kept[2] == 20 and kept[3] == 0
+
+
 def brute_fences(rows, min_group):
     """Thresholds per (lang, source) from sorted lists of the features, by the sketch's buckets."""
     names = [f.feature for f in FENCES]
@@ -106,8 +125,10 @@ def brute_fences(rows, min_group):
         own = next((groups[k] for k in (key, key[:1]) if len(groups[k]) >= min_group), groups[()])
         for f in FENCES:
             ranked = sorted(x[f.feature] for x in own)
-            q = {r: middle(ranked[max(0, math.ceil(r * len(ranked)) - 1)]) for r in (0.25, 0.5, 0.75)}
-            width = f.margin + f.reach * (q[0.75] - q[0.25])
+            q = {r: middle(ranked[max(0, math.ceil(r * len(ranked)) - 1)]) for r in (0.25, 0.5, 0.75, 0.9)}
+            some = [x for x in ranked if x >= 1e-6]
+            present = middle(some[max(0, math.ceil(0.1 * len(some)) - 1)]) if some else 0.0
+            width = max(f.floor, f.reach * (q[0.75] - q[0.25]), f.upper * (q[0.9] - q[0.5]), f.present * present)
             out[key, f.feature] = (q[0.5] - width, q[0.5] + width)
     return features, out
 
