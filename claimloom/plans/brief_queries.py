@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from claimloom.operators import graph, metrics, retrieval, review, synthesis
@@ -548,18 +549,40 @@ def rerank_inputs(spark, d):
     return found.select("query_id", "claim_id", F.sha2("statement", 256).alias("statement_sha256"), F.sha2(F.array_join("texts", "\n"), 256).alias("texts_sha256"), "n_conflicts")
 
 
-@query()
-def retrieve(spark, d):
-    """The ask profile from end to end: both candidate sources, snapshot with connection edges, walk, preranking, rerank and hydration."""
+def _retrieved(spark, d):
+    """Claims, and those that the ask profile retrieves for each question, hydrated.
+
+    Candidates from vectors, words and seeds (every fourth question names its document's first claim), snapshot with connection edges, walk,
+    preranking, rerank by a list of every fourth claim, then spans, links and open conflicts of the active ones. Claims are derived once.
+    """
     rows = checkpointed(derive.claims(spark, d))
-    links = checkpointed(graph.connections(_graph_claims(spark, d)))
-    candidates, _, _, _, ranks = _ask(spark, d, links=links)
+    shaped = checkpointed(_graph_claims(spark, d, rows))
+    links = checkpointed(graph.connections(shaped).select("from_id", "to_id", "connection_type", "confidence"))
+    named = _questions(spark, d).where("query_id % 4 = 0").select("query_id", F.concat(F.lit("mem_"), "query_id", F.lit("_0")).alias("claim_id"))
+    candidates, _, _, _, ranks = _ask(spark, d, links=links, claims=rows, seeds=named.join(rows.select("claim_id"), "claim_id", "left_semi"))
     ranked = checkpointed(retrieval.prerank(retrieval.score_claims(ranks, candidates), 24))
     lists = ranked.where("rank % 4 = 0").select("query_id", "claim_id", F.col("rank").alias("position"))
-    final = retrieval.rerank(ranked, lists)
-    none = spark.createDataFrame([], "left_id string, right_id string, status string")
-    found = retrieval.hydrate(final, _active(spark, d, rows), derive.claim_evidence(rows), links, none)
-    return rounded(found.select("query_id", "claim_id", "final_rank", "graph", "vector", "lexical", F.size("spans").alias("n_spans"), F.coalesce(F.size("links"), F.lit(0)).alias("n_links")), "graph", "vector", "lexical")
+    disputed = graph.conflicts(shaped).select("left_id", "right_id", F.lit("open").alias("status"))
+    found = retrieval.hydrate(retrieval.rerank(ranked, lists), _active(spark, d, rows), derive.claim_evidence(rows), links, disputed)
+    return rows, found
+
+
+@query()
+def retrieve(spark, d):
+    """The ask profile from end to end."""
+    _, found = _retrieved(spark, d)
+    return rounded(
+        found.select("query_id", "claim_id", "final_rank", "graph", "vector", "lexical", F.size("spans").alias("n_spans"), F.coalesce(F.size("links"), F.lit(0)).alias("n_links"), "n_conflicts"),
+        "graph", "vector", "lexical")
+
+
+@query()
+def retrieved_answers(spark, d):
+    """Answers from the first three claims of the final ranks, with their citations; a question without any gets an explicit gap."""
+    rows, found = _retrieved(spark, d)
+    first = Window.partitionBy("query_id").orderBy("final_rank")
+    top = found.select("query_id", "claim_id", F.row_number().over(first).alias("rank")).where("rank <= 3").join(rows.select("claim_id", "statement"), "claim_id")
+    return retrieval.cited_answers(_questions(spark, d), top, derive.claim_evidence(rows))
 
 
 @query(f"""WITH {V.CLAIMS}, {_SPARSE}, {_VECTORS}, {_EDGES}, {_SNAPSHOT}, {_RESET}, c AS (SELECT query_id, count(*) FILTER (source = 'vector') AS n_vector, count(*) FILTER (source = 'sparse') AS n_sparse FROM candidates GROUP BY 1),

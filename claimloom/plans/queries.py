@@ -422,8 +422,8 @@ def claim_documents(spark, d):
 # F: claim graph ---------------------------------------------------------------------------
 
 
-def _graph_claims(spark, d):
-    rows = derive.claims(spark, d)
+def _graph_claims(spark, d, rows=None):
+    rows = derive.claims(spark, d) if rows is None else rows
     return rows.select(
         "claim_id", F.concat(F.lit("srcv_"), "doc_id").alias("source_version_id"), "statement", "claim_type", "evidence",
         F.array("source").alias("entities"), F.array(F.concat_ws(":", "lang", F.lit("states"), "source")).alias("schemas"),
@@ -539,8 +539,8 @@ def _questions(spark, d):
     return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
-def _sparse(spark, d):
-    rows = checkpointed(derive.claims(spark, d))
+def _sparse(spark, d, rows=None):
+    rows = checkpointed(derive.claims(spark, d)) if rows is None else rows
     texts = derive.claim_evidence(rows).join(derive.spans(spark, d).select("span_id", "text"), "span_id").select("claim_id", "text")
     parts = review.claim_tables(rows)
     return retrieval.sparse_candidates(_questions(spark, d), rows, texts, parts["entities"], parts["schemas"])
@@ -576,29 +576,32 @@ def normalized_candidates(spark, d):
     return rounded(retrieval.normalize_candidates(rows).select("query_id", F.col("target_id").alias("claim_id"), "score"), "score")
 
 
-def _vectors(spark, d):
+def _vectors(spark, d, claims=None):
     """The k nearest claims of each question by embedding: vector ``item_id`` is the question's, vector n that of document n's first claim."""
     rows = table(spark, d, "embeddings")
     asked = rows.join(_questions(spark, d), F.col("vec_id") == F.col("query_id"), "left_semi").select(F.col("vec_id").alias("query_id"), "embedding")
     found = retrieval.vector_candidates(asked, rows.select(F.col("vec_id").alias("target_id"), "embedding"), retrieval.ASK["vector"])
     named = found.select("query_id", F.concat(F.lit("mem_"), F.col("target_id").cast("string"), F.lit("_0")).alias("claim_id"), "score")
-    return named.join(derive.claims(spark, d).select("claim_id"), "claim_id", "left_semi")
+    return named.join((derive.claims(spark, d) if claims is None else claims).select("claim_id"), "claim_id", "left_semi")
 
 
-def _candidates(spark, d):
-    """The questions' candidates from both sources, scores from 0 to 1."""
+def _candidates(spark, d, claims=None, seeds=None):
+    """The questions' candidates from both sources (and seeds named by hand: query_id, claim_id), scores from 0 to 1."""
     as_rows = lambda df, source: df.select(
         "query_id", F.lit(source).alias("source"), F.concat(F.lit("claim:"), "claim_id").alias("node_id"), F.lit("claim").alias("target_type"),
         F.col("claim_id").alias("target_id"), "score",
     )
-    every = as_rows(_sparse(spark, d), "sparse").union(as_rows(_vectors(spark, d), "vector"))
+    every = as_rows(_sparse(spark, d, claims), "sparse").union(as_rows(_vectors(spark, d, claims), "vector"))
+    if seeds is not None:
+        every = every.unionByName(retrieval.seed_candidates(seeds))
     return checkpointed(retrieval.normalize_candidates(every))
 
 
-def _ask(spark, d, iterations=retrieval.ASK["iterations"], tolerance=retrieval.ASK["tolerance"], links=None):
-    """Candidates, snapshot, reset weights and ranks of the questions, by the ask profile (with connection edges, if given)."""
-    candidates = _candidates(spark, d)
-    parts = review.claim_tables(derive.claims(spark, d))
+def _ask(spark, d, iterations=retrieval.ASK["iterations"], tolerance=retrieval.ASK["tolerance"], links=None, claims=None, seeds=None):
+    """Candidates, snapshot, reset weights and ranks of the questions, by the ask profile (with connection edges and seeds, if given)."""
+    claims = checkpointed(derive.claims(spark, d)) if claims is None else claims
+    candidates = _candidates(spark, d, claims, seeds)
+    parts = review.claim_tables(claims)
     every = checkpointed(graph.graph_edges(parts["evidence"], parts["entities"], parts["schemas"], links))
     nodes, edges = retrieval.graph_snapshot(candidates.select("query_id", "node_id"), every, retrieval.ASK["nodes"], retrieval.ASK["edges"])
     nodes, edges = checkpointed(nodes), checkpointed(edges)
