@@ -9,8 +9,9 @@ A rule is a host and the start of a path. It fits its host and all subdomains; o
 rules that fit the longest decides. Rules are a short list held in the plan.
 
 Defined results: a null url, or one without ``://``, has an empty host and path and no rule
-fits it; with nothing to judge it is allowed (probability zero); an empty table gives an
-empty result; other columns pass through.
+fits it; with nothing to judge it is allowed (probability zero); repeated rows are judged each and urls of any
+length read whole; an empty table gives an empty result; columns host, path, rule, unwanted and verdict are replaced,
+all others pass through.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from claimloom.llm.common import unused
+
 DIMENSIONS = 1 << 14
 GRAMS = (3, 4, 5)
 MAX_LABELLED = 20_000
@@ -39,12 +42,12 @@ RULES = (
 # The labelled table: host names by label; each is met with every ending in PATHS, so
 # that paths that both labels have say nothing.
 UNWANTED = """
-casino-win casino-royal best-casino online-casino-bonus casinobets slots-jackpot jackpot-win win-slots poker-bonus
-free-bets bet-now bets-live sportsbets betting-odds bet365-free freebet lucky-bets win-money-now
-spam-farm spamlinks link-farm linkfarm seo-spam spam-mail content-farm clickbait-farm
-ads-track adtracker track-ads ad-server adserver ads-network clicktrack pixel-track popup-ads banner-ads doubleads
-adult-x adult-video xxx-adult x-adult-cams porn-tube free-porn sex-cams hot-adult-x nude-cams
-cheap-pills pills-online cheap-meds buy-pills viagra-cheap discount-pills cheap-viagra pharma-pills cheap-replica
+casino-royal best-casino online-casino-bonus casinobets slots-jackpot jackpot-win win-slots poker-bonus
+bet-now bets-live sportsbets betting-odds bet365-free freebet lucky-bets win-money-now
+spamlinks link-farm linkfarm seo-spam spam-mail content-farm clickbait-farm
+adtracker track-ads ad-server adserver ads-network clicktrack pixel-track popup-ads banner-ads doubleads
+adult-video xxx-adult x-adult-cams porn-tube free-porn sex-cams hot-adult-x nude-cams
+pills-online cheap-meds buy-pills viagra-cheap discount-pills cheap-viagra pharma-pills cheap-replica
 payday-loans-fast crypto-doubler get-rich-quick miracle-weight-loss
 """.split()
 WANTED = """
@@ -148,12 +151,13 @@ def judge_urls(
 ) -> DataFrame:
     """``pages`` with host, path, rule, unwanted (probability) and verdict."""
     rest = [c for c in pages.columns if c not in ("host", "path", "rule", "unwanted", "verdict")]
+    mark = unused(pages, "_rule")
     parts = pages.select(*rest, host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     scored = parts.withColumn(
         "unwanted", unwanted_probability(F.col("host"), F.col("path"), train(examples))
-    ).withColumn("_rule", longest_rule(F.col("host"), F.col("path"), rules))
+    ).withColumn(mark, longest_rule(F.col("host"), F.col("path"), rules))
     judged = F.when(F.col("unwanted") >= threshold, F.lit("block")).otherwise(F.lit("allow"))
     return scored.select(
-        *rest, "host", "path", F.col("_rule.rule").alias("rule"), "unwanted",
-        F.coalesce("_rule.verdict", judged).alias("verdict"),
+        *rest, "host", "path", F.col(f"`{mark}`.rule").alias("rule"), "unwanted",
+        F.coalesce(f"`{mark}`.verdict", judged).alias("verdict"),
     )

@@ -64,3 +64,11 @@ def test_held_out_accuracy():
     assert sum(right) >= len(right) - 1, [u for (u, _), ok in zip(HELD_OUT, right) if not ok]
     assert np.mean([(score(u) >= 0) == bool(y) for u, y in EXAMPLES]) > 0.98
     assert not train([]).any()
+
+
+def test_columns_of_any_name_pass(spark):
+    df = spark.createDataFrame([(1, "http://a.example.com/en/x", "kept", "old"), (1, "http://a.example.com/en/x", "kept", "old")], "page_id long, url string, _rule string, rule string")
+    got = judge_urls(df).collect()
+    assert [(r._rule, r.rule, r.verdict) for r in got] == [("kept", "example.com/en/", "block")] * 2
+    long = "http://" + "a" * 200_000 + ".example.com/en/" + "b" * 200_000
+    assert judge_urls(spark.createDataFrame([(long,)], "url string")).first().verdict == "block"
