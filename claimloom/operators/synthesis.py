@@ -174,6 +174,66 @@ def cluster_readiness(scored: DataFrame, memberships: DataFrame, facets: DataFra
     return rows.select("cluster_key", state.alias("state"), "n_missing", "score")
 
 
+def readiness_evaluations(
+    scored: DataFrame, memberships: DataFrame, claims: DataFrame, facets: DataFrame, conflicts: DataFrame, equivalents: DataFrame, ready: float = READY
+) -> DataFrame:
+    """cluster_key, state, score with the reasons, warnings and missing information behind them (arrays of sentences).
+
+    ``scored``: cluster_key, resolution, score; ``claims``: claim_id, source_version_id, claim_type, evidence of the active ones; ``facets``: claim_id, facet that
+    are done; ``conflicts``: a row for each claim of one (conflict_id, claim_id, status, severity); ``equivalents``: clusters that have a brief already.
+    Facts are counted per cluster; no cluster's members are gathered.
+    """
+    done = facets.where(F.col("facet").isin(*FACETS)).select("claim_id", "facet").distinct().groupBy("claim_id").agg(F.count("*").alias("done"))
+    missing = memberships.join(done, "claim_id", "left").groupBy("cluster_key").agg(F.sum(len(FACETS) - F.coalesce("done", F.lit(0))).alias("n_missing"))
+    members = memberships.select("cluster_key", "claim_id").join(claims, "claim_id")
+    facts = members.groupBy("cluster_key").agg(
+        F.count("*").alias("n"), F.countDistinct("source_version_id").alias("n_versions"),
+        F.max(F.col("claim_type").isin("risk", "dependency", "constraint")).alias("explicit"),
+    )
+    spans = members.select("cluster_key", F.explode("evidence").alias("span_id")).distinct().groupBy("cluster_key").agg(F.count("*").alias("n_spans"))
+    touched = members.select("cluster_key", "claim_id").join(conflicts.where("status = 'open'"), "claim_id").groupBy("cluster_key").agg(
+        F.countDistinct("conflict_id").alias("n_conflicts"), F.max(F.col("severity") == "blocking").alias("blocking"))
+    rows = scored.select("cluster_key", "resolution", "score")
+    for part in (missing, facts, spans, touched, equivalents.select("cluster_key").distinct().withColumn("equivalent", F.lit(True))):
+        rows = rows.join(part, "cluster_key", "left")
+    rows = rows.fillna(0, ["n_missing", "n", "n_versions", "n_spans", "n_conflicts"]).fillna(False, ["explicit", "blocking", "equivalent"])
+    state = (
+        F.when(F.col("n_missing") > 0, F.lit("pending_enrichment"))
+        .when((F.col("n") < 2) | (F.col("score") < ready) | F.col("blocking"), F.lit("not_ready")).otherwise(F.lit("ready"))
+    )
+    say = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts])
+    plural = lambda n: F.when(n == 1, F.lit("")).otherwise(F.lit("s"))
+    only = lambda *pairs: F.array_compact(F.array(*[F.when(test, text) for test, text in pairs]))
+    n, always = F.col, F.lit(True)
+    reasons = only(
+        (n("n_missing") > 0, say("Waiting for ", n("n_missing"), " enrichment result", plural(n("n_missing")), ".")),
+        ((n("n_missing") == 0) & n("blocking"), F.lit("A blocking contradiction prevents generation.")),
+        (always, say(n("n"), " active memories contribute to this ", F.replace("resolution", F.lit("_"), F.lit(" ")), " cluster.")),
+        (always, say(n("n_versions"), " source versions and ", n("n_spans"), " evidence spans are represented.")),
+        (always, say("Deterministic opportunity score: ", F.round("score", 1), "/100.")),
+    )
+    warnings = only(
+        (n("n_conflicts") > 0, say(n("n_conflicts"), " unresolved contradiction", plural(n("n_conflicts")), " must be disclosed.")),
+        (n("equivalent"), F.lit("An equivalent brief already exists; novelty is reduced.")),
+    )
+    absent = only(
+        (n("n") < 3, F.lit("A complete opportunity normally needs at least three active memories.")),
+        (n("n_versions") < 2, F.lit("Evidence currently comes from only one source version.")),
+        (~n("explicit"), F.lit("No explicit risk, dependency, or constraint is present.")),
+    )
+    return rows.select("cluster_key", state.alias("state"), "score", reasons.alias("reasons"), warnings.alias("warnings"), absent.alias("missing_information"))
+
+
+def evaluation_changes(new: DataFrame, old: DataFrame, least: float = 0.001) -> DataFrame:
+    """Evaluations that differ from the last one in state, score, reasons, warnings or missing information, with what differs."""
+    parts = ["state", "reasons", "warnings", "missing_information"]
+    before = old.select("cluster_key", F.lit(True).alias("_known"), *[F.col(c).alias(f"_{c}") for c in [*parts, "score"]])
+    rows = new.join(before, "cluster_key", "left")
+    moved = [F.when(~F.col(c).eqNullSafe(F.col(f"_{c}")), F.lit(c)) for c in parts] + [F.when(~F.coalesce(F.abs(F.col("score") - F.col("_score")) < least, F.lit(False)), F.lit("score"))]
+    differs = F.when(F.col("_known").isNull(), F.array(F.lit("new"))).otherwise(F.array_compact(F.array(*moved)))
+    return rows.withColumn("differs", differs).where(F.size("differs") > 0).select("cluster_key", "state", "score", "differs")
+
+
 def readiness_changes(new: DataFrame, old: DataFrame, least: float = 0.001) -> DataFrame:
     """Evaluations that differ from the last one (cluster_key, state, score)."""
     before = old.select("cluster_key", F.col("state").alias("_state"), F.col("score").alias("_score"))

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from claimloom.functions import text as T
 from claimloom.operators import graph, metrics, retrieval, review, synthesis
 from claimloom.plans import views as V
 from claimloom.plans.queries import (
-    _ask, _CONNECTIONS, _EDGES, _graph_claims, _KEYS, _memberships, _questions, _reviews, _RESET, _scored, _SNAPSHOT, _SPARSE, _VECTORS, graph_edges, query, rounded,
+    _ask, _CONNECTIONS, _EDGES, _graph_claims, _KEYS, _memberships, _OPPORTUNITY, _questions, _reviews, _RESET, _scored, _SNAPSHOT, _SPARSE, _VECTORS, graph_edges, query, rounded,
 )
 from claimloom.sources import derive
 from claimloom.sources.derive import table
@@ -646,3 +647,53 @@ def nearby_recalls(spark, d):
 def connection_histograms(spark, d):
     found = metrics.connection_histogram(graph.connections(_graph_claims(spark, d)), ["entities", "tokens", "same_source"])
     return rounded(found, "mean_confidence", "mean_entities", "mean_tokens", "mean_same_source")
+
+
+# H16, H17 ---------------------------------------------------------------------------------
+
+
+def _evaluation_sql(name: str, active: str, open_: str) -> str:
+    """Evaluations of the clusters with the claims and conflicts of one day."""
+    return f"""act_{name} AS (SELECT * FROM claims WHERE {active}), ends_{name} AS (SELECT 'x' || doc_id AS id, 'mem_' || (doc_id + unnest([0, 1])) || '_0' AS claim_id, doc_id % 200 = 0 AS blocking FROM documents WHERE {open_}),
+facts_{name} AS (SELECT cluster_key, count(*) AS n, count(DISTINCT doc_id) AS nv, sum(len(evidence)) AS ns, bool_or(claim_type IN ('risk', 'dependency', 'constraint')) AS explicit FROM memberships JOIN act_{name} USING (claim_id) GROUP BY 1),
+touched_{name} AS (SELECT cluster_key, count(DISTINCT id) AS nc, bool_or(blocking) AS blocking FROM memberships JOIN act_{name} USING (claim_id) JOIN ends_{name} USING (claim_id) GROUP BY 1),
+e_{name} AS (SELECT s.cluster_key, s.resolution, round(score, 6) AS score, coalesce(f.n, 0) AS n, coalesce(nv, 0) AS nv, coalesce(ns, 0) AS ns, coalesce(explicit, false) AS explicit, coalesce(nc, 0) AS nc, coalesce(blocking, false) AS blocking, n_missing, s.cluster_key LIKE 'topic:b%' AS equivalent
+  FROM (SELECT scored.*, resolution FROM scored JOIN (SELECT DISTINCT cluster_key, resolution FROM memberships) USING (cluster_key)) s LEFT JOIN facts_{name} f USING (cluster_key) LEFT JOIN touched_{name} USING (cluster_key) JOIN missing USING (cluster_key)),
+v_{name} AS (SELECT cluster_key, score, CASE WHEN n_missing > 0 THEN 'pending_enrichment' WHEN n < 2 OR score < 62 OR blocking THEN 'not_ready' ELSE 'ready' END AS state,
+  concat_ws(' ', CASE WHEN n_missing > 0 THEN 'Waiting for ' || n_missing || ' enrichment result' || CASE WHEN n_missing = 1 THEN '.' ELSE 's.' END WHEN blocking THEN 'A blocking contradiction prevents generation.' END,
+    n || ' active memories contribute to this ' || replace(resolution, '_', ' ') || ' cluster.', nv || ' source versions and ' || ns || ' evidence spans are represented.', 'Deterministic opportunity score: ' || round(score, 1) || '/100.') AS reasons,
+  concat_ws(' ', CASE WHEN nc > 0 THEN nc || ' unresolved contradiction' || CASE WHEN nc = 1 THEN '' ELSE 's' END || ' must be disclosed.' END, CASE WHEN equivalent THEN 'An equivalent brief already exists; novelty is reduced.' END) AS warnings,
+  concat_ws(' ', CASE WHEN n < 3 THEN 'A complete opportunity normally needs at least three active memories.' END, CASE WHEN nv < 2 THEN 'Evidence currently comes from only one source version.' END, CASE WHEN NOT explicit THEN 'No explicit risk, dependency, or constraint is present.' END) AS missing_information FROM e_{name})"""
+
+
+_MISSING_FACETS = "done AS (SELECT claim_id, CASE WHEN doc_id % 50 = 7 THEN 3 ELSE 4 END AS done FROM claims), missing AS (SELECT cluster_key, sum(4 - done) AS n_missing FROM memberships JOIN done USING (claim_id) GROUP BY 1)"
+_TODAY = _evaluation_sql("today", "doc_id % 9 <> 4", "doc_id % 10 = 0")
+_DAY_BEFORE = _evaluation_sql("before", "doc_id % 40 <> 1", "doc_id % 20 = 0")
+
+
+def _evaluations(spark, d, days):
+    """Evaluations for each (active, open) pair of conditions on the document; one facet is missing for document 7 of every 50, topics with b have a brief."""
+    rows = checkpointed(derive.claims(spark, d))
+    memberships = checkpointed(_memberships(spark, d))
+    facets = rows.select("claim_id", "doc_id", F.explode(T.words_array(synthesis.FACETS)).alias("facet")).where("not (doc_id % 50 = 7 and facet = 'graph')")
+    scored = checkpointed(_scored(spark, d).select("cluster_key", F.round("score", 6).alias("score")).join(memberships.select("cluster_key", "resolution").distinct(), "cluster_key"))
+    claims = rows.select("claim_id", "doc_id", F.col("doc_id").alias("source_version_id"), "claim_type", "evidence")
+    ends = table(spark, d, "documents").select("doc_id", F.explode(F.array("doc_id", F.col("doc_id") + 1)).alias("at")).select(
+        "doc_id", F.concat(F.lit("x"), "doc_id").alias("conflict_id"), F.concat(F.lit("mem_"), "at", F.lit("_0")).alias("claim_id"),
+        F.when(F.col("doc_id") % 200 == 0, F.lit("blocking")).otherwise(F.lit("warning")).alias("severity"))
+    briefed = memberships.where("cluster_key like 'topic:b%'")
+    status = lambda open_: F.when(F.expr(open_), F.lit("open")).otherwise(F.lit("resolved"))
+    return [synthesis.readiness_evaluations(scored, memberships, claims.where(active).drop("doc_id"), facets, ends.withColumn("status", status(open_)).drop("doc_id"), briefed) for active, open_ in days]
+
+
+@query(f"WITH {V.CLAIMS}, {_OPPORTUNITY}, {_MISSING_FACETS}, {_TODAY} SELECT cluster_key, state, reasons, warnings, missing_information FROM v_today")
+def readiness_evaluations(spark, d):
+    (found,) = _evaluations(spark, d, [("doc_id % 9 <> 4", "doc_id % 10 = 0")])
+    return found.select("cluster_key", "state", *[F.array_join(c, " ").alias(c) for c in ("reasons", "warnings", "missing_information")])
+
+
+@query(f"""WITH {V.CLAIMS}, {_OPPORTUNITY}, {_MISSING_FACETS}, {_TODAY}, {_DAY_BEFORE}, c AS (SELECT n.cluster_key, n.state, concat_ws(',', CASE WHEN n.state <> o.state THEN 'state' END, CASE WHEN n.reasons <> o.reasons THEN 'reasons' END,
+  CASE WHEN n.warnings <> o.warnings THEN 'warnings' END, CASE WHEN n.missing_information <> o.missing_information THEN 'missing_information' END) AS differs FROM v_today n JOIN v_before o USING (cluster_key)) SELECT * FROM c WHERE differs <> ''""")
+def evaluation_changes(spark, d):
+    new, old = _evaluations(spark, d, [("doc_id % 9 <> 4", "doc_id % 10 = 0"), ("doc_id % 40 <> 1", "doc_id % 20 = 0")])
+    return synthesis.evaluation_changes(new, old).select("cluster_key", "state", F.array_join("differs", ",").alias("differs"))
