@@ -132,14 +132,21 @@ def consolidate(candidates: DataFrame, most_evidence: int = 12) -> DataFrame:
         F.col("verification"), F.col("epistemic"), F.size("evidence"), F.col("review_required")
     )
     rows = candidates.withColumn("norm", normalize_statement(F.col("statement"))).withColumn("strength", strength)
-    listed = F.array_sort(F.collect_list(F.struct("ordinal", "evidence")))
-    union = F.array_distinct(F.flatten(F.transform(listed, lambda x: x["evidence"])))
-    return rows.groupBy("scope", "norm").agg(
+    claims = rows.groupBy("scope", "norm").agg(
         F.max_by("statement", F.struct("strength", -F.col("ordinal"))).alias("statement"),
-        F.slice(union, 1, most_evidence).alias("evidence"),
         F.bool_and("review_required").alias("review_required"),
         (F.count("*") - 1).alias("n_duplicates"),
     )
+    # Only the spans that are kept are gathered, however many candidates say the same.
+    spans = rows.select("scope", "norm", "ordinal", F.posexplode("evidence").alias("position", "id"))
+    once = spans.groupBy("scope", "norm", "id").agg(F.min(F.struct("ordinal", "position")).alias("at"))
+    order = Window.partitionBy("scope", "norm").orderBy("at", "id")
+    kept = once.withColumn("n", F.row_number().over(order)).where(F.col("n") <= most_evidence).groupBy(F.col("scope").alias("_s"), F.col("norm").alias("_t")).agg(
+        F.array_sort(F.collect_list(F.struct("n", "id"))).alias("kept"))
+    joined = claims.join(kept, F.col("scope").eqNullSafe(F.col("_s")) & F.col("norm").eqNullSafe(F.col("_t")), "left")
+    none = F.array().cast(rows.schema["evidence"].dataType)
+    return joined.select(
+        "scope", "norm", "statement", F.coalesce(F.transform("kept", lambda x: x["id"]), none).alias("evidence"), "review_required", "n_duplicates")
 
 
 def section_progress(sections: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 FACETS = ("connections", "contradictions", "embeddings", "graph")
 ATTEMPTS = 3
+MOST_ROUTES = 10_000
 
 
 # Batch views ------------------------------------------------------------------------
@@ -23,8 +24,12 @@ def append_once(events: DataFrame, key: str = "idempotency_key") -> DataFrame:
 
 
 def route_events(events: DataFrame, routes: DataFrame) -> DataFrame:
-    """Events with the policies that their type has; the route table is a short fixed list."""
-    return events.join(F.broadcast(routes), "event_type")
+    """Events with the policies that their type has; a table of more than ``MOST_ROUTES`` routes is joined as Spark sees fit.
+
+    The routes of the source system itself are a literal map in the plan (``streaming.routing``).
+    """
+    small = routes.limit(MOST_ROUTES + 1).count() <= MOST_ROUTES
+    return events.join(F.broadcast(routes) if small else routes, "event_type")
 
 
 def derived_tasks(routed: DataFrame) -> DataFrame:
