@@ -117,6 +117,23 @@ def subdivide(spans: DataFrame, key: list[str]) -> DataFrame:
     )
 
 
+def subdivide_saturated(spans: DataFrame, key: list[str], saturated, max_depth: int = 3) -> DataFrame:
+    """``spans`` with a column ``path``: groups that are saturated are cut in two, and their halves again, at most ``max_depth`` times.
+
+    ``saturated`` says of a group's number of spans and characters (columns) whether it must be cut; a single span never is. A path has a 0 for each first half
+    and a 1 for each second one, so paths sort in the order of the text. Each depth is a window over what is saturated still.
+    """
+    rows, at = spans.withColumn("path", F.lit("")), [*key, "path"]
+    for _ in range(max_depth):
+        sizes = rows.groupBy(*at).agg(F.count("*").alias("_n"), (F.max("end_char") - F.min("start_char")).alias("_chars"))
+        full = sizes.where((F.col("_n") > 1) & saturated(F.col("_n"), F.col("_chars"))).select(*at)
+        cuts = subdivide(rows.join(full, at), at)
+        side = F.when(F.col("span_no") < F.col("split_at"), F.lit("0")).otherwise(F.lit("1"))
+        path = F.when(F.col("split_at").isNull(), F.col("path")).otherwise(F.concat("path", side))
+        rows = rows.join(cuts, at, "left").withColumn("path", path).drop("split_at")
+    return rows
+
+
 def candidate_strength(verification: Column, epistemic: Column, n_evidence: Column, review: Column) -> Column:
     checked = F.when(verification == "verified", 40).when(verification == "corrected", 35).otherwise(10)
     known = F.when(epistemic == "observed", 8).when(epistemic == "decision_reported", 7).otherwise(5)

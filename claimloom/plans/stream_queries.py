@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimloom.functions import text as T
-from claimloom.operators import chains, cluster_versions, evidence
+from claimloom.operators import chains, cluster_versions, evidence, sections
 from claimloom.plans import views as V
 from claimloom.plans.queries import query
 from claimloom.sources import derive
@@ -61,6 +61,26 @@ def nested_messages(spark, d):
     return rows.select("conv_id", "turn", F.sha2(body, 256).alias("content_hash"))
 
 
+# C8 ---------------------------------------------------------------------------------------
+
+
+def _halves(depth: int) -> str:
+    """Paths after each depth: groups of more than 3,000 characters are cut at the span nearest to their middle."""
+    parts = ["p0 AS (SELECT source_version_id, span_no, start_char, end_char, '' AS path FROM spans)"]
+    for k in range(depth):
+        parts.append(f"""g{k} AS (SELECT *, count(*) OVER w AS n, max(end_char) OVER w - min(start_char) OVER w AS total, lag(end_char) OVER (PARTITION BY source_version_id, path ORDER BY span_no) - min(start_char) OVER w AS before
+  FROM p{k} WINDOW w AS (PARTITION BY source_version_id, path)), c{k} AS (SELECT source_version_id, path, arg_min(span_no, (abs(total / 2 - before), span_no)) AS split_at FROM g{k} WHERE n > 1 AND total > 3000 AND before IS NOT NULL GROUP BY 1, 2),
+p{k + 1} AS (SELECT source_version_id, span_no, start_char, end_char, CASE WHEN split_at IS NULL THEN path WHEN span_no < split_at THEN path || '0' ELSE path || '1' END AS path FROM p{k} LEFT JOIN c{k} USING (source_version_id, path))""")
+    return ", ".join(parts)
+
+
+@query(f"WITH {V.SPANS}, {_halves(3)} SELECT source_version_id, path, count(*) AS n_spans, min(span_no)::BIGINT AS first_span FROM p3 GROUP BY 1, 2")
+def saturated_sections(spark, d):
+    """Documents cut in halves, at most three times, while a part has more than 3,000 characters."""
+    found = sections.subdivide_saturated(derive.spans(spark, d), ["source_version_id"], lambda n, chars: chars > 3000)
+    return found.groupBy("source_version_id", "path").agg(F.count("*").alias("n_spans"), F.min("span_no").cast("long").alias("first_span"))
+
+
 # I2, I3 -----------------------------------------------------------------------------------
 
 _TYPES = sorted({r[0] for r in routing.ROUTES})
