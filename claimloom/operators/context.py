@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from claimloom.functions.text import is_system_message
+
 NEARBY_SECONDS, BEFORE, AFTER = 1800, 5, 3
 MAX_MESSAGES, MAX_CHARS = 50, 40_000
 
@@ -15,6 +17,11 @@ def dedupe_messages(messages: DataFrame) -> DataFrame:
     return messages.withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n")
 
 
+def top_level(messages: DataFrame) -> DataFrame:
+    """Messages (thread_ts, subtype) outside threads that no system event wrote: those that stand near another."""
+    return messages.where((F.coalesce("thread_ts", F.lit("")) == "") & ~is_system_message(F.col("subtype")))
+
+
 def nearby_messages(
     messages: DataFrame, selected: DataFrame, seconds: int = NEARBY_SECONDS, before: int = BEFORE, after: int = AFTER
 ) -> DataFrame:

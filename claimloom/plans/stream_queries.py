@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimloom.functions import text as T
-from claimloom.operators import chains, cluster_versions, evidence, sections
+from claimloom.operators import chains, cluster_versions, context, evidence, sections
 from claimloom.plans import views as V
 from claimloom.plans.queries import query
 from claimloom.sources import derive
@@ -61,6 +61,26 @@ def nested_messages(spark, d):
     return rows.select("conv_id", "turn", F.sha2(body, 256).alias("content_hash"))
 
 
+# B1 ---------------------------------------------------------------------------------------
+
+
+@query("""
+WITH m AS (SELECT event_id AS message_id, user_id AS channel, epoch(ts)::BIGINT AS ts, event_type FROM events),
+near AS (
+  SELECT s.message_id AS selected_id, o.message_id, CASE WHEN o.ts < s.ts THEN 'before' ELSE 'after' END AS side, abs(o.ts - s.ts) AS gap
+  FROM m s JOIN m o ON s.channel = o.channel AND abs(o.ts - s.ts) <= 1800 AND o.ts <> s.ts WHERE s.event_type = 'purchase' AND o.message_id % 4 <> 1 AND o.message_id % 6 <> 2
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY selected_id, side ORDER BY gap, message_id) AS place FROM near)
+SELECT selected_id, message_id, side, place FROM ranked WHERE place <= CASE side WHEN 'before' THEN 5 ELSE 3 END""")
+def nearby_top_level_messages(spark, d):
+    """Every fourth message answers in a thread, every sixth is a system's, another sixth a bot's (which counts)."""
+    number = F.col("event_id")
+    rows = table(spark, d, "events").select(
+        number.alias("message_id"), F.col("user_id").alias("channel"), F.unix_timestamp("ts").alias("ts"), "event_type",
+        F.when(number % 4 == 1, F.lit("171.2")).when(number % 8 == 0, F.lit("")).alias("thread_ts"), F.when(number % 6 == 2, F.lit("channel_join")).when(number % 6 == 3, F.lit("bot_message")).alias("subtype"))
+    found = context.nearby_messages(context.top_level(rows), rows.where("event_type = 'purchase'"))
+    return found.withColumn("place", F.col("place").cast("long"))
+
+
 # C8 ---------------------------------------------------------------------------------------
 
 
