@@ -75,7 +75,7 @@ def nearby_top_level_messages(spark, d):
     """Every fourth message answers in a thread, every sixth is a system's, another sixth a bot's (which counts)."""
     number = F.col("event_id")
     rows = table(spark, d, "events").select(
-        number.alias("message_id"), F.col("user_id").alias("channel"), F.unix_timestamp("ts").alias("ts"), "event_type",
+        number.alias("message_id"), F.col("user_id").alias("channel"), V.whole_seconds("ts").alias("ts"), "event_type",
         F.when(number % 4 == 1, F.lit("171.2")).when(number % 8 == 0, F.lit("")).alias("thread_ts"), F.when(number % 6 == 2, F.lit("channel_join")).when(number % 6 == 3, F.lit("bot_message")).alias("subtype"))
     found = context.nearby_messages(context.top_level(rows), rows.where("event_type = 'purchase'"))
     return found.withColumn("place", F.col("place").cast("long"))
