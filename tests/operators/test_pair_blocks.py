@@ -3,7 +3,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from claimloom.operators import graph, pair_blocks
+from claimloom.operators import graph, pair_blocks, synthesis
 
 COLUMNS = ("claim_id string, source_version_id string, statement string, claim_type string, evidence array<string>, "
            "entities array<string>, schemas array<string>, relations array<string>, subjects array<string>")
@@ -46,3 +46,18 @@ def test_conflicts_equal_brute_force(spark, monkeypatch):
     opposed = lambda a, b: {"approved", "blocked"} <= bag[a] | bag[b] and bag[a] & {"approved", "blocked"} and bag[b] & {"approved", "blocked"}
     expected = {(a, b) for a in bag for b in bag if a < b and opposed(a, b) and near(a, b)}
     assert {(r.left_id, r.right_id) for r in graph.conflicts(df).collect()} == expected and expected
+
+
+def test_cohesion_on_a_rounding_tie_is_the_same_for_any_partitions(spark):
+    """39 members of .7 and nine links of 5.151 in all: .6760625 but for the sum of doubles, which SQL adds one after another."""
+    members = [("k", f"c{i:02}", 0.7) for i in range(39)]
+    links = [(f"c{i:02}", f"c{i + 1:02}", c, "supports") for i, c in enumerate([0.551, 0.552, 0.553, 0.571, 0.572, 0.573, 0.593, 0.593, 0.593])]
+    claims = spark.createDataFrame([(c, i, 1, "fact", False) for i, (_, c, _) in enumerate(members)], "claim_id string, doc_id long, n_evidence int, claim_type string, confirmed boolean")
+    total = 0.0
+    for _ in members:
+        total += 0.7
+    for parts in (1, 3, 7):
+        df = spark.createDataFrame(members, "cluster_key string, claim_id string, score double").repartition(parts)
+        found = spark.createDataFrame(links, "from_id string, to_id string, confidence double, connection_type string").repartition(parts)
+        (row,) = synthesis.opportunity_breakdown(df, claims, found).collect()
+        assert row.cohesion == (5.151 + total) / 48 and round(row.cohesion, 6) == 0.676062
