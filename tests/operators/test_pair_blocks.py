@@ -61,3 +61,48 @@ def test_cohesion_on_a_rounding_tie_is_the_same_for_any_partitions(spark):
         found = spark.createDataFrame(links, "from_id string, to_id string, confidence double, connection_type string").repartition(parts)
         (row,) = synthesis.opportunity_breakdown(df, claims, found).collect()
         assert row.cohesion == (5.151 + total) / 48 and round(row.cohesion, 6) == 0.676062
+
+
+def test_pairs_of_several_keys_and_tiles_come_once(spark, monkeypatch):
+    """Claims with several entities, some of them strong pairs: each pair once, without grouping, and equal to a comparison of all."""
+    rng = random.Random(3)
+    some = lambda values: rng.sample(values, rng.randint(1, len(values)))
+    rows = [(f"c{i:02}", f"v{rng.randint(0, 30)}", " ".join(rng.sample([f"word{k}" for k in range(8)], 6)), rng.choice(["fact", "risk", "dependency"]), [f"s{rng.randint(0, 40)}"],
+             some(["e1", "e2", "e3"]), some(["p", "q"]), [], []) for i in range(40)]
+    df = spark.createDataFrame(rows, COLUMNS)
+    whole = {(r.from_id, r.to_id): r.confidence for r in graph.connections(df).collect()}
+    features = graph.connection_features(df)
+    every = features.select(F.col("claim_id").alias("left_id")).crossJoin(features.select(F.col("claim_id").alias("right_id"))).where("left_id < right_id")
+    expected = {(r.from_id, r.to_id): r.confidence for r in graph.score_pairs(every, features).where("confidence >= 0.55").collect()}
+    assert whole == expected and len(expected) > 50
+    monkeypatch.setattr(pair_blocks, "BLOCK", 5)
+    monkeypatch.setattr(pair_blocks, "MOST_ROWS", 9)
+    found = graph.connections(df.withColumn("own", F.upper("claim_id")).withColumn("numbers", F.array(F.lit(1).cast("long"))), carried=("own", "numbers"))
+    rows = found.collect()
+    assert {(r.from_id, r.to_id): r.confidence for r in rows} == expected and len(rows) == len(expected)
+    assert all((r.left_own, r.right_own, r.left_numbers) == (r.from_id.upper(), r.to_id.upper(), [1]) for r in rows)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate(keys=[from_id" not in plan and "HashAggregate(keys=[left_id" in plan
+
+
+def test_carried_clusters_count_as_joined_members(spark):
+    members = spark.createDataFrame([("k", "a", 0.9), ("k", "b", 0.9), ("l", "b", 0.7), ("l", "c", 0.7)], "cluster_key string, claim_id string, score double")
+    claims = spark.createDataFrame([(c, i, 1, "fact", False) for i, c in enumerate("abc")], "claim_id string, doc_id long, n_evidence int, claim_type string, confirmed boolean")
+    links = spark.createDataFrame([("a", "b", 0.6, "supports"), ("b", "c", 0.97, "duplicates"), ("a", "c", 0.7, "supports")], "from_id string, to_id string, confidence double, connection_type string")
+    numbers = synthesis.cluster_numbers(members)
+    carried = links
+    for side, end in (("left", "from_id"), ("right", "to_id")):
+        carried = carried.join(numbers.select(F.col("claim_id").alias(end), F.col("clusters").alias(f"{side}_clusters")), end)
+    found = [{r.cluster_key: r for r in synthesis.opportunity_breakdown(members, claims, df).collect()} for df in (links, carried)]
+    assert found[0] == found[1] and found[1]["l"].duplication == 0.5
+    pairs = links.select(F.col("from_id").alias("left_id"), F.col("to_id").alias("right_id"), F.concat("from_id", "to_id").alias("conflict_id"), F.lit("open").alias("status"))
+    plain = spark.createDataFrame([("k", "a"), ("k", "b"), ("l", "c")], "cluster string, claim_id string")
+    at = claims.select("claim_id", F.col("doc_id").alias("created_at"))
+    of = lambda c: F.when(F.col(c) == "c", "l").otherwise("k")
+    with_clusters = pairs.withColumn("clusters", F.array(of("left_id"), of("right_id")))
+    states = [[tuple(r) for r in graph.entity_cluster_states(plain, at, df).collect()] for df in (pairs, with_clusters)]
+    assert states[0] == states[1] == [("k", 2, 1, 3), ("l", 1, 2, 2)]
+    made = synthesis.link_clusters(links).select("cluster_key", "claim_id", "score", "n_members")
+    empty = [F.array().cast("array<string>").alias(c) for c in ("entities", "relations", "tags", "schemas")]
+    grouped = synthesis.discover_clusters(synthesis.cluster_keys(claims.select("claim_id", F.lit("").alias("statement"), *empty), links)).select(*made.columns)
+    assert sorted(map(tuple, made.collect())) == sorted(map(tuple, grouped.collect())) and made.count() == 6
