@@ -96,6 +96,22 @@ def test_streamed_tasks_equal_the_batch_and_survive_a_restart(rocks, tmp_path):
     assert len(seen) > first
 
 
+def test_attempts_share_state_and_timers(rocks, tmp_path, monkeypatch):
+    """Hundreds of attempts in three buckets: no row of state for each, and each leaves at its own deadline."""
+    monkeypatch.setattr(runs, "BUCKETS", 3)
+    rows = [(f"r{k}", 1, "started", START + datetime.timedelta(seconds=k), 60.0 * (1 + k % 5) if k % 50 else None) for k in range(400)]
+    rows += [(f"r{k}", 1, "finished", START + datetime.timedelta(seconds=k + k % 400), None) for k in range(0, 400, 3)]
+    stream = feed(rocks, rows + [("end", 1, "finished", START + datetime.timedelta(days=2), None)], RUN, f"{tmp_path}/in", 1)
+    query = runs.stream_expired_runs(stream).writeStream.outputMode("append").option("checkpointLocation", f"{tmp_path}/check").format("parquet")
+    query = query.option("path", f"{tmp_path}/out").trigger(availableNow=True).start()
+    query.awaitTermination()
+    columns = ["run_id", "attempt", "started_at", "deadline", "outcome"]
+    got = sorted(map(tuple, rocks.read.parquet(f"{tmp_path}/out").select(*columns).collect()))
+    assert got == sorted(map(tuple, runs.expired_runs(rocks.createDataFrame(rows, RUN), F.lit(START + datetime.timedelta(days=1))).select(*columns).collect())) and len(got) > 200
+    states = [p["stateOperators"][0]["numRowsTotal"] for p in map(lambda p: json.loads(p.json), query.recentProgress) if p["stateOperators"]]
+    assert max(states) <= 9 and states[-1] <= 3
+
+
 RUN = "run_id string, attempt int, kind string, ts timestamp, lease_seconds double"
 
 
