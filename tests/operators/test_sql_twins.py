@@ -32,3 +32,14 @@ def test_query_equals_its_sql(spark, twin, name):
     columns = [c[0] for c in found.description]
     assert sorted(df.columns) == sorted(columns)
     assert tidy(df.collect(), df.columns) == tidy(found.fetchall(), columns)
+
+
+def test_claims_of_some_documents_are_those_of_all(spark):
+    """What ``only`` derives equals what it would be among all documents, and no other document is shuffled."""
+    from claimloom.sources import derive
+
+    d = "/root/testdata/sf0.001"
+    ids = derive.table(spark, d, "documents").where("doc_id % 7 = 3").select("doc_id")
+    got = derive.claims(spark, d, only=ids).select("claim_id", "statement", "evidence").collect()
+    want = derive.claims(spark, d).where("doc_id % 7 = 3").select("claim_id", "statement", "evidence").collect()
+    assert sorted(map(str, got)) == sorted(map(str, want)) and got
