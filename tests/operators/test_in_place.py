@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from claimloom.functions.text import sums_before
 from claimloom.operators import evidence, sections
+from claimloom.plans.queries import QUERIES
 from claimloom.sources import derive
 
 FOLDER = "/root/testdata/sf0.001"
@@ -65,3 +66,18 @@ def test_halves_equal_plain_python_with_one_shuffle(spark):
     df = spark.createDataFrame(rows, "doc int, span_no int, start_char long, end_char long")
     found = sections.subdivide_saturated(df, ["doc"], lambda n, chars: chars > 300)
     assert shuffles(found) == 1 and {(r.doc, r.span_no): r.path for r in found.collect()} == expected
+
+
+def test_consolidation_equals_plain_python_and_shuffles_no_texts_with_spans(spark):
+    rng = random.Random(9)
+    rows = [(rng.choice(["x", None]), n, rng.choice(["One  thing!", "one thing", "ONE-thing", "other", "", None]), "verified", "reported", [f"e{rng.randint(0, 30)}" for _ in range(rng.randint(0, 4))], n % 2 == 0) for n in range(120)]
+    df = spark.createDataFrame(rows, "scope string, ordinal long, statement string, verification string, epistemic string, evidence array<string>, review_required boolean")
+    norm = {"One  thing!": "one thing", "ONE-thing": "one thing"}
+    groups = {}
+    for r in rows:
+        groups.setdefault((r[0], norm.get(r[2], r[2])), []).append(r)
+    expected = {k: (list(dict.fromkeys(e for r in own for e in dict.fromkeys(r[5])))[:12], len(own) - 1, all(r[6] for r in own)) for k, own in groups.items()}
+    found = sections.consolidate(df)
+    assert {(r.scope, r.norm): (r.evidence, r.n_duplicates, r.review_required) for r in found.collect()} == expected
+    query = QUERIES["consolidated_claims"](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in query.splitlines() if "Aggregate" in line and "statement" in line or "Window" in line and "norm#" in line]
