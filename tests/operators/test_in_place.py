@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from claimloom.functions.text import sums_before
-from claimloom.operators import evidence, sections
+from claimloom.operators import evidence, retrieval, sections
 from claimloom.plans.queries import QUERIES
 from claimloom.sources import derive
 
@@ -81,3 +81,46 @@ def test_consolidation_equals_plain_python_and_shuffles_no_texts_with_spans(spar
     assert {(r.scope, r.norm): (r.evidence, r.n_duplicates, r.review_required) for r in found.collect()} == expected
     query = QUERIES["consolidated_claims"](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
     assert not [line for line in query.splitlines() if "Aggregate" in line and "statement" in line or "Window" in line and "norm#" in line]
+
+
+def test_claims_that_carry_their_texts_score_as_joined_ones(spark):
+    claims = derive.claims(spark, FOLDER, texts=True)
+    asked = derive.table(spark, FOLDER, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query")).limit(20)
+    joined = retrieval.lexical_scores(asked, claims, derive.evidence_texts(claims), 5)
+    own = retrieval.lexical_scores(asked, claims, None, 5)
+    best = lambda rows: {q: sorted((-r.score, r.claim_id) for r in rows if r.query_id == q)[:5] for q in {r.query_id for r in rows}}
+    assert shuffles(own) == 0 and best(own.collect()) == best(joined.collect())
+
+
+def test_snapshots_with_hubs_equal_plain_python(spark, monkeypatch):
+    """Hubs pass on no more than can be kept, whether ids are sent to the tasks or joined."""
+    rng = random.Random(10)
+    edges = {(f"claim:{a:02}", rng.choice([f"entity:{a % 3}", f"evidence:{a}_{i}"])) for a in range(60) for i in range(3)}
+    rows = [(a, b, "e", float(len(b) % 3)) for a, b in edges] + [(a, b, "f", 0.5) for a, b in edges if a.endswith("1")]
+    seeds = [(q, f"claim:{rng.randint(0, 59):02}") for q in range(6) for _ in range(2)]
+    near = {}
+    for a, b in edges:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    for sent in (1000, 0):
+        monkeypatch.setattr(retrieval, "MAX_NODES_SENT", sent)
+        nodes, kept = retrieval.graph_snapshot(spark.createDataFrame(seeds, "query_id long, node_id string"), spark.createDataFrame(rows, "from_node string, to_node string, edge_type string, weight double"), 12, 9)
+        got, links = {(r.query_id, r.node_id): r.hop for r in nodes.collect()}, [tuple(r) for r in kept.collect()]
+        expected, between = {}, []
+        for q in range(6):
+            hops = {n: 0 for p, n in seeds if p == q}
+            for hop in (1, 2):
+                for n in [n for n, h in hops.items() if h == hop - 1]:
+                    for other in near.get(n, ()):
+                        hops.setdefault(other, hop)
+            own = dict(sorted(hops.items(), key=lambda x: (x[1], x[0]))[:12])
+            expected |= {(q, n): h for n, h in own.items()}
+            between += [(q, *r) for r in sorted((r for r in rows if r[0] in own and r[1] in own), key=lambda r: (-r[3], r[0], r[1], r[2]))[:9]]
+        assert got == expected and sorted(links) == sorted(between)
+
+
+def test_answers_and_rerank_inputs_shuffle_no_statements_of_other_documents(spark):
+    """What follows the search reads the documents of the found claims alone."""
+    ids = spark.createDataFrame([("mem_3_0",), ("mem_3_1",), ("mem_12_0",)], "claim_id string")
+    rows = derive.claims(spark, FOLDER, only=derive.documents_of(ids))
+    assert shuffles(rows) <= 1 and {r.doc_id for r in rows.collect()} == {3, 12}
