@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from claimloom.functions.text import sums_before
-from claimloom.operators import evidence, retrieval, sections
+from claimloom.operators import evidence, retrieval, sections, synthesis
 from claimloom.plans.queries import QUERIES
 from claimloom.sources import derive
 
@@ -124,3 +124,20 @@ def test_answers_and_rerank_inputs_shuffle_no_statements_of_other_documents(spar
     ids = spark.createDataFrame([("mem_3_0",), ("mem_3_1",), ("mem_12_0",)], "claim_id string")
     rows = derive.claims(spark, FOLDER, only=derive.documents_of(ids))
     assert shuffles(rows) <= 1 and {r.doc_id for r in rows.collect()} == {3, 12}
+
+
+def test_text_matches_equal_plain_python_and_make_their_tokens_once(spark):
+    rng = random.Random(11)
+    rows = [(f"c{i:02}", [rng.choice("abcde") for _ in range(rng.randint(0, 4))]) for i in range(60)]
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<string>")
+    def counted(tokens):
+        seen.add(1)
+        return tokens
+
+    df = spark.createDataFrame(rows, "claim_id string, tokens array<string>")
+    seeds = rows[:15]
+    got = synthesis.text_match(spark.createDataFrame(seeds, df.schema), df.withColumn("tokens", counted("tokens"))).collect()
+    assert sorted(map(tuple, got)) == sorted((s, c) for s, a in seeds for c, b in rows if s != c and a and set(a) <= set(b))
+    assert seen.value == len(rows)
