@@ -96,6 +96,23 @@ def test_streamed_tasks_equal_the_batch_and_survive_a_restart(rocks, tmp_path):
     assert len(seen) > first
 
 
+def test_streamed_tasks_of_many_subjects_stay_out_of_python(rocks, tmp_path):
+    """A subject or version of its own for each event: one row of state each, no Python worker and no state in it."""
+    rows = [(k, START + datetime.timedelta(seconds=k % 7) if k % 50 else None, "memory_edited", "memory", f"s{k // 2}", f"v{k % 3}", None) for k in range(3000)]
+    stream = routing.stream_tasks(feed(rocks, rows, EVENT, f"{tmp_path}/in", 2))
+    plan = stream._jdf.queryExecution().analyzed().toString()
+    assert "Python" not in plan and "Pandas" not in plan
+    found = []
+    writer = stream.writeStream.outputMode("update").option("checkpointLocation", f"{tmp_path}/check").foreachBatch(lambda batch, _: found.extend(batch.collect()))
+    query = writer.trigger(availableNow=True).start()
+    query.awaitTermination()
+    batch = routing.tasks(routing.route(rocks.createDataFrame(rows, EVENT))).collect()
+    names = ["policy", "subject_type", "subject", "version", "event_id"]
+    assert {tuple(r[n] for n in names) for r in found} == {tuple(r[n] for n in names) for r in batch}
+    states = [p["stateOperators"][0]["numRowsTotal"] for p in map(lambda p: json.loads(p.json), query.recentProgress) if p["stateOperators"]]
+    assert states[-1] == len(batch)
+
+
 def test_attempts_share_state_and_timers(rocks, tmp_path, monkeypatch):
     """Hundreds of attempts in three buckets: no row of state for each, and each leaves at its own deadline."""
     monkeypatch.setattr(runs, "BUCKETS", 3)
