@@ -106,3 +106,29 @@ def test_carried_clusters_count_as_joined_members(spark):
     empty = [F.array().cast("array<string>").alias(c) for c in ("entities", "relations", "tags", "schemas")]
     grouped = synthesis.discover_clusters(synthesis.cluster_keys(claims.select("claim_id", F.lit("").alias("statement"), *empty), links)).select(*made.columns)
     assert sorted(map(tuple, made.collect())) == sorted(map(tuple, grouped.collect())) and made.count() == 6
+
+
+def test_strong_pairs_in_place_equal_a_comparison_of_all(spark, monkeypatch):
+    """Equal texts within and across source versions, bare texts, shared spans and relations, claims without a source version: every pair once, with all components."""
+    monkeypatch.setattr(pair_blocks, "BLOCK", 4)
+    monkeypatch.setattr(pair_blocks, "MOST_ROWS", 6)
+    rng = random.Random(12)
+    rows = [(f"c{i:02}", rng.choice([None, *[f"v{k}" for k in range(12)]]), rng.choice(["same words here", "same words, here!", "?!", "", f"own words {i}", "others of these words"]),
+             rng.choice(["fact", "risk", "dependency"]), rng.sample([f"s{k}" for k in range(25)], 2), rng.sample(["e1", "e2"], 1), ["p"], rng.sample([f"r{k}" for k in range(30)], 1), []) for i in range(60)]
+    features = graph.connection_features(spark.createDataFrame(rows, COLUMNS))
+    share = lambda a, b: (a[1] and a[1] == b[1]) or set(a[4]) & set(b[4]) or set(a[7]) & set(b[7]) or (norm(a) and norm(a) == norm(b))
+    norm = lambda r: " ".join("".join(c if c.isalnum() else " " for c in r[2].lower()).split())
+    pairs = [(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and share(a, b)]
+    want = graph.score_pairs(spark.createDataFrame(pairs, "left_id string, right_id string"), features).collect()
+    got = graph.scored_strong_pairs(features).collect()
+    tidy = lambda found: sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in found)
+    assert tidy(got) == tidy(want) and len(got) > 300
+
+
+def test_copies_of_a_text_are_not_shuffled_as_pairs(spark):
+    """300 copies make 44,850 strong pairs: no exchange sees more than the claims' own rows."""
+    rows = [(f"c{i:03}", f"v{i}", "all of the same words", "fact", [f"s{i}"], ["e"], ["p"], [], []) for i in range(300)]
+    found = graph.connections(spark.createDataFrame(rows, COLUMNS))
+    assert found.count() == 300 * 299 // 2
+    assert {(r.confidence, r.connection_type, r.tokens) for r in found.distinct().select("confidence", "connection_type", "tokens").distinct().collect()} == {(0.97, "duplicates", 1.0)}
+    assert graph._pairs_of(graph._across_sources(graph.connection_features(spark.createDataFrame(rows, COLUMNS)))).count() == 0
