@@ -132,3 +132,47 @@ def test_copies_of_a_text_are_not_shuffled_as_pairs(spark):
     assert found.count() == 300 * 299 // 2
     assert {(r.confidence, r.connection_type, r.tokens) for r in found.distinct().select("confidence", "connection_type", "tokens").distinct().collect()} == {(0.97, "duplicates", 1.0)}
     assert graph._pairs_of(graph._across_sources(graph.connection_features(spark.createDataFrame(rows, COLUMNS)))).count() == 0
+
+
+def test_pairs_leave_a_task_tile_by_tile_and_a_block_meets_itself_once(spark, monkeypatch):
+    """Neither all pairs of two blocks nor a second copy of a block that meets itself is ever held."""
+    monkeypatch.setattr(pair_blocks, "BLOCK", 10)
+    monkeypatch.setattr(pair_blocks, "MOST_ROWS", 40)
+    df = spark.range(100).selectExpr("'k' as key", "id", "array(1L) as tokens")
+
+    def choose(one, other, tokens):
+        assert one.num_rows <= 10 and other.num_rows <= 10
+        x, y = np.nonzero(one.column("id").to_numpy()[:, None] < other.column("id").to_numpy()[None, :])
+        return x, y, []
+
+    found = pair_blocks.compared(df, df, ["tokens"], choose, same=True)
+    rows = found.select("left_id", "right_id").collect()
+    assert len(rows) == len(set(rows)) == 100 * 99 // 2
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapCoGroups" not in plan and "NOT (_i" in plan
+
+
+def test_a_tile_of_candidates_asks_only_for_what_beats_the_k_best_so_far(spark, monkeypatch):
+    """One claim with 400 partners of one key in 40 tiles: few more than the k best leave the task, and the k best are right."""
+    monkeypatch.setattr(pair_blocks, "BLOCK", 10)
+    sent = spark.sparkContext.accumulator(0)
+    real = graph.compared
+
+    def counted(*args, **named):
+        choose = args[3]
+
+        def counting(*sides):
+            x, y, values = choose(*sides)
+            sent.add(int((np.array(sides[0].column("id").to_pylist())[x] == "a").sum()))
+            return x, y, values
+
+        return real(*args[:3], counting, *args[4:], **named)
+
+    monkeypatch.setattr(graph, "compared", counted)
+    words = [f"word{k:02}" for k in range(40)]
+    rows = [("a", "v", " ".join(words), "fact", [], ["e"], ["s"], [], [])]
+    rows += [(f"b{i:03}", f"v{i}", " ".join(words[: 40 - i % 39] + [f"own{i}"]), "fact", [], ["e"], ["s"], [], []) for i in range(400)]
+    df = spark.createDataFrame(rows, COLUMNS)
+    got = [(r.to_id, r.place) for r in graph.connection_candidates(df, 3).where("from_id = 'a'").orderBy("place").collect()]
+    assert got == [("b000", 1), ("b039", 2), ("b078", 3)]
+    assert sent.value < 40 * 3
