@@ -176,3 +176,28 @@ def test_a_tile_of_candidates_asks_only_for_what_beats_the_k_best_so_far(spark,
     got = [(r.to_id, r.place) for r in graph.connection_candidates(df, 3).where("from_id = 'a'").orderBy("place").collect()]
     assert got == [("b000", 1), ("b039", 2), ("b078", 3)]
     assert sent.value < 40 * 3
+
+
+def test_conflicts_by_subjects_and_by_tokens_come_once_with_their_kinds(spark):
+    """Claims with words of both kinds, in either order of ids; shared entities and subjects with few common tokens; no pair is grouped."""
+    rng = random.Random(13)
+    kinds = ["fact", "metric", "reported_decision", "scope_statement", "dependency"]
+    rows = [(f"c{i:02}", f"v{i}", " ".join([*rng.choices([f"word{k}" for k in range(8)], k=rng.randint(1, 5)), *rng.sample(["approved", "blocked", "owner", "increase", "decrease"], rng.randint(0, 3))]),
+             rng.choice(kinds), [], rng.sample(["e1", "e2", "e3", "e4"], rng.randint(0, 1)), [], [], rng.sample(["s1", "s2", "s3"], rng.randint(0, 1))) for i in range(60)]
+    up, down = ({w for w in ("approved", "blocked", "owner", "increase", "decrease") if w in words} for words in (graph.POSITIVE, graph.NEGATIVE))
+    expected = {}
+    for a in rows:
+        for b in rows:
+            x, y = set(a[2].split()), set(b[2].split())
+            met = set(a[5]) & set(b[5]) or set(a[8]) & set(b[8]) or len(x & y) / len(x | y) >= 0.35
+            if a[0] < b[0] and met and ((x & up and y & down) or (x & down and y & up)):
+                said = " ".join(sorted(x | y))
+                types = {a[3], b[3]}
+                expected[a[0], b[0]] = ("decision" if "reported_decision" in types or "approved" in said else "ownership" if "owner" in said else "dependency" if "dependency" in types or "blocked" in said
+                                        else "metric_definition" if "metric" in types else "scope" if "scope_statement" in types else "mutual")
+    found = graph.conflicts(spark.createDataFrame(rows, COLUMNS))
+    got = [tuple(r) for r in found.collect()]
+    assert {(a, b): k for a, b, k, _ in got} == expected and len(got) == len(expected) > 50
+    assert all((s == "blocking") == (k in ("decision", "ownership", "dependency")) for _, _, k, s in got)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.startswith("Union")  # nothing above the pairs of the blocks: neither distinct nor join
